@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,8 +15,11 @@ MERGE_UP_TO = 20
 COMMAS = "，,"
 SENTENCE_ENDS = "。！？!?.…；;"
 
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
+
 # A Unicode noncharacter, reserved for use inside a program, marks the end of a piece.
-_MARK = "﷐"
+_MARK = "\ufdd0"
 
 
 def sentences(text: Column) -> Column:
@@ -109,9 +113,10 @@ def file_stem(path: Column) -> Column:
 
 
 def contains_text(col: Column, query: str, ci: bool = True, wildcards: bool = False) -> Column:
-    """Substring test; with ``wildcards`` the characters % and _ match as in LIKE."""
-    if wildcards:
-        return col.ilike(f"%{query}%") if ci else col.like(f"%{query}%")
+    """Substring test; with ``wildcards`` the characters % and _ match as in LIKE.
+
+    ``ci`` ignores the case of ASCII letters only.
+    """
     if ci:
-        return F.contains(F.lower(col), F.lit(query.lower()))
-    return F.contains(col, F.lit(query))
+        col, query = F.translate(col, _UPPER, _LOWER), query.translate(_TO_LOWER)
+    return col.like(f"%{query}%") if wildcards else F.contains(col, F.lit(query))
