@@ -79,8 +79,7 @@ def book_stats(books: DataFrame, tags: DataFrame | None = None, approx: bool = F
         distinct(F.col("publisher")).alias("publisher"))
     if tags is None:
         return stats.withColumn("tag", F.lit(0).cast("bigint"))
-    # both sides are single aggregate rows
-    return stats.join(F.broadcast(tags.agg(distinct(F.col("tag")).alias("tag"))))
+    return stats.withColumn("tag", tags.agg(distinct(F.col("tag")).alias("tag")).scalar())
 
 
 def _without(books: DataFrame, omit: DataFrame | Sequence[int] | None) -> DataFrame:

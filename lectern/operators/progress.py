@@ -50,7 +50,7 @@ def upsert_progress(existing: DataFrame | None, events: DataFrame) -> DataFrame:
     fresh = new.select(
         *KEYS, F.col("first_ts").alias("start_date"), F.col("last_ts").alias("updated_at"),
         (F.col("first_ts") + F.expr(f"INTERVAL {EXPECTED_DAYS} DAYS")).alias("expt_end_date"),
-        F.lit(None).cast("timestamp").alias("end_date"), *_STATE)
+        F.nullif(F.col("first_ts"), F.col("first_ts")).alias("end_date"), *_STATE)
     if existing is None:
         return fresh
     return merge_progress(existing, fresh)
