@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.arrays import keep_tail
 from lectern.functions.text import stop_cut, token_count
@@ -79,6 +80,8 @@ def _kept_chunks(messages: DataFrame, max_bytes: int) -> DataFrame:
     a unit or not; counting it as none gives a lower bound, and what that bound already cuts is
     dropped before chunks of a conversation meet.
     """
+    if max_bytes < 1:
+        raise ValueError("max_bytes must be positive")
     item = F.struct(
         "turn", "role", "content", F.coalesce(F.col("role") == "user", F.lit(False)).alias("user"),
         F.octet_length(F.coalesce("content", F.lit(""))).cast("bigint").alias("bytes"))
@@ -138,20 +141,16 @@ def build_prompts(messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES) -> Da
                   F.concat(F.lit(ASSISTANT_TAG), m["content"], F.lit(TURN_END)))
             .otherwise(F.lit("")))
 
-    return _all_conversations(messages, _spoken(messages, max_bytes)).select("conv_id", F.concat(
+    return _spoken(messages, max_bytes).select("conv_id", F.concat(
         F.lit(PREAMBLE), F.coalesce(F.array_join(F.transform("items", spoken), ""), F.lit("")),
         F.lit(ASSISTANT_TAG)).alias("prompt"))
 
 
-def _all_conversations(messages: DataFrame, spoken: DataFrame) -> DataFrame:
-    return spoken
-
-
 def build_requests(
     messages: DataFrame, model: str, max_bytes: int = MAX_HISTORY_BYTES,
 ) -> DataFrame:
     """One request document per conversation: the model and the cut history as messages."""
-    return _all_conversations(messages, _spoken(messages, max_bytes)).select("conv_id", F.to_json(
+    return _spoken(messages, max_bytes).select("conv_id", F.to_json(
         F.struct(F.lit(model).alias("model"), F.transform("items", lambda m: F.struct(
             m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
     ).alias("request"))
@@ -222,33 +221,42 @@ def finish_reason(df: DataFrame) -> DataFrame:
 
 # --- reply streams -------------------------------------------------------------------------------
 
-def _worker_frame(piece: Column) -> Column:
-    body = F.from_json(piece, WORKER_FRAME, {"mode": "PERMISSIVE"})
-    broken = body["text"].isNull() & body["error_code"].isNull() & body["finish_reason"].isNull()
-    failed = F.coalesce(body["error_code"], F.lit(0)) != 0
+_CORRUPT = "_corrupt_record"
+
+
+def _parse(json: Column, schema: T.StructType) -> Column:
+    return F.from_json(json, T.StructType([*schema, T.StructField(_CORRUPT, T.StringType())]),
+                       {"columnNameOfCorruptRecord": _CORRUPT})
+
+
+def _frame(kind: Column, text: Column, finish: Column, usage: Column, error: Column) -> Column:
+    return F.struct(kind.alias("kind"), text.alias("text"),
+                    F.nullif(finish, F.lit("")).alias("finish_reason"), usage.alias("usage"),
+                    error.alias("error"))
+
+
+def _worker_frame(body: Column) -> Column:
+    broken = body[_CORRUPT].isNotNull()
+    failed = broken | (F.coalesce(body["error_code"], F.lit(0)) != 0)
     final = F.coalesce(body["finish_reason"], F.lit("")) != ""
-    return F.struct(
-        F.when(broken | failed, F.lit("error")).when(final, F.lit("final")).otherwise(
-            F.lit("delta")).alias("kind"),
-        F.when(~failed, body["text"]).alias("text"),
-        F.when(~failed, F.nullif(body["finish_reason"], F.lit(""))).alias("finish_reason"),
-        F.when(~failed, body["usage"]).alias("usage"),
-        F.when(broken, F.lit("malformed frame")).when(failed, body["text"]).alias("error"))
-
-
-def _data_line(line: Column) -> Column:
-    done = F.endswith(line, F.lit(DONE))
-    body = F.from_json(F.substr(line, F.lit(len(DATA_PREFIX) + 1)), RESPONSE)
+    return _frame(
+        F.when(failed, F.lit("error")).when(final, F.lit("final")).otherwise(F.lit("delta")),
+        F.when(~failed, body["text"]), F.when(~failed, body["finish_reason"]),
+        F.when(~failed, body["usage"]),
+        F.when(broken, F.lit("malformed frame")).when(failed, body["text"]))
+
+
+def _data_line(done: Column, body: Column) -> Column:
     choice = F.get(body["choices"], F.lit(0))
-    broken = ~done & body["choices"].isNull() & body["id"].isNull() & body["usage"].isNull()
-    return F.struct(
-        F.when(done, F.lit("done")).when(broken, F.lit("error"))
-        .when(choice["message"].isNotNull(), F.lit("final")).otherwise(F.lit("delta")).alias("kind"),
-        F.when(~done, F.coalesce(choice["message"]["content"], choice["delta"]["content"],
-                                 choice["text"])).alias("text"),
-        F.when(~done, F.nullif(choice["finish_reason"], F.lit(""))).alias("finish_reason"),
-        F.when(~done, body["usage"]).alias("usage"),
-        F.when(broken, F.lit("malformed frame")).alias("error"))
+    failed = ~done & body[_CORRUPT].isNotNull()
+    good = ~done & ~failed
+    return _frame(
+        F.when(done, F.lit("done")).when(failed, F.lit("error"))
+        .when(choice["message"].isNotNull(), F.lit("final")).otherwise(F.lit("delta")),
+        F.when(good, F.coalesce(
+            choice["message"]["content"], choice["delta"]["content"], choice["text"])),
+        F.when(good, choice["finish_reason"]), F.when(good, body["usage"]),
+        F.when(failed, F.lit("malformed frame")))
 
 
 def split_frames(df: DataFrame) -> DataFrame:
@@ -257,15 +265,22 @@ def split_frames(df: DataFrame) -> DataFrame:
     ``raw`` holds whole frames, either JSON each ended by NUL or lines starting with ``data: ``.
     Text after the last NUL, blank lines and other lines are not frames.
     """
-    is_nul = F.contains(F.col("raw"), F.lit(NUL))
-    by_nul = F.split(F.col("raw"), NUL, -1)
-    lines = F.filter(F.split(F.col("raw"), "\r?\n", -1), lambda s: F.startswith(s, F.lit(DATA_PREFIX)))
-    pieces = F.when(is_nul, F.slice(by_nul, F.lit(1), F.size(by_nul) - 1)).otherwise(lines)
-    frame = F.when(F.col("is_nul"), _worker_frame(F.col("piece"))).otherwise(_data_line(F.col("piece")))
     keep = [c for c in df.columns if c != "raw"]
+    by_nul = F.split("raw", NUL, -1)
+    lines = F.filter(F.split("raw", "\r?\n", -1), lambda s: F.startswith(s, F.lit(DATA_PREFIX)))
+    is_nul, done = F.col("is_nul"), F.col("done")
+    pieces = F.when(is_nul, F.slice(by_nul, F.lit(1), F.size(by_nul) - 1)).otherwise(lines)
+    # parsed bodies are columns of their own so that each frame is parsed once
     return (
-        df.select(*keep, is_nul.alias("is_nul"), F.posexplode(pieces).alias("pos", "piece"))
-        .select(*keep, "pos", frame.alias("f")).select(*keep, "pos", "f.*"))
+        df.withColumn("is_nul", F.contains("raw", F.lit(NUL)))
+        .select(*keep, "is_nul", F.posexplode(pieces).alias("pos", "piece"))
+        .withColumn("done", ~is_nul & F.endswith("piece", F.lit(DONE)))
+        .withColumn("worker", F.when(is_nul, _parse(F.col("piece"), WORKER_FRAME)))
+        .withColumn("data", F.when(~is_nul & ~done, _parse(
+            F.substr("piece", F.lit(len(DATA_PREFIX) + 1)), RESPONSE)))
+        .select(*keep, "pos", F.when(is_nul, _worker_frame(F.col("worker"))).otherwise(
+            _data_line(done, F.col("data"))).alias("f"))
+        .select(*keep, "pos", "f.*"))
 
 
 def _is_end(kind: Column) -> Column:
