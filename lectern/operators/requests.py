@@ -26,8 +26,6 @@ SUPPORTED = (WORKER,)
 REPLY_TOKENS = 512
 CALL_MAX_TOKENS, CALL_TEMPERATURE = 7000, 0.7
 
-# A registry up to this many rows is broadcast.
-MAX_REGISTRY_ROWS = 100_000
 
 INPUT_ERROR = "input field must be string or []string"
 
