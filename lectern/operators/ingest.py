@@ -17,6 +17,8 @@ SERIES, SERIES_INDEX = "calibre:series", "calibre:series_index"
 COVER_MARK = "cover-image"
 DEFAULT_PUBLISH_DATE = "1970-01-01"
 
+_XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+
 
 def new_files(files: DataFrame, seen: DataFrame, refresh: bool = False) -> DataFrame:
     """Files whose path has not been loaded, or all of them on refresh."""
@@ -36,7 +38,7 @@ def unpack_packages(packages: DataFrame) -> DataFrame:
     keep = [c for c in packages.columns if c not in ("opf_xml", "error")]
     return (
         packages.filter(F.col("error").isNull())
-        .withColumn("opf", F.from_xml(F.col("opf_xml"), PACKAGE.simpleString(), {"ignoreNamespace": "true"}))
+        .withColumn("opf", F.from_xml("opf_xml", PACKAGE.simpleString(), _XML))
         .select(
             *keep,
             F.coalesce(F.transform("opf.metadata.identifier", lambda e: F.struct(

@@ -95,7 +95,8 @@ def assign_endpoint(df: DataFrame, endpoints: Sequence[str], key: str) -> DataFr
     usable = valid_endpoints(endpoints)
     if not usable:
         raise ValueError("no usable endpoint")
-    number = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(len(usable))).cast("int")
+    digest = F.substring(F.md5(F.col(key).cast("string")), 1, 8)
+    number = (F.conv(digest, 16, 10).cast("bigint") % len(usable)).cast("int")
     return df.withColumn("endpoint", F.get(F.array(*map(F.lit, usable)), number))
 
 

@@ -75,6 +75,11 @@ def sessionize_lazy(
     if not 0 < refresh < gap:
         raise ValueError("refresh must be positive and below gap")
     step, limit = (refresh + 1) * _SECOND, (gap + 1) * _SECOND
+    kind = events.schema["ts"].dataType
+
+    def at(micros: Column) -> Column:
+        return F.timestamp_micros(micros).cast(kind)
+
     stamps = events.select("user_id", _micros("ts").alias("us")).withColumn(
         "slot", _slot(F.col("us"), step))
     by_user = Window.partitionBy("user_id").orderBy("slot")
@@ -102,9 +107,9 @@ def sessionize_lazy(
         known.withColumn("starts", F.coalesce(age >= limit, F.lit(True)).cast("bigint"))
         .withColumn("session_no", F.sum("starts").over(by_start))
         .groupBy("user_id", "session_no").agg(
-            F.timestamp_micros(F.min("first_us")).alias("session_start"),
-            F.timestamp_micros(F.max("refreshed")).alias("refreshed_at"),
-            F.timestamp_micros(F.max("last_us")).alias("last_seen"),
+            at(F.min("first_us")).alias("session_start"),
+            at(F.max("refreshed")).alias("refreshed_at"),
+            at(F.max("last_us")).alias("last_seen"),
             F.sum("n").alias("events")))
 
 

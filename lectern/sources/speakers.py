@@ -9,7 +9,10 @@ from lectern.model import SPEAKERS
 from lectern.operators.speech import latest_speakers
 
 
-def load_speakers(spark: SparkSession, path: str) -> DataFrame:
-    """Speakers of a JSON array file; of entries with one audio_id the last counts."""
-    rows = spark.read.schema(SPEAKERS).json(path, multiLine=True)
+def load_speakers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Speakers of a JSON array file; of entries with one audio_id the last counts.
+
+    With ``multi_line`` off each line holds one array, so that large files can be split.
+    """
+    rows = spark.read.schema(SPEAKERS).json(path, multiLine=multi_line)
     return latest_speakers(rows.withColumn("_place", F.monotonically_increasing_id()), "_place")
