@@ -144,13 +144,13 @@ def all_shelves(
     """The reading and the liked shelf of every user, at most ``k`` books each."""
     shown = books.select(F.col("id").alias("book_id"), "title", "author")
     state = progress.select(*KEYS, *_STATE)
-    reading = _newest(progress.select(*KEYS, F.col("updated_at").alias("at")), "at", k)
+    reading = _newest(progress.select(*KEYS, F.col("updated_at").alias("shelved_at")), "shelved_at", k)
     reading = reading.withColumn("shelf", F.lit("reading"))
-    present = favs.select(*KEYS, F.col("updated_at").alias("at")).join(
+    present = favs.select(*KEYS, F.col("updated_at").alias("shelved_at")).join(
         books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
-    liked = _newest(present, "at", k).withColumn("shelf", F.lit("liked"))
+    liked = _newest(present, "shelved_at", k).withColumn("shelf", F.lit("liked"))
     return (
         reading.unionByName(liked)
         .join(shown, "book_id", "inner")
         .join(state, KEYS, "left")
-        .select("user_id", "shelf", "position", "book_id", "title", "author", "at", *_STATE))
+        .select("user_id", "shelf", "position", "book_id", "title", "author", "shelved_at", *_STATE))

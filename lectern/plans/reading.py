@@ -99,16 +99,16 @@ def liked_books(spark, d):
 
 
 @QUERIES.add(query(BOOKS, PROGRESS, FAVS, """reading AS (
-  SELECT user_id, book_id, updated_at AS at, row_number() OVER (
+  SELECT user_id, book_id, updated_at AS shelved_at, row_number() OVER (
     PARTITION BY user_id ORDER BY updated_at DESC, book_id) AS position FROM progress_table),
 liked AS (
-  SELECT user_id, book_id, updated_at AS at, row_number() OVER (
+  SELECT user_id, book_id, updated_at AS shelved_at, row_number() OVER (
     PARTITION BY user_id ORDER BY updated_at DESC, book_id) AS position
   FROM favs WHERE book_id IN (SELECT id FROM books)),
 shelves AS (
   SELECT *, 'reading' AS shelf FROM reading WHERE position <= 20
   UNION ALL SELECT *, 'liked' AS shelf FROM liked WHERE position <= 20)""", body="""
-SELECT s.user_id, shelf, CAST(position AS INTEGER) AS position, s.book_id, title, author, at,
+SELECT s.user_id, shelf, CAST(position AS INTEGER) AS position, s.book_id, title, author, shelved_at,
        progress, progress_index, para_position
 FROM shelves s JOIN books ON id = s.book_id
 LEFT JOIN progress_table p ON p.book_id = s.book_id AND p.user_id = s.user_id"""))
