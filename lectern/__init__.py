@@ -1 +1,9 @@
 """Library analytics on PySpark: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers travel with the job, so that executors need
+# no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WHOLE_BELOW = 50
 SPLIT_ABOVE = 50
 MERGE_UP_TO = 20
-COMMAS = "，,"
+COMMA, WIDE_COMMA = ",", "，"
 SENTENCE_ENDS = "。！？!?.…；;"
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -24,8 +24,7 @@ _MARK = "\ufdd0"
 
 def sentences(text: Column) -> Column:
     """Text cut after every run of sentence ends; joined again the parts give the text."""
-    ends = SENTENCE_ENDS
-    return F.regexp_extract_all(text, F.lit(f"[^{ends}]*+[{ends}]++|[^{ends}]++"), F.lit(0))
+    return F.split(text, f"(?<=[{SENTENCE_ENDS}])(?=[^{SENTENCE_ENDS}])", -1)
 
 
 def _halve(piece: Column) -> Column:
@@ -41,21 +40,23 @@ def split_long(pieces: Column) -> Column:
     """Cut long pieces at commas, then halve once whatever is still long."""
     return F.flatten(F.transform(pieces, lambda s: F.when(
         F.length(s) > SPLIT_ABOVE,
-        F.flatten(F.transform(F.split(s, f"[{COMMAS}]", -1), _halve)),
+        F.flatten(F.transform(F.split(F.translate(s, WIDE_COMMA, COMMA), COMMA, -1), _halve)),
     ).otherwise(F.array(s))))
 
 
 def merge_short(pieces: Column) -> Column:
     """Join neighbours with a comma while the joined length stays within the limit.
 
-    Joining greedily from the left takes, at each step, the longest run of whole pieces that fits.
-    A greedy bounded match ending at a piece end finds that run, so the whole array is one pass
-    over one string.
+    Joining greedily from the left takes, at each step, a piece above the limit alone or else the
+    longest run of whole pieces that fits. A bounded match ending at a piece end finds that run, so
+    the whole array is one pass over one string.
     """
     joined = F.concat(F.array_join(pieces, _MARK), F.lit(_MARK))
     runs = F.regexp_extract_all(
-        joined, F.lit(f"(?s)(.{{0,{MERGE_UP_TO}}}|[^{_MARK}]*+){_MARK}"), F.lit(1))
-    return F.transform(runs, lambda r: F.translate(r, _MARK, ","))
+        joined, F.lit(f"(?s)([^{_MARK}]{{{MERGE_UP_TO + 1},}}+|.{{0,{MERGE_UP_TO}}}){_MARK}"),
+        F.lit(1))
+    return F.transform(runs, lambda r: F.when(
+        F.contains(r, F.lit(_MARK)), F.translate(r, _MARK, COMMA)).otherwise(r))
 
 
 def segments(text: Column) -> Column:

@@ -137,19 +137,16 @@ def _last_refresh(stamps: DataFrame, step: int) -> DataFrame:
     A chunk covers a fixed number of steps. Each is reduced, independently and in parallel, to a map
     from its first refresh to its last; the chain over chunks then reads one map after the other.
     """
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["us"].to_numpy())
-        upto, ends = _chunk_exits(times, step)
-        return pd.DataFrame({
-            "user_id": pdf["user_id"].iloc[:1], "stretch": pdf["stretch"].iloc[:1],
-            "first_us": [times[0]], "last_us": [times[-1]], "upto": [upto], "exits": [ends]})
+    @F.pandas_udf("upto array<bigint>, exits array<bigint>")
+    def maps(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_chunk_exits(t, step) for t in times], columns=["upto", "exits"])
 
     chunks = (
-        stamps.select("user_id", "stretch", "us").distinct()
-        .withColumn("chunk", _slot(F.col("us"), step * _STEPS_PER_CHUNK))
-        .groupBy("user_id", "stretch", "chunk")
-        .applyInPandas(exits, "user_id bigint, stretch bigint, first_us bigint, last_us bigint, "
-                              "upto array<bigint>, exits array<bigint>"))
+        stamps.groupBy("user_id", "stretch", _slot(F.col("us"), step * _STEPS_PER_CHUNK).alias("chunk"))
+        .agg(F.array_sort(F.collect_set("us")).alias("times"))
+        .select("user_id", "stretch", F.get("times", F.lit(0)).alias("first_us"),
+                F.element_at("times", -1).alias("last_us"), maps("times").alias("map"))
+        .select("user_id", "stretch", "first_us", "last_us", "map.*"))
 
     def follow(seen: Column, chunk: Column) -> Column:
         due = seen + step

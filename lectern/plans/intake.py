@@ -67,7 +67,7 @@ FROM books"""
 
 @QUERIES.add(query(_IDS, body=_METADATA))
 def book_metadata(spark, d):
-    found = ingest.book_metadata(v.packages(spark, d))
+    found = ingest.book_metadata(v.packages(spark, d, description=True))
     return found.withColumn("tags", F.array_join("tags", ",")).drop(
         "utime", "rating", "count_visit", "count_download", "cover_key", "bucket")
 

@@ -72,7 +72,7 @@ def build_requests(spark, d):
 SELECT doc_id, lang, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS BIGINT) AS tokens
 FROM documents""")
 def count_tokens(spark, d):
-    return chat.count_tokens(v.table(spark, d, "documents"), "text", "[^ \\t\\n\\r]+").select(
+    return chat.count_tokens(v.documents(spark, d), "text", "[^ \\t\\n\\r]+").select(
         "doc_id", "lang", "tokens")
 
 
@@ -80,7 +80,7 @@ def count_tokens(spark, d):
 SELECT lang, source, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'))) AS BIGINT) AS tokens
 FROM documents GROUP BY lang, source""")
 def count_tokens_by_source(spark, d):
-    counted = chat.count_tokens(v.table(spark, d, "documents"), "text", "[A-Za-z]+|[0-9]+")
+    counted = chat.count_tokens(v.documents(spark, d), "text", "[A-Za-z]+|[0-9]+")
     return counted.groupBy("lang", "source").agg(F.sum("tokens").alias("tokens"))
 
 
@@ -151,7 +151,7 @@ def _stop_sql(stops):
 
 @QUERIES.add(_stop_sql(_STOPS))
 def cut_at_stop(spark, d):
-    return chat.cut_at_stop(v.table(spark, d, "documents").select("doc_id", "text"), "text", _STOPS)
+    return chat.cut_at_stop(v.documents(spark, d).select("doc_id", "text"), "text", _STOPS)
 
 
 @QUERIES.add("""
@@ -307,7 +307,7 @@ FROM (SELECT doc_id, length(text) AS chars, len(string_split(text, ' ')) AS word
              length(text) >= 300 AS ok FROM documents)""")
 def complete_batch(spark, d):
     return requests.complete_batch(
-        v.table(spark, d, "documents").withColumnRenamed("text", "prompt"), word_counter, "doc_id")
+        v.documents(spark, d).withColumnRenamed("text", "prompt"), word_counter, "doc_id")
 
 
 def letter_counter(texts: list[str]) -> list[list[float]]:
@@ -322,6 +322,6 @@ FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS no
       FROM (SELECT doc_id, [CAST(length(text) AS DOUBLE), length(text) - length(replace(text, 'e', '')),
                             length(text) - length(replace(text, ' ', '')), 1] AS v FROM documents))""")
 def embed_batch(spark, d):
-    embedded = requests.embed_batch(v.table(spark, d, "documents"), letter_counter, "doc_id")
+    embedded = requests.embed_batch(v.documents(spark, d), letter_counter, "doc_id")
     return vectors.l2_normalize(embedded, "embedding").select(
         "doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))

@@ -12,10 +12,31 @@ from pyspark.sql import functions as F
 EPOCH = "TIMESTAMP_NTZ'2020-01-01 00:00:00'"
 
 
+# Below this size a table of few files is spread over all cores first.
+SPREAD_BELOW_BYTES = 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input with few files, spread over the cores for work that is heavy per row.
+
+    Larger inputs come in enough splits of their own and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BELOW_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores, key)
+    return df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def event_items(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     """Events of the given types with the item ``k`` they name."""
     events = table(spark, sf_dir, "events")
@@ -155,8 +176,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "raw")
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as package documents (path, size, ctime, opf_xml, cover_bytes, error)."""
+def packages(spark: SparkSession, sf_dir: str, description: bool = False) -> DataFrame:
+    """Documents as package documents (path, size, ctime, opf_xml, cover_bytes, error).
+
+    The text becomes the description where the query reads it.
+    """
     def element(name, value, attributes=""):
         return F.concat(F.lit(f"<dc:{name}{attributes}>"), value, F.lit(f"</dc:{name}>"))
 
@@ -166,6 +190,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
+    described = element("description", text) if description else none
     opf = F.concat(
         F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="2.0"><metadata '
               'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf">'),
@@ -177,14 +202,14 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(source == "src1", none).otherwise(element("title", F.concat(F.lit("Title "), "doc_id"))),
         F.when(source == "src2", none).otherwise(element("creator", F.concat(F.lit("Author "), source))),
         element("subject", lang), element("subject", source), element("language", lang),
-        element("publisher", source), element("description", text),
+        element("publisher", source), described,
         F.when(source == "src3", none).otherwise(element("date", F.concat(F.lit("2001-"), lang))),
         F.lit('<meta name="calibre:series" content="first"/><meta name="calibre:series" content="'),
         source, F.lit('"/><meta name="calibre:series_index" content="'), "doc_id",
         F.lit('"/></metadata><manifest><item id="cover-image" href="old.png"/>'
               '<item id="c" properties="cover-image" href="img/'), lang,
         F.lit('.png"/><item id="text" href="text.xhtml"/></manifest></package>'))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.lit("/library/"), source, F.lit("/book."), "doc_id", F.lit(".epub")).alias("path"),
         F.col("n_chars").alias("size"),
         F.expr(f"CAST(timestampadd(HOUR, CAST(doc_id AS INT), {EPOCH}) AS TIMESTAMP)").alias("ctime"),
@@ -199,7 +224,7 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from lectern.plans.containers import pack
 
-    return packages(spark, sf_dir).withColumn(
+    return packages(spark, sf_dir, description=True).withColumn(
         "broken", F.contains("path", F.lit("/src7/"))).mapInPandas(
             pack, "path string, modificationTime timestamp, length bigint, content binary")
 
@@ -214,7 +239,7 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as speech requests; English ones leave the language to the default."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), "text",
         F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")).alias("lang"),
         F.concat(F.lit("voice_"), F.col("doc_id") % 200).alias("audio_id"))
