@@ -71,6 +71,19 @@ def merge_progress(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(now, KEYS, "full").select(*KEYS, *[pick(c) for c in columns[2:]])
 
 
+def merge_changes(changes: DataFrame, order: str) -> DataFrame:
+    """Progress table from changes(progress columns, ``order``), applied in order.
+
+    The first change of a key gives its start and expected end, the last one its state.
+    """
+    first, last = ["start_date", "expt_end_date", "end_date"], ["updated_at", *_STATE]
+    return changes.groupBy(*KEYS).agg(
+        F.min_by(F.struct(*first), order).alias("first"),
+        F.max_by(F.struct(*last), order).alias("last"),
+    ).select(*KEYS, "first.start_date", "last.updated_at", "first.expt_end_date", "first.end_date",
+             *[f"last.{c}" for c in _STATE])
+
+
 def update_progress(existing: DataFrame, events: DataFrame) -> DataFrame:
     """Existing rows with the state of their last event; events of unknown keys have no effect."""
     new = _from_events(events).select(

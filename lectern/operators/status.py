@@ -24,16 +24,20 @@ def scan_errors(parsed: DataFrame) -> DataFrame:
         "path", F.concat(F.lit("文件："), "path", F.lit(" 解析失败："), "error").alias("message"))
 
 
-def status_ticks(events: DataFrame, every: str = "1 second") -> DataFrame:
-    """Running count of events and the new errors, per tick with events.
+def tick_counts(events: DataFrame, every: str = "1 second") -> DataFrame:
+    """Events and new errors per tick of events(ts, ok), for tables and streams."""
+    return events.groupBy(F.window("ts", every).alias("w")).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("new_errors")
+    ).select(F.col("w.start").alias("tick_start"), F.col("w.end").alias("tick"), "n", "new_errors")
+
+
+def running_ticks(ticks: DataFrame) -> DataFrame:
+    """Ticks with the running count of events.
 
-    events(ts, ok). The running count is summed inside each day and the days' totals are summed
-    apart, so no task sees every tick.
+    The running count is summed inside each day and the days' totals are summed apart, so no task
+    sees every tick.
     """
-    ticks = events.groupBy(F.window("ts", every).alias("w")).agg(
-        F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("new_errors")
-    ).select(F.col("w.start").alias("tick_start"), F.col("w.end").alias("tick"), "n", "new_errors",
-             F.to_date("w.start").alias("day"))
+    ticks = ticks.withColumn("day", F.to_date("tick_start"))
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     # one row per calendar day
     days = ticks.groupBy("day").agg(F.sum("n").alias("n")).select(
@@ -43,6 +47,11 @@ def status_ticks(events: DataFrame, every: str = "1 second") -> DataFrame:
         "tick", "n", (F.col("earlier") + F.sum("n").over(in_day)).alias("scan_count"), "new_errors")
 
 
+def status_ticks(events: DataFrame, every: str = "1 second") -> DataFrame:
+    """Running count of events and the new errors, per tick with events."""
+    return running_ticks(tick_counts(events, every))
+
+
 def tick_errors(events: DataFrame, every: str = "1 second") -> DataFrame:
     """Error messages with the tick that reports them: those since the tick before."""
     return events.filter(~F.col("ok")).select(

@@ -35,7 +35,11 @@ def valid_progress(spark, d):
         bad.drop("reason").withColumn("valid", F.lit(False)))
 
 
-@QUERIES.add(query(BOOKS, PROGRESS, body="SELECT * FROM progress_table"))
+def progress_sql():
+    return query(BOOKS, PROGRESS, body="SELECT * FROM progress_table")
+
+
+@QUERIES.add(progress_sql())
 def upsert_progress_first(spark, d):
     return _progress(spark, d)
 

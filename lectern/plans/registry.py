@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.plans import catalog, intake, media, people, reading, talk
+from lectern.plans import catalog, intake, live, media, people, reading, talk
 from lectern.plans.query import Query
 
-MODULES = [catalog, reading, people, talk, media, intake]
+MODULES = [catalog, reading, people, talk, media, intake, live]
 
 
 def all_queries() -> dict[str, Query]:

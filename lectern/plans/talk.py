@@ -186,7 +186,7 @@ def parse_frames(spark, d):
     return chat.parse_frames(v.frames(spark, d))
 
 
-@QUERIES.add(query(REPLIES, body="""
+ASSEMBLED = query(REPLIES, body="""
 SELECT request_id, array_to_string(lines, '') AS text,
        CASE WHEN nul AND NOT broken THEN replies.text END AS message,
        CASE WHEN NOT broken THEN 'stop' END AS finish_reason,
@@ -196,7 +196,10 @@ SELECT request_id, array_to_string(lines, '') AS text,
        CASE WHEN broken THEN CASE WHEN nul THEN 'out of memory' ELSE 'malformed frame' END END AS error,
        broken OR NOT nul AS ended,
        len(lines) + CASE WHEN broken OR nul THEN 1 ELSE 2 END AS frames
-FROM replies"""))
+FROM replies""")
+
+
+@QUERIES.add(ASSEMBLED)
 def assemble_replies(spark, d):
     return chat.assemble_replies(v.frames(spark, d))
 

@@ -37,9 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def event_items(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    """Events of the given types with the item ``k`` they name."""
-    events = table(spark, sf_dir, "events")
+def event_items(
+    spark: SparkSession, sf_dir: str, *types: str, events: DataFrame | None = None,
+) -> DataFrame:
+    """Events of the given types with the item ``k`` they name; ``events`` may be a stream of them."""
+    events = table(spark, sf_dir, "events") if events is None else events
     if types:
         events = events.filter(F.col("event_type").isin(*types))
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
@@ -73,8 +75,10 @@ def book_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("book_id"), F.explode(F.array("lang", "source")).alias("tag"))
 
 
-def progress_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    return event_items(spark, sf_dir, *(types or ("view", "click"))).select(
+def progress_events(
+    spark: SparkSession, sf_dir: str, *types: str, events: DataFrame | None = None,
+) -> DataFrame:
+    return event_items(spark, sf_dir, *(types or ("view", "click")), events=events).select(
         "event_id", "ts", F.col("k").alias("book_id"), "user_id",
         (F.col("value") / 500).alias("progress"), (F.col("event_id") % 30).alias("progress_index"),
         (F.col("event_id") % 100).alias("para_position"))
@@ -107,10 +111,10 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "error").alias("admin_route"))
 
 
-def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned_files(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as a scan log: (ts, path, size, ok, error)."""
     failed = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         "event_id", "ts", F.concat(F.lit("/library/"), "event_id", F.lit(".epub")).alias("path"),
         F.floor("value").alias("size"), (~failed).alias("ok"),
         F.when(failed, F.concat(F.lit("bad item "), F.get_json_object("props", "$.k"))).alias("error"))
@@ -136,14 +140,15 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             choices.alias("choices"), usage.alias("usage"))).alias("body"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, conversations: DataFrame | None = None) -> DataFrame:
     """Replies as stream frames (request_id, seq, ts, raw).
 
     Even conversations use NUL frames, odd ones data lines. Every reply has one frame per line of
     text and a closing frame; replies of turn 3 break off with an error (NUL) or a malformed line
     before it. Frames that follow the end must be ignored by readers.
     """
-    said = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    said = table(spark, sf_dir, "conversations") if conversations is None else conversations
+    said = said.filter(F.col("role") == "assistant")
     lines = F.split("text", "\n", -1)
     count = F.size(lines)
     nul = F.col("conv_id") % 2 == 0
