@@ -11,6 +11,11 @@ from lectern.functions.text import contains_text
 
 # Fixed values of the catalogue feed and of the reply envelope.
 DIR_MIME = "application/atom+xml;profile=opds-catalog;kind=navigation"
+FEED_SPACES = {
+    "xmlns": "http://www.w3.org/2005/Atom",
+    "xmlns:dc": "http://purl.org/dc/terms/",
+    "xmlns:opds": "http://opds-spec.org/2010/catalog",
+}
 FILE_REL = "http://opds-spec.org/acquisition"
 COVER_REL = "http://opds-spec.org/cover"
 EPUB_MIME = "application/epub+zip"
@@ -153,15 +158,3 @@ def feed_entries(books: DataFrame, base_href: str) -> DataFrame:
         F.struct(F.col("author").alias("name")).alias("author"),
         F.struct(F.lit("text").alias("_type"), F.col("description").alias("_VALUE")).alias("summary"),
         F.when(F.col("cover_url") != "", F.array(book, cover)).otherwise(F.array(book)).alias("link"))
-
-
-def feed_header(catalog_id: str, title: str, href: str) -> dict:
-    """Attributes and leading elements of the feed document."""
-    return {
-        "_xmlns": "http://www.w3.org/2005/Atom",
-        "_xmlns:dc": "http://purl.org/dc/terms/",
-        "_xmlns:opds": "http://opds-spec.org/2010/catalog",
-        "id": catalog_id,
-        "title": title,
-        "link": [{"_href": href, "_type": DIR_MIME, "_rel": rel} for rel in ("start", "self")],
-    }

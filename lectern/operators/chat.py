@@ -29,7 +29,7 @@ CHUNK = 256
 
 # --- conversations -------------------------------------------------------------------------------
 
-def _chunks(df: DataFrame, key: str, order: str, item: Column, size: int = CHUNK) -> DataFrame:
+def _chunks(df: DataFrame, key: str, order: str, item: Column, size: int) -> DataFrame:
     """One row per (key, chunk) with the chunk's items in order."""
     return df.groupBy(key, F.floor(F.col(order) / size).alias("chunk")).agg(
         F.sort_array(F.collect_list(item)).alias("items"))
@@ -73,7 +73,7 @@ def _first_kept(units: Column, newer: Column, max_bytes: int) -> Column:
         lambda acc: acc["turn"])
 
 
-def _kept_chunks(messages: DataFrame, max_bytes: int) -> DataFrame:
+def _kept_chunks(messages: DataFrame, max_bytes: int, chunk: int) -> DataFrame:
     """(conv_id, chunk, items) with the kept messages of each chunk.
 
     Chunks of a conversation are built in parallel. A user message at the end of a chunk might lead
@@ -88,7 +88,7 @@ def _kept_chunks(messages: DataFrame, max_bytes: int) -> DataFrame:
     head, tail = F.get("items", F.lit(0)), F.element_at("items", -1)
     bound = _units(F.col("items"), F.lit(True), F.lit(0), F.lit(False))
     chunks = (
-        _chunks(messages, "conv_id", "turn", item)
+        _chunks(messages, "conv_id", "turn", item, chunk)
         .withColumn("head", F.struct(head["user"].alias("user"), head["bytes"].alias("bytes")))
         .withColumn("tail_user", tail["user"])
         .withColumn("from", _first_kept(bound, F.lit(0), max_bytes))
@@ -114,25 +114,29 @@ def _kept_chunks(messages: DataFrame, max_bytes: int) -> DataFrame:
             "items", lambda m: m["member"] & (m["turn"] >= F.col("from"))).alias("items")))
 
 
-def cut_history(messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES) -> DataFrame:
+def cut_history(
+    messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES, chunk: int = CHUNK,
+) -> DataFrame:
     """The newest whole units of each conversation, up to the one that reaches ``max_bytes``.
 
     ``turn`` orders a conversation; lengths are bytes of UTF-8.
     """
-    return _kept_chunks(messages, max_bytes).select("conv_id", F.explode("items").alias("m")).select(
-        "conv_id", "m.turn", "m.role", "m.content")
+    kept = _kept_chunks(messages, max_bytes, chunk).select("conv_id", F.explode("items").alias("m"))
+    return kept.select("conv_id", "m.turn", "m.role", "m.content")
 
 
-def _spoken(messages: DataFrame, max_bytes: int) -> DataFrame:
+def _spoken(messages: DataFrame, max_bytes: int, chunk: int) -> DataFrame:
     """Kept messages with text, one array per conversation; ``max_bytes`` bounds its size."""
-    spoken = _kept_chunks(messages, max_bytes).withColumn(
+    spoken = _kept_chunks(messages, max_bytes, chunk).withColumn(
         "items", F.filter("items", lambda m: F.length(m["content"]) > 0))
     return spoken.groupBy("conv_id").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("chunk", "items"))), lambda c: c["items"],
     )).alias("items"))
 
 
-def build_prompts(messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES) -> DataFrame:
+def build_prompts(
+    messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES, chunk: int = CHUNK,
+) -> DataFrame:
     """One prompt per conversation from its cut history; system and empty messages are left out."""
     def spoken(m: Column) -> Column:
         return (
@@ -141,16 +145,16 @@ def build_prompts(messages: DataFrame, max_bytes: int = MAX_HISTORY_BYTES) -> Da
                   F.concat(F.lit(ASSISTANT_TAG), m["content"], F.lit(TURN_END)))
             .otherwise(F.lit("")))
 
-    return _spoken(messages, max_bytes).select("conv_id", F.concat(
+    return _spoken(messages, max_bytes, chunk).select("conv_id", F.concat(
         F.lit(PREAMBLE), F.coalesce(F.array_join(F.transform("items", spoken), ""), F.lit("")),
         F.lit(ASSISTANT_TAG)).alias("prompt"))
 
 
 def build_requests(
-    messages: DataFrame, model: str, max_bytes: int = MAX_HISTORY_BYTES,
+    messages: DataFrame, model: str, max_bytes: int = MAX_HISTORY_BYTES, chunk: int = CHUNK,
 ) -> DataFrame:
     """One request document per conversation: the model and the cut history as messages."""
-    return _spoken(messages, max_bytes).select("conv_id", F.to_json(
+    return _spoken(messages, max_bytes, chunk).select("conv_id", F.to_json(
         F.struct(F.lit(model).alias("model"), F.transform("items", lambda m: F.struct(
             m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
     ).alias("request"))
@@ -287,14 +291,14 @@ def _is_end(kind: Column) -> Column:
     return kind.isin("done", "error")
 
 
-def _reply_chunks(df: DataFrame) -> DataFrame:
+def _reply_chunks(df: DataFrame, chunk: int) -> DataFrame:
     """(request_id, chunk, items): frames up to and including the first that ends the reply.
 
     Each chunk is cut at its own first end before chunks of a reply meet; then chunks after an ended
     one are dropped.
     """
     item = F.struct("seq", "pos", "kind", "text", "finish_reason", "usage", "error")
-    chunks = _chunks(split_frames(df), "request_id", "seq", item)
+    chunks = _chunks(split_frames(df), "request_id", "seq", item, chunk)
     ends = F.transform("items", lambda m: _is_end(m["kind"]))
     first_end = F.array_position(ends, True)
     chunks = chunks.withColumn("ended", first_end > 0).withColumn("items", F.when(
@@ -305,14 +309,14 @@ def _reply_chunks(df: DataFrame) -> DataFrame:
         ~F.col("over")).drop("over")
 
 
-def parse_frames(df: DataFrame) -> DataFrame:
+def parse_frames(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Frames of each reply up to the one that ends it; see ``split_frames`` for the input."""
-    return _reply_chunks(df).select("request_id", F.explode("items").alias("m")).select(
+    return _reply_chunks(df, chunk).select("request_id", F.explode("items").alias("m")).select(
         "request_id", "m.seq", "m.pos", "m.kind", "m.text", "m.finish_reason",
         "m.usage.prompt_tokens", "m.usage.completion_tokens", "m.usage.total_tokens", "m.error")
 
 
-def assemble_replies(df: DataFrame) -> DataFrame:
+def assemble_replies(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per reply: joined deltas, final message, last usage and finish reason, error.
 
     Deltas are joined inside each chunk first, so a reply gathers few short rows.
@@ -327,7 +331,7 @@ def assemble_replies(df: DataFrame) -> DataFrame:
     def latest(field: str) -> Column:
         return F.max_by(field, F.when(F.col(field).isNotNull(), F.col("chunk")))
 
-    parts = _reply_chunks(df).select(
+    parts = _reply_chunks(df, chunk).select(
         "request_id", "chunk", "ended", F.size("items").alias("frames"),
         F.struct("chunk", joined("delta").alias("text")).alias("part"),
         F.get(F.reverse(F.filter("items", lambda m: m["kind"] == "final")), F.lit(0))["text"]

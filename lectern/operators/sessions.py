@@ -68,12 +68,13 @@ def sessionize_lazy(
     ``refresh`` the time is refreshed, else it stays. Expiry therefore counts from the last refresh.
 
     After a pause longer than ``refresh`` the event refreshes (or starts a session) whatever came
-    before. Such pauses cut a user's events into stretches that do not depend on each other. A
+    before. Such pauses cut a user's events into stretches that do not depend on each other; inside
+    one no session ends, since the gap is more than twice the refresh time. A
     stretch no longer than the refresh time is refreshed only at its start; only longer ones need
     their refreshes followed, and that is done chunk by chunk (see ``_last_refresh``).
     """
-    if not 0 < refresh < gap:
-        raise ValueError("refresh must be positive and below gap")
+    if not 0 < 2 * refresh < gap:
+        raise ValueError("refresh must be positive and less than half of gap")
     step, limit = (refresh + 1) * _SECOND, (gap + 1) * _SECOND
     kind = events.schema["ts"].dataType
 

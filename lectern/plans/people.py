@@ -146,9 +146,9 @@ def sessionize_lazy(spark, d):
     return sessions.sessionize_lazy(v.table(spark, d, "events"))
 
 
-@QUERIES.add(query(_LAZY.format(gap=86400, refresh=43200), body=_LAZY_BODY))
+@QUERIES.add(query(_LAZY.format(gap=86400, refresh=36000), body=_LAZY_BODY))
 def sessionize_lazy_one_day(spark, d):
-    return sessions.sessionize_lazy(v.table(spark, d, "events"), gap=86400, refresh=43200)
+    return sessions.sessionize_lazy(v.table(spark, d, "events"), gap=86400, refresh=36000)
 
 
 def _stored_sessions(spark, d):

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.plans.containers import pack
+from lectern.sources.library import FILES_SCHEMA
+
 EPOCH = "TIMESTAMP_NTZ'2020-01-01 00:00:00'"
 
 
@@ -227,11 +230,9 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Those of one source are cut off and cannot be opened.
     """
-    from lectern.plans.containers import pack
-
     return packages(spark, sf_dir, description=True).withColumn(
         "broken", F.contains("path", F.lit("/src7/"))).mapInPandas(
-            pack, "path string, modificationTime timestamp, length bigint, content binary")
+            pack, FILES_SCHEMA)
 
 
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:

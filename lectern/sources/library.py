@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lectern.operators.ingest import COVER_MARK
 
 CONTAINER = "META-INF/container.xml"
+FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 PACKAGES_SCHEMA = (
     "path string, size bigint, ctime timestamp, opf_xml string, cover_bytes binary, error string")
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.ingest import book_metadata, covers_of, new_rows
 from lectern.operators.status import scan_errors
-from lectern.sources.library import read_packages
+from lectern.sources.library import FILES_SCHEMA, read_packages
 
 
 def ingest_batch(files: DataFrame, sink: str, batch: int) -> None:
@@ -42,7 +42,7 @@ def ingest_stream(
     One checkpoint belongs to one sink.
     """
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema(FILES_SCHEMA).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).load(root))
     return (
         files.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, sink, batch))
