@@ -62,15 +62,20 @@ def _units(items: Column, next_user: Column, next_bytes: Column, prev_user: Colu
     return F.transform(items, unit)
 
 
-def _first_kept(units: Column, newer: Column, max_bytes: int) -> Column:
-    """Oldest turn with less than ``max_bytes`` in the units after it, NULL when there is none."""
-    start = F.struct(newer.cast("bigint").alias("newer"), F.lit(None).cast("bigint").alias("turn"))
+def _kept_size(units: Column, newer: Column, max_bytes: int) -> Column:
+    """How many items, from the newest, have less than ``max_bytes`` in the units after them."""
+    start = F.struct(newer.cast("bigint").alias("newer"), F.lit(0).alias("n"))
     return F.aggregate(
         F.reverse(units), start,
         lambda acc, m: F.struct(
             (acc["newer"] + m["size"]).alias("newer"),
-            F.when(acc["newer"] < max_bytes, m["turn"]).otherwise(acc["turn"]).alias("turn")),
-        lambda acc: acc["turn"])
+            (acc["n"] + (acc["newer"] < max_bytes).cast("int")).alias("n")),
+        lambda acc: acc["n"])
+
+
+def _newest(items: Column, n: Column) -> Column:
+    """The last ``n`` items; ``n`` stands in an array so that it is worked out once."""
+    return F.flatten(F.transform(F.array(n), lambda k: F.slice(items, F.size(items) - k + 1, k)))
 
 
 def _kept_chunks(messages: DataFrame, max_bytes: int, chunk: int) -> DataFrame:
@@ -91,13 +96,12 @@ def _kept_chunks(messages: DataFrame, max_bytes: int, chunk: int) -> DataFrame:
         _chunks(messages, "conv_id", "turn", item, chunk)
         .withColumn("head", F.struct(head["user"].alias("user"), head["bytes"].alias("bytes")))
         .withColumn("tail_user", tail["user"])
-        .withColumn("from", _first_kept(bound, F.lit(0), max_bytes))
         # one older message stays as the neighbour of the first
-        .withColumn("n", F.size(F.filter("items", lambda m: m["turn"] >= F.col("from"))) + 1)
+        .withColumn("n", _kept_size(bound, F.lit(0), max_bytes) + 1)
         .withColumn("whole", F.size("items") <= F.col("n"))
         .withColumn("items", F.when(F.col("whole"), F.col("items")).otherwise(
-            F.slice("items", -F.col("n"), F.col("n"))))
-        .drop("from", "n"))
+            _newest(F.col("items"), F.col("n"))))
+        .drop("n"))
     newest_first = Window.partitionBy("conv_id").orderBy(F.desc("chunk"))
     after = F.lag("head").over(newest_first)
     before = F.lead("tail_user").over(newest_first)
@@ -109,9 +113,9 @@ def _kept_chunks(messages: DataFrame, max_bytes: int, chunk: int) -> DataFrame:
         units.withColumn("bytes", _sum(F.col("items"), "size"))
         .withColumn("newer", F.coalesce(newer, F.lit(0)))
         .filter(F.col("newer") < max_bytes)
-        .withColumn("from", _first_kept(F.col("items"), F.col("newer"), max_bytes))
         .select("conv_id", "chunk", F.filter(
-            "items", lambda m: m["member"] & (m["turn"] >= F.col("from"))).alias("items")))
+            _newest(F.col("items"), _kept_size(F.col("items"), F.col("newer"), max_bytes)),
+            lambda m: m["member"]).alias("items")))
 
 
 def cut_history(
@@ -180,7 +184,10 @@ def parse_responses(df: DataFrame, json_col: str = "body") -> DataFrame:
         .select(*keep, F.col("r.id").alias("response_id"), "r.created", "r.usage.*",
                 F.explode_outer("r.choices").alias("c"))
         .select(*keep, "response_id", "created", "prompt_tokens", "completion_tokens",
-                "total_tokens", F.col("c.index").alias("choice"), "c.finish_reason",
+                "total_tokens",
+                # a first choice may leave out its index
+                F.when(F.col("c").isNotNull(), F.coalesce("c.index", F.lit(0))).alias("choice"),
+                "c.finish_reason",
                 F.coalesce("c.message.role", "c.delta.role").alias("role"),
                 F.coalesce("c.message.content", "c.delta.content", "c.text").alias("content")))
 
@@ -196,7 +203,8 @@ def usage_summary(responses: DataFrame, by: Sequence[str]) -> DataFrame:
     """Token totals per group from prompt_tokens, completion_tokens and total_tokens."""
     return responses.groupBy(*by).agg(
         F.count("*").alias("replies"),
-        *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+          for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
 
 
 def strip_echo(df: DataFrame, prompt: str = "prompt", text: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +85,16 @@ def explode_inputs(df: DataFrame, col: str = "input") -> DataFrame:
 
 
 def valid_endpoints(endpoints: Iterable[str]) -> list[str]:
-    """Endpoints with scheme and host, without a trailing slash; the others are dropped."""
-    shape = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\s]+[^\s]*$")
-    return [e.rstrip("/") for e in endpoints if shape.match(e)]
+    """Endpoints with scheme and host, their path without a trailing slash; others are dropped."""
+    found = []
+    for text in endpoints:
+        try:
+            parts = urlsplit(text)
+        except ValueError:
+            continue
+        if parts.scheme and parts.netloc:
+            found.append(urlunsplit(parts._replace(path=parts.path.rstrip("/"))))
+    return found
 
 
 def assign_endpoint(df: DataFrame, endpoints: Sequence[str], key: str) -> DataFrame:

@@ -8,6 +8,8 @@ from lectern.operators import catalog
 from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import BOOKS, query
+from lectern.session import shared_folder
+from lectern.sources.feed import write_feed
 
 QUERIES = QuerySet()
 
@@ -117,6 +119,12 @@ def reply_envelope(spark, d):
     return catalog.to_envelope(catalog.public_view(books), key=["id"])
 
 
+def _entries(spark, d):
+    books = v.books(spark, d, details=True).withColumnsRenamed(
+        {"ctime": "utime", "language": "description", "publisher": "cover_url"})
+    return catalog.feed_entries(books, "http://lib/")
+
+
 @QUERIES.add(query(BOOKS, body="""
 SELECT CAST(id AS VARCHAR) AS id, strftime(ctime, '%Y-%m-%dT%H:%M:%SZ') AS updated, title,
        author AS author_name, language AS summary,
@@ -125,10 +133,22 @@ SELECT CAST(id AS VARCHAR) AS id, strftime(ctime, '%Y-%m-%dT%H:%M:%SZ') AS updat
        CAST(CASE WHEN publisher <> '' THEN 2 ELSE 1 END AS INTEGER) AS links
 FROM books"""))
 def feed_entries(spark, d):
-    books = v.books(spark, d, details=True).withColumnsRenamed(
-        {"ctime": "utime", "language": "description", "publisher": "cover_url"})
-    return catalog.feed_entries(books, "http://lib/").select(
+    return _entries(spark, d).select(
         "id", "updated", "title", F.col("author.name").alias("author_name"),
         F.col("summary._VALUE").alias("summary"),
         F.get("link", F.lit(0))["_href"].alias("book_href"),
         F.get("link", F.lit(1))["_href"].alias("cover_href"), F.size("link").alias("links"))
+
+
+@QUERIES.add(query(BOOKS, body="""
+SELECT CAST(id AS VARCHAR) AS id, title, author AS author_name,
+       CAST(CASE WHEN publisher <> '' THEN 2 ELSE 1 END AS INTEGER) AS links
+FROM books"""))
+def feed_documents(spark, d):
+    """Feed documents written and read back."""
+    folder = shared_folder(spark, "feed")
+    write_feed(_entries(spark, d), folder, "urn:lib", "Books", "http://lib/opds")
+    entries = spark.read.format("xml").option("rowTag", "entry").schema(
+        "id string, title string, author struct<name:string>, link array<struct<_href:string>>").load(folder)
+    return entries.select("id", "title", F.col("author.name").alias("author_name"),
+                          F.size("link").alias("links"))

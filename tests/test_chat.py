@@ -174,4 +174,17 @@ def test_failing_model_call_stays_with_its_row(spark):
 
 
 def test_endpoints():
-    assert requests.valid_endpoints(["http://a:1/", "x", "https://b", "://c"]) == ["http://a:1", "https://b"]
+    given = ["http://a:1/", "x", "https://b", "://c", "http://d/x/?q=1", "http://[bad"]
+    assert requests.valid_endpoints(given) == ["http://a:1", "https://b", "http://d/x?q=1"]
+
+
+def test_responses(spark):
+    body = {"id": "r", "created": 3, "usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3},
+            "choices": [{"message": {"role": "assistant", "content": "a"}}, {"index": 1, "text": "b"}]}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, "{}"), (3, "broken")], "request_id int, body string")
+    rows = chat.parse_responses(df).orderBy("request_id", "choice").collect()
+    assert [(r.request_id, r.choice, r.content, r.total_tokens) for r in rows] == [
+        (1, 0, "a", 3), (1, 1, "b", 3), (2, None, None, None), (3, None, None, None)]
+    assert [r.text for r in chat.join_choices(df).orderBy("request_id").collect()] == ["a", "", ""]
+    totals = chat.usage_summary(chat.parse_responses(df), ["request_id"]).orderBy("request_id").collect()
+    assert [(r.replies, r.total_tokens) for r in totals] == [(2, 6), (1, 0), (1, 0)]
