@@ -108,12 +108,6 @@ def lookup_progress(requests: DataFrame, progress: DataFrame) -> DataFrame:
         *requests.columns, *columns, F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
-def _page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
-    page = df.orderBy(*order).offset(offset).limit(limit)
-    # the page size bounds what is broadcast
-    return F.broadcast(page) if limit <= MAX_BROADCAST_ROWS else page
-
-
 def reading_books(
     books: DataFrame, progress: DataFrame, user_id: int, limit: int = DEFAULT_LIMIT, offset: int = 0,
 ) -> DataFrame:
@@ -123,7 +117,10 @@ def reading_books(
     page shorter.
     """
     mine = progress.filter(F.col("user_id") == user_id).select("book_id", "updated_at", *_STATE)
-    page = _page(mine, [F.desc("updated_at"), "book_id"], limit or DEFAULT_LIMIT, offset)
+    size = limit or DEFAULT_LIMIT
+    page = mine.orderBy(F.desc("updated_at"), "book_id").offset(offset).limit(size)
+    # the page size bounds what is broadcast
+    page = F.broadcast(page) if size <= MAX_BROADCAST_ROWS else page
     return (
         books.join(page, books["id"] == page["book_id"], "inner")
         .drop("book_id").orderBy(F.desc("updated_at"), "id"))
@@ -136,13 +133,11 @@ def liked_books(
     """A user's favourites, newest first, with the user's own progress where there is some."""
     mine = favs.filter(F.col("user_id") == user_id).select(
         F.col("book_id").alias("id"), F.col("updated_at").alias("liked_at"))
+    order = [F.desc("liked_at"), "id"]
     # only favourites whose book exists count toward the page
-    present = mine.join(books.select("id"), "id", "left_semi")
-    page = _page(present, [F.desc("liked_at"), "id"], limit or DEFAULT_LIMIT, offset)
+    page = books.join(mine, "id", "inner").orderBy(*order).offset(offset).limit(limit or DEFAULT_LIMIT)
     state = progress.filter(F.col("user_id") == user_id).select(F.col("book_id").alias("id"), *_STATE)
-    return (
-        books.join(page, "id", "inner").join(state, "id", "left")
-        .orderBy(F.desc("liked_at"), "id"))
+    return page.join(state, "id", "left").orderBy(*order)
 
 
 def _newest(df: DataFrame, ts: str, k: int) -> DataFrame:
@@ -156,14 +151,12 @@ def all_shelves(
 ) -> DataFrame:
     """The reading and the liked shelf of every user, at most ``k`` books each."""
     shown = books.select(F.col("id").alias("book_id"), "title", "author")
-    state = progress.select(*KEYS, *_STATE)
-    reading = _newest(progress.select(*KEYS, F.col("updated_at").alias("shelved_at")), "shelved_at", k)
-    reading = reading.withColumn("shelf", F.lit("reading"))
-    present = favs.select(*KEYS, F.col("updated_at").alias("shelved_at")).join(
-        books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
-    liked = _newest(present, "shelved_at", k).withColumn("shelf", F.lit("liked"))
-    return (
-        reading.unionByName(liked)
-        .join(shown, "book_id", "inner")
-        .join(state, KEYS, "left")
-        .select("user_id", "shelf", "position", "book_id", "title", "author", "shelved_at", *_STATE))
+    columns = ["user_id", "shelf", "position", "book_id", "title", "author", "shelved_at", *_STATE]
+    read = progress.select(*KEYS, F.col("updated_at").alias("shelved_at"), *_STATE)
+    reading = _newest(read, "shelved_at", k).join(shown, "book_id", "inner").withColumn(
+        "shelf", F.lit("reading"))
+    # a favourite without a book takes no place on the shelf
+    present = favs.select(*KEYS, F.col("updated_at").alias("shelved_at")).join(shown, "book_id", "inner")
+    liked = _newest(present, "shelved_at", k).join(
+        progress.select(*KEYS, *_STATE), KEYS, "left").withColumn("shelf", F.lit("liked"))
+    return reading.select(*columns).unionByName(liked.select(*columns))

@@ -15,7 +15,7 @@ QUERIES = QuerySet()
 
 _COVER = "'img/' || lang || '.png'"
 # identifier values in document order
-_IDS = f"""books AS (
+BOOK_FILES = f"""books AS (
   SELECT '/library/' || source || '/book.' || doc_id || '.epub' AS path, n_chars AS size,
          TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS ctime, lang, source, doc_id,
          md5(CAST(doc_id AS VARCHAR)) AS digest, {CLEAN_TEXT} AS description,
@@ -44,7 +44,7 @@ def new_files(spark, d):
     return ingest.new_files(path("documents").select("path", F.col("n_chars").alias("size")), path("labels"))
 
 
-@QUERIES.add(query(_IDS, body="""
+@QUERIES.add(query(BOOK_FILES, body="""
 SELECT path, CASE WHEN source = 'src7' THEN 'BadZipFile: File is not a zip file' END AS error,
        CASE WHEN source <> 'src7' THEN digest END AS cover FROM books"""))
 def read_packages(spark, d):
@@ -52,7 +52,7 @@ def read_packages(spark, d):
         "path", "error", F.decode("cover_bytes", "UTF-8").alias("cover"))
 
 
-_METADATA = """
+METADATA_SQL = """
 SELECT path, size, ctime, CASE WHEN source = 'src1' THEN 'book.' || doc_id ELSE 'Title ' || doc_id END
          AS title, lang AS language, cover_url,
        CASE WHEN lang = 'fr' THEN 'second' ELSE digest END AS uuid,
@@ -65,14 +65,14 @@ SELECT path, size, ctime, CASE WHEN source = 'src1' THEN 'book.' || doc_id ELSE
 FROM books"""
 
 
-@QUERIES.add(query(_IDS, body=_METADATA))
+@QUERIES.add(query(BOOK_FILES, body=METADATA_SQL))
 def book_metadata(spark, d):
     found = ingest.book_metadata(v.packages(spark, d, description=True))
     return found.withColumn("tags", F.array_join("tags", ",")).drop(
         "utime", "rating", "count_visit", "count_download", "cover_key", "bucket")
 
 
-@QUERIES.add(query(_IDS, body=_METADATA.replace("SELECT path, size, ctime,", "SELECT path,")
+@QUERIES.add(query(BOOK_FILES, body=METADATA_SQL.replace("SELECT path, size, ctime,", "SELECT path,")
                    + " WHERE source <> 'src7'"))
 def ingest_files(spark, d):
     """Container files opened and turned into catalogue rows; broken ones are left out."""
@@ -81,7 +81,7 @@ def ingest_files(spark, d):
         "size", "ctime", "utime", "rating", "count_visit", "count_download", "cover_key", "bucket")
 
 
-@QUERIES.add(query(_IDS, body="""
+@QUERIES.add(query(BOOK_FILES, body="""
 SELECT path, CASE WHEN source = 'src1' THEN 'book.' || doc_id ELSE 'Title ' || doc_id END AS title,
        CASE WHEN source = 'src2' THEN 'book.' || doc_id WHEN source = 'src1' THEN NULL
             ELSE 'Title ' || doc_id END AS legacy_title
@@ -93,13 +93,13 @@ def book_title(spark, d):
     return both.select("path", "title", "legacy_title")
 
 
-@QUERIES.add(query(_IDS, body="SELECT path, identifier FROM books"))
+@QUERIES.add(query(BOOK_FILES, body="SELECT path, identifier FROM books"))
 def content_identifier(spark, d):
     return ingest.content_identifier(ingest.unpack_packages(v.packages(spark, d))).select(
         "path", "identifier")
 
 
-@QUERIES.add(query(_IDS, body="""
+@QUERIES.add(query(BOOK_FILES, body="""
 SELECT path, CASE WHEN lang = 'fr' THEN 'second' ELSE digest END AS uuid,
        CASE WHEN lang = 'en' THEN '978' || doc_id ELSE '' END AS isbn,
        CASE WHEN lang = 'de' THEN 'B' || doc_id ELSE '' END AS asin FROM books"""))
@@ -108,14 +108,14 @@ def route_identifiers(spark, d):
         "path", "uuid", "isbn", "asin")
 
 
-@QUERIES.add(query(_IDS, body="""
+@QUERIES.add(query(BOOK_FILES, body="""
 SELECT path, source AS series, CAST(doc_id AS VARCHAR) AS series_index FROM books"""))
 def pivot_meta(spark, d):
     return ingest.pivot_meta(ingest.unpack_packages(v.packages(spark, d))).select(
         "path", "series", "series_index")
 
 
-@QUERIES.add(query(_IDS, body="""
+@QUERIES.add(query(BOOK_FILES, body="""
 SELECT path, cover_url, identifier || replace(cover_url, '/', '-') AS cover_key,
        left(identifier, 1) AS bucket FROM books"""))
 def select_cover(spark, d):
@@ -123,7 +123,7 @@ def select_cover(spark, d):
     return ingest.select_cover(opened).select("path", "cover_url", "cover_key", "bucket")
 
 
-@QUERIES.add(query(_IDS, body="SELECT path, unnest([lang, source]) AS tag FROM books"))
+@QUERIES.add(query(BOOK_FILES, body="SELECT path, unnest([lang, source]) AS tag FROM books"))
 def book_tags(spark, d):
     return ingest.book_tags(ingest.book_metadata(v.packages(spark, d)), key="path")
 
@@ -145,7 +145,7 @@ def insert_new_books(spark, d):
     return ingest.insert_new(existing, incoming, order=["id"])
 
 
-_STORED = _IDS + """,
+_STORED = BOOK_FILES + """,
 stored AS (
   SELECT left(identifier, 1) AS bucket, identifier || replace(cover_url, '/', '-') AS key,
          CAST(32 AS BIGINT) AS size, ctime AS last_modified, digest AS data FROM books)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.plans import people
 from lectern.plans import views as v
-from lectern.plans.intake import _IDS, _METADATA
+from lectern.plans.intake import BOOK_FILES, METADATA_SQL
 from lectern.plans.query import QuerySet
 from lectern.plans.reading import progress_sql
 from lectern.plans.sql_views import SCANNED, query
@@ -31,7 +31,7 @@ def status_tick_stream(spark, d):
     return run_available(status.status_tick_stream(events, "1 hour", "10 minutes"), "ticks")
 
 
-@QUERIES.add(query(people._SESSIONS.format(gap=1800), body=f"""
+@QUERIES.add(query(people.SESSIONS_SQL.format(gap=1800), body=f"""
 SELECT user_id, session_start, last_seen, events FROM sessions
 WHERE last_seen + INTERVAL 1800 SECOND <= {_CLOCK}"""))
 def session_stream(spark, d):
@@ -39,8 +39,8 @@ def session_stream(spark, d):
     return run_available(sessions.session_stream(events, 1800, "10 minutes"), "sessions")
 
 
-@QUERIES.add(query(people._LAZY.format(gap=1800, refresh=60), body=f"""
-SELECT * EXCLUDE (session_no) FROM ({people._LAZY_BODY})
+@QUERIES.add(query(people.LAZY_SQL.format(gap=1800, refresh=60), body=f"""
+SELECT * EXCLUDE (session_no) FROM ({people.LAZY_BODY})
 WHERE refreshed_at + INTERVAL 1801 SECOND <= {_CLOCK}"""))
 def lazy_session_stream(spark, d):
     events = read_table_stream(spark, d, "events")
@@ -63,7 +63,7 @@ def progress_stream(spark, d):
     return progress.read_progress(spark, path)
 
 
-@QUERIES.add(query(_IDS, body=_METADATA.replace("SELECT path, size, ctime,", "SELECT path,")
+@QUERIES.add(query(BOOK_FILES, body=METADATA_SQL.replace("SELECT path, size, ctime,", "SELECT path,")
                    + " WHERE source <> 'src7'"))
 def ingest_batches(spark, d):
     """The step of the ingest stream, run twice on the same files: the second run adds nothing."""

@@ -30,11 +30,12 @@ def mean_pool(spark, d):
 
 @QUERIES.add(query(_POSITIONS, """means AS (
   SELECT label, pos, count(*) AS token_num, avg(CAST(x AS DOUBLE)) AS mean FROM positions
-  WHERE vec_id % 3 <> 0 GROUP BY label, pos)""", body="""
+  WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0) GROUP BY label, pos)""", body="""
 SELECT label, CAST(pos AS INTEGER) AS pos, token_num,
        round(mean / sqrt(sum(mean * mean) OVER (PARTITION BY label)), 6) AS mean FROM means"""))
 def mean_pool_masked(spark, d):
-    rows = v.table(spark, d, "embeddings").withColumn("mask", F.col("vec_id") % 3)
+    rows = v.table(spark, d, "embeddings").withColumn(
+        "mask", (F.get("embedding", F.lit(0)) > 0).cast("int"))
     pooled = vectors.l2_normalize(vectors.mean_pool(rows, "label", "embedding", mask="mask"), "mean")
     return pooled.select("label", "token_num", F.posexplode("mean").alias("pos", "mean")).withColumn(
         "mean", F.round("mean", 6))

@@ -102,7 +102,7 @@ def session_ids(spark, d):
     return sessions.session_ids(v.table(spark, d, "events").select("event_id", "user_id", "event_type"))
 
 
-_SESSIONS = """steps AS (
+SESSIONS_SQL = """steps AS (
   SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
     <= INTERVAL {gap} SECOND THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (
@@ -114,18 +114,18 @@ sessions AS (
   FROM numbered GROUP BY user_id, session_no)"""
 
 
-@QUERIES.add(query(_SESSIONS.format(gap=1800), body="SELECT * FROM sessions"))
+@QUERIES.add(query(SESSIONS_SQL.format(gap=1800), body="SELECT * FROM sessions"))
 def sessionize(spark, d):
     return sessions.sessionize(v.table(spark, d, "events"))
 
 
-@QUERIES.add(query(_SESSIONS.format(gap=21600), body="SELECT * FROM sessions"))
+@QUERIES.add(query(SESSIONS_SQL.format(gap=21600), body="SELECT * FROM sessions"))
 def sessionize_six_hours(spark, d):
     return sessions.sessionize(v.table(spark, d, "events"), gap=21600)
 
 
 # the reference rule, one event after the other
-_LAZY = """RECURSIVE ordered AS (
+LAZY_SQL = """RECURSIVE ordered AS (
   SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn
   FROM events),
 walk AS (
@@ -135,18 +135,18 @@ walk AS (
          CASE WHEN (o.us - w.seen) // 1000000 > {refresh} THEN o.us ELSE w.seen END,
          w.session_no + CASE WHEN (o.us - w.seen) // 1000000 > {gap} THEN 1 ELSE 0 END
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)"""
-_LAZY_BODY = """
+LAZY_BODY = """
 SELECT user_id, session_no, make_timestamp(min(us)) AS session_start,
        make_timestamp(max(seen)) AS refreshed_at, make_timestamp(max(us)) AS last_seen,
        count(*) AS events FROM walk GROUP BY user_id, session_no"""
 
 
-@QUERIES.add(query(_LAZY.format(gap=1800, refresh=60), body=_LAZY_BODY))
+@QUERIES.add(query(LAZY_SQL.format(gap=1800, refresh=60), body=LAZY_BODY))
 def sessionize_lazy(spark, d):
     return sessions.sessionize_lazy(v.table(spark, d, "events"))
 
 
-@QUERIES.add(query(_LAZY.format(gap=86400, refresh=36000), body=_LAZY_BODY))
+@QUERIES.add(query(LAZY_SQL.format(gap=86400, refresh=36000), body=LAZY_BODY))
 def sessionize_lazy_one_day(spark, d):
     return sessions.sessionize_lazy(v.table(spark, d, "events"), gap=86400, refresh=36000)
 
@@ -159,7 +159,7 @@ def _stored_sessions(spark, d):
         F.lit(1800).cast("bigint").alias("duration"))
 
 
-_STORED = _SESSIONS.format(gap=1800) + """,
+_STORED = SESSIONS_SQL.format(gap=1800) + """,
 stored AS (
   SELECT sha1(user_id || '-' || session_no) AS session, user_id, session_start AS ctime,
          last_seen AS utime, CAST(1800 AS BIGINT) AS duration FROM sessions)"""

@@ -34,6 +34,9 @@ def get_session(app: str = "lectern", master: str | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
+_local_base: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
@@ -43,6 +46,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_base:
+            _local_base.append(tempfile.mkdtemp(prefix="lectern-"))
+        base = _local_base[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,8 +14,8 @@ from lectern.sources.library import FILES_SCHEMA, read_packages
 def ingest_batch(files: DataFrame, sink: str, batch: int) -> None:
     """Add one batch of files(path, modificationTime, length, content) to the catalogue at ``sink``.
 
-    The opened containers are written first, so that each file is opened once and later steps read a
-    table. Every output is a folder of the batch, replaced when the batch is run again.
+    The opened containers and the rows made from them are written first, so that each file is opened
+    and parsed once and later steps read a table. Every output is a folder of the batch, replaced when the batch is run again.
     """
     spark = files.sparkSession
 
@@ -24,11 +24,13 @@ def ingest_batch(files: DataFrame, sink: str, batch: int) -> None:
 
     read_packages(files).write.mode("overwrite").parquet(folder("packages"))
     packages = spark.read.parquet(folder("packages"))
-    books = book_metadata(packages)
+    book_metadata(packages).write.mode("overwrite").parquet(folder("candidates"))
+    books = spark.read.parquet(folder("candidates"))
+    known = books.select("identifier").limit(0)
     if batch > 0:
-        known = spark.read.parquet(f"{sink}/books").filter(F.col("batch") < batch).select("identifier")
-    else:
-        known = books.select("identifier").limit(0)
+        # of a large catalogue only the identifiers of this batch take part in the insert
+        known = spark.read.parquet(f"{sink}/books").filter(F.col("batch") < batch).select(
+            "identifier").join(books.select("identifier"), "identifier", "left_semi")
     new_rows(known, books, order=["ctime", "path"]).write.mode("overwrite").parquet(folder("books"))
     covers_of(packages).write.mode("overwrite").partitionBy("bucket").parquet(folder("covers"))
     scan_errors(packages).write.mode("overwrite").parquet(folder("errors"))
