@@ -38,9 +38,13 @@ def _halve(piece: Column) -> Column:
 
 def split_long(pieces: Column) -> Column:
     """Cut long pieces at commas, then halve once whatever is still long."""
+    def commas(s: Column) -> Column:
+        # one comma form lets the split run without a pattern
+        plain = F.when(F.contains(s, F.lit(WIDE_COMMA)), F.translate(s, WIDE_COMMA, COMMA)).otherwise(s)
+        return F.split(plain, COMMA, -1)
+
     return F.flatten(F.transform(pieces, lambda s: F.when(
-        F.length(s) > SPLIT_ABOVE,
-        F.flatten(F.transform(F.split(F.translate(s, WIDE_COMMA, COMMA), COMMA, -1), _halve)),
+        F.length(s) > SPLIT_ABOVE, F.flatten(F.transform(commas(s), _halve)),
     ).otherwise(F.array(s))))
 
 

@@ -65,23 +65,27 @@ def merge_call_options(df: DataFrame) -> DataFrame:
         "temperature", F.coalesce("temperature", F.lit(CALL_TEMPERATURE)))
 
 
+def _checked(df: DataFrame, col: str) -> DataFrame:
+    """Adds the parsed input as ``_input``, its type and the error; each input is parsed once."""
+    kind = F.schema_of_variant("_input")
+    valid = F.coalesce(kind.isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return df.withColumn("_input", F.try_parse_json(col)).withColumns(
+        {"input_type": kind, "error": F.when(~valid, F.lit(INPUT_ERROR))})
+
+
 def validate_inputs(df: DataFrame, col: str = "input") -> DataFrame:
     """Adds ``input_type`` and, where the input is neither a string nor strings, ``error``."""
-    kind = F.schema_of_variant(F.try_parse_json(col))
-    return df.withColumn("input_type", kind).withColumn("error", F.when(
-        F.coalesce(kind.isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)), F.lit(None))
-        .otherwise(F.lit(INPUT_ERROR)).cast("string"))
+    return _checked(df, col).drop("_input")
 
 
 def explode_inputs(df: DataFrame, col: str = "input") -> DataFrame:
     """One row (index, text) per text of each valid input."""
-    checked = validate_inputs(df, col).filter(F.col("error").isNull())
-    parsed = F.try_parse_json(col)
     texts = F.when(
-        F.col("input_type") == "STRING", F.array(F.try_variant_get(parsed, "$", "string"))
-    ).otherwise(F.try_variant_get(parsed, "$", "array<string>"))
+        F.col("input_type") == "STRING", F.array(F.try_variant_get("_input", "$", "string"))
+    ).otherwise(F.try_variant_get("_input", "$", "array<string>"))
     keep = [c for c in df.columns if c != col]
-    return checked.select(*keep, F.posexplode(texts).alias("index", "text"))
+    return _checked(df, col).filter(F.col("error").isNull()).select(
+        *keep, F.posexplode(texts).alias("index", "text"))
 
 
 def valid_endpoints(endpoints: Iterable[str]) -> list[str]:

@@ -256,7 +256,7 @@ def merge_call_options(spark, d):
 def _inputs(spark, d):
     """Documents as embedding inputs: a string, strings, a number, an object, by language."""
     text, lines = F.to_json(F.array("text")), F.to_json(F.split("text", "\n", -1))
-    return v.table(spark, d, "documents").select(
+    return v.documents(spark, d).select(
         F.col("doc_id").alias("request_id"),
         F.when(F.col("lang") == "en", F.substr(text, F.lit(2), F.length(text) - 2))
         .when(F.col("lang") == "fr", lines)

@@ -15,6 +15,9 @@ from lectern.streaming.runs import keep_state_on_disk
 
 def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "10 minutes") -> DataFrame:
     """Closed sessions; the streaming form of ``sessionize``."""
+    # sessions are merged inside each task before the shuffle, so a busy user moves few rows
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     window = F.session_window("ts", f"{gap} seconds")
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
