@@ -128,11 +128,19 @@ def book_tags(books: DataFrame, key: str = "identifier") -> DataFrame:
 
 
 def covers_of(packages: DataFrame) -> DataFrame:
-    """Covers(bucket, key, size, last_modified, data) of the packages that have one."""
+    """Covers(bucket, key, size, last_modified, data) of the packages that have one.
+
+    Copies of a book share a key; the newest file counts, and copies are reduced before the shuffle.
+    """
     df = select_cover(content_identifier(unpack_packages(packages)))
-    return df.filter((F.col("cover_url") != "") & F.col("cover_bytes").isNotNull()).select(
-        "bucket", F.col("cover_key").alias("key"), F.octet_length("cover_bytes").cast("bigint").alias("size"),
+    cover = F.struct(
+        F.octet_length("cover_bytes").cast("bigint").alias("size"),
         F.col("ctime").alias("last_modified"), F.col("cover_bytes").alias("data"))
+    return (
+        df.filter((F.col("cover_url") != "") & F.col("cover_bytes").isNotNull())
+        .groupBy("bucket", F.col("cover_key").alias("key"))
+        .agg(F.max_by(cover, F.struct("ctime", "path")).alias("cover"))
+        .select("bucket", "key", "cover.*"))
 
 
 def insert_new(

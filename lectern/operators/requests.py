@@ -147,11 +147,30 @@ def complete_batch(df: DataFrame, generator: Generator, key: str, prompt: str =
 
 
 def embed_batch(df: DataFrame, embedder: Embedder, key: str, text: str = "text") -> DataFrame:
-    """Vectors of a user's model: ``embedder(texts)`` gives one vector per text."""
+    """Vectors of a user's model: ``embedder(texts)`` gives one vector per text.
+
+    As with replies, an error stays with its own row.
+    """
     kind = df.schema[key].dataType.simpleString()
 
+    def one(value: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embedder([value])[0], None
+        except Exception as problem:  # noqa: BLE001 - a failing model call becomes an error row
+            return None, str(problem)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "embedding": embedder(pdf[text].tolist())})
+            texts = pdf[text].tolist()
+            try:
+                rows = [(vector, None) for vector in embedder(texts)]
+                if len(rows) != len(texts):
+                    raise ValueError("one vector per text expected")
+            except Exception:  # noqa: BLE001
+                rows = [one(t) for t in texts]
+            yield pd.DataFrame({
+                key: pdf[key].to_numpy(), "embedding": [r[0] for r in rows],
+                "error": pd.Series([r[1] for r in rows], dtype="object")})
 
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+    return df.select(key, text).mapInPandas(
+        run, f"{key} {kind}, embedding array<float>, error string")

@@ -14,7 +14,7 @@ REFRESH_SECONDS = 60
 _SECOND = 1_000_000
 
 # Steps per chunk when following the refreshes of a long stretch of activity.
-_STEPS_PER_CHUNK = 64
+_STEPS_PER_CHUNK = 512
 
 
 def session_ids(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -122,10 +122,11 @@ def _chunk_exits(times: np.ndarray, step: int) -> tuple[list[int], list[int]]:
     ``upto[i-1]``) ends in ``exits[i]``.
     """
     after = np.searchsorted(times, times + step)
-    last = np.arange(len(times))
-    # all chains advance together; a chunk holds a bounded number of steps
-    while (moved := after[last] < len(times)).any():
-        last[moved] = after[last[moved]]
+    place = np.arange(len(times))
+    last = np.where(after < len(times), after, place)
+    # following two steps at once doubles the reach each time, until every chain has arrived
+    while not np.array_equal(further := last[last], last):
+        last = further
     first = min(int(after[0]) + 1, len(times))
     exits = times[last[:first]]
     turn = np.append(exits[1:] != exits[:-1], True)
@@ -136,7 +137,9 @@ def _last_refresh(stamps: DataFrame, step: int) -> DataFrame:
     """Last refresh of each long stretch; stamps(user_id, stretch, us).
 
     A chunk covers a fixed number of steps. Each is reduced, independently and in parallel, to a map
-    from its first refresh to its last; the chain over chunks then reads one map after the other.
+    from its first refresh to its last; the chain over chunks then reads one map after the other. A
+    map has at most one entry per event in the first step of its chunk, so what meets in one row is
+    a small part of a user's events.
     """
     @F.pandas_udf("upto array<bigint>, exits array<bigint>")
     def maps(times: pd.Series) -> pd.DataFrame:

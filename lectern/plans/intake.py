@@ -161,7 +161,8 @@ def _written_covers(spark, d):
 def covers_round_trip(spark, d):
     """Covers written by bucket and read back by key."""
     folder = _written_covers(spark, d)
-    keys = ingest.covers_of(v.packages(spark, d)).select("key")
+    named = ingest.select_cover(ingest.content_identifier(ingest.unpack_packages(v.packages(spark, d))))
+    keys = named.select(F.col("cover_key").alias("key"))
     return covers.read_covers(spark, folder, keys).withColumn("data", F.decode("data", "UTF-8"))
 
 

@@ -124,7 +124,7 @@ def sessionize_six_hours(spark, d):
     return sessions.sessionize(v.table(spark, d, "events"), gap=21600)
 
 
-# the reference rule, one event after the other
+# the rule itself, one event after the other
 LAZY_SQL = """RECURSIVE ordered AS (
   SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn
   FROM events),

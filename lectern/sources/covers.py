@@ -9,8 +9,10 @@ IMAGE_NAMES = r"\.(png|jpeg|jpg)$"
 
 
 def write_covers(covers: DataFrame, path: str) -> None:
-    """Append covers(bucket, key, size, last_modified, data); the newest of a key replaces older ones
-    on reading."""
+    """Append covers(bucket, key, size, last_modified, data), one per key.
+
+    On reading, the newest of a key replaces those written before.
+    """
     covers.write.mode("append").partitionBy("bucket").parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.progress import KEYS, merge_changes, upsert_progress
+from lectern.operators.progress import merge_changes, upsert_progress
 
 
 def write_change(events: DataFrame, path: str, batch: int) -> None:
@@ -48,5 +48,5 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 def compact_progress(spark: SparkSession, path: str) -> None:
     """Fold all written changes into a new base."""
     last = spark.read.parquet(f"{path}/changes").agg(F.max("batch")).first()[0]
-    read_progress(spark, path).filter(F.col(KEYS[0]).isNotNull()).write.mode("overwrite").parquet(
+    read_progress(spark, path).write.mode("overwrite").parquet(
         f"{path}/bases/upto={last}")

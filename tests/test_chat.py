@@ -173,6 +173,15 @@ def test_failing_model_call_stays_with_its_row(spark):
     assert got == {1: ("a!", None), 2: (None, "no"), 3: ("c!", None)}
 
 
+def test_failing_embedder_stays_with_its_row(spark):
+    def embedder(texts):
+        return [[1.0 / len(t)] for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, ""), (3, "abcd")], "id bigint, text string").coalesce(1)
+    got = {r.id: (r.embedding, r.error) for r in requests.embed_batch(df, embedder, "id").collect()}
+    assert got == {1: ([0.5], None), 2: (None, "float division by zero"), 3: ([0.25], None)}
+
+
 def test_endpoints():
     given = ["http://a:1/", "x", "https://b", "://c", "http://d/x/?q=1", "http://[bad"]
     assert requests.valid_endpoints(given) == ["http://a:1", "https://b", "http://d/x?q=1"]

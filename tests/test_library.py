@@ -108,6 +108,7 @@ def test_ingest_stream_skips_known_books(spark, shelf, tmp_path):
     assert run() == sorted(("T", digest(n)) for n in (1, 2, 4))
     assert run() == sorted(("T", digest(n)) for n in (1, 2, 4))
     stored = covers.read_covers(spark, f"{sink}/covers/batch=0")
+    assert spark.read.parquet(f"{sink}/covers/batch=1").count() == 2
     assert {bytes(r.data) for r in stored.collect()} == {b"img1", b"img2"}
     assert spark.read.parquet(f"{sink}/errors").count() == 1
 
