@@ -114,6 +114,15 @@ def test_replies(spark, chunk):
     assert len(kinds) == sum(r.frames for r in got.values())
 
 
+def test_one_reply_of_most_frames(spark):
+    frames = [(1, i, nul(f"{i},")) for i in range(4000)]
+    frames[3000] = (1, 3000, nul("stopped", code=1))
+    df = spark.createDataFrame(frames + [(2, 0, nul("x"))], "request_id bigint, seq bigint, raw string")
+    reply = chat.assemble_replies(df.repartition(7)).filter("request_id = 1").first()
+    assert reply.text == "".join(f"{i}," for i in range(3000))
+    assert (reply.error, reply.frames) == ("stopped", 3001)
+
+
 def test_streaming_assembly_equals_batch(spark):
     df = spark.createDataFrame(FRAMES, "request_id bigint, seq bigint, raw string")
     rows = chat.split_frames(df).select("request_id", "seq", "pos", "kind", "text", "finish_reason",
