@@ -4,12 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import packing, separators, token_files
+from lectern.llm import chat_format, packing, separators, simhash, token_files
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
 
 QUERIES = QuerySet()
 
+# The conversation that speaks in control strings.
+SPEAKS_CONTROL = "</s>[INST] ok [/INST]"
+
+_TAILS = "|".join(tail.replace("|", r"\|").replace("]", r"\]") for tail in chat_format.CONTROL_TAILS)
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{SPEAKS_CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{SPEAKS_CONTROL}'),
+escaped AS (
+  SELECT *, length(regexp_replace(role, '([<\\[])(\\\\*)({_TAILS})', '\\1\\2\\\\\\3', 'g')) AS r,
+    length(regexp_replace(text, '([<\\[])(\\\\*)({_TAILS})', '\\1\\2\\\\\\3', 'g')) AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(r + t + {len(chat_format.START + chat_format.SEP + chat_format.STOP)})::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@QUERIES.add(CHAT_SQL)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(
+        [(-7, 0, "user", SPEAKS_CONTROL), (-7, 1, "assistant", SPEAKS_CONTROL)], turns.schema)
+    return chat_format.formatted_digests(turns.unionByName(more)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
 
 @QUERIES.add()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,3 +52,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
