@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_format, packing, separators, simhash, token_files
+from lectern.llm import chat_format, packing, perplexity, separators, simhash, token_files
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
 
@@ -57,3 +57,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

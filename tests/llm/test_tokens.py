@@ -55,6 +55,7 @@ def test_any_text_encodes_as_whole(texts):
 def test_cache_turns_over(monkeypatch, docs_table):
     texts = [row[1] for row in docs_table[:60]]
     monkeypatch.setattr(common, "CACHED_WORDS", 50)
+    assert not common.word_encoder(JSON).whole
     encoder, want = common.WordEncoder(Tokenizer.from_file(PATH), "<u4"), plain()
     for text in texts:
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want(text)
