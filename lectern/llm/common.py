@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import sys
 import types
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from lectern.session import shared_folder
 
 # Rows of a table that is broadcast: at most some ten megabytes. Larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-# Words whose ids a Python worker keeps: about 100 MB.
-CACHED_WORDS = 300_000
+# Words whose ids a Python worker keeps: about 75 MB in each of two generations.
+CACHED_WORDS = 350_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,57 +69,58 @@ def worker_store() -> dict:
     return module.__dict__.setdefault("kept", {})
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Token ids of whole texts, with each distinct word encoded once.
 
     For tokenizers that split at white space before anything else, so that the ids of a text are the
-    ids of its words one after the other. Words are what lies between spaces and line feeds. A word of
-    Latin-1 letters and a run of stops is two pieces for them, and letter case is dropped, so such words
-    share the entries of their parts. The cache holds two generations of bounded size.
+    ids of its words one after the other. Words are what lies between spaces and line feeds; they map to
+    their ids as bytes. Where letter case is dropped and a word of Latin-1 letters is one piece for the
+    model, such words and the stops behind them share entries and go to the model at once; ``whole``
+    is set where a probe shows that this does not hold. Two generations of bounded size are kept.
     """
 
     STOPS = ".,!?;:"
+    # the characters that stand for the UTF-8 bytes of letters beyond ASCII in byte-level models
+    BYTES = {x: "".join(chr(b + 256 - 94 if 0x7F <= b <= 0xA0 else 323 if b == 0xAD else b)
+                        for b in chr(x).encode()) for x in range(0x80, 0x100)}
 
     def __init__(self, tokenizer, dtype: str) -> None:
-        self.tokenizer, self.dtype = tokenizer, np.dtype(dtype)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        """Fills the cache with words it does not know."""
-        new, parts, plain = self.young, {}, set()
-        for word in words:
-            known = self.old.get(word)
-            if known is not None:
-                new[word] = known
-                continue
+        super().__init__()
+        self.tokenizer, self.code, self.old = tokenizer, {"<u4": "I", "<u2": "H"}[dtype], {}
+        probe = ["".join(chr(x) for x in range(lo, lo + 8) if chr(x).isalpha()).lower()
+                 for lo in range(0x40, 0x100, 8)]
+        probe = [x for x in probe if x]
+        self.whole = any(self._word(x) != self._text(x) for x in probe) or any(
+            self._word(x.lower()) + self._text("!?") != self._text(x + "!?") for x in ("Abc", "\xc9T\xc9"))
+
+    def _text(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.translate(self.BYTES)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
             stem = word.rstrip(self.STOPS)
-            if stem.isalpha() and max(stem) <= "\xff":
-                parts[word] = (stem.lower(), word[len(stem):])
-                plain.update(part for part in parts[word] if part not in new)
+            if self.whole or not stem.isalpha() or not (stem.isascii() or max(stem) <= "\xff"):
+                ids = self._text(word)
             else:
-                plain.add(word)
-        new[""] = b""
-        plain.discard("")
-        ask = list(plain)
-        new.update(zip(ask, self._encode(ask)))
-        for word, (stem, stops) in parts.items():
-            new[word] = new[stem] + new[stops]
+                low = stem.lower()
+                ids = self._word(low) if low == word else self[low] + (
+                    self[word[len(stem):]] if len(stem) < len(word) else b"")
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of the dtype; null: empty."""
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        self._learn(set().union(*split).difference(self.young))
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        known = self.__getitem__
+        return [b"".join(map(known, text.replace("\n", " ").split(" "))) if text else b""
+                for text in texts]
 
 
 def word_encoder(json: str, dtype: str = "<u4", specials_are_text: bool = False) -> WordEncoder:
