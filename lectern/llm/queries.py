@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_format, packing, perplexity, separators, simhash, token_files
+from lectern.llm import (
+    chat_format, minhash, packing, perplexity, separators, simhash, token_files, toxicity)
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
 
@@ -62,3 +63,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@QUERIES.add()
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
