@@ -32,7 +32,7 @@ from lectern.session import shared_folder
 MAGIC = b"LTPLANE1"
 HEADER, TRAILER = "<8sII", "<qqqqqq8s"
 BLOCK_IDS = 1 << 16
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 LEVEL = 3
 END = 2
 
