@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import (
-    chat_format, minhash, packing, perplexity, separators, simhash, token_files, toxicity)
+    chat_format, minhash, mixing, neighbours, packing, perplexity, separators, simhash, token_files,
+    toxicity)
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
 
@@ -73,3 +75,55 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@QUERIES.add()
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _mixing_sql() -> str:
+    """The raking of the mix, one common table expression per step."""
+    def category(name: str, column: str) -> str:
+        named = ", ".join(f"'{x}'" for x in mixing.TARGETS[name] if x != mixing.REST)
+        return f"CASE WHEN {column} IN ({named}) THEN {column} ELSE '{mixing.REST}' END AS c_{name}"
+
+    signs = " ".join(f"WHEN contains(body, '{sign}') THEN '{name}'" for name, sign in mixing.TOPICS)
+    steps, last = [], "start"
+    for sweep in range(mixing.SWEEPS):
+        for name in mixing.TARGETS:
+            step = f"s{sweep}_{name}"
+            steps.append(
+                f"{step} AS (SELECT * REPLACE (w * t_{name} / (SELECT sum(t) FROM (SELECT max(t_{name}) AS t "
+                f"FROM start GROUP BY c_{name})) * whole / sum(w) OVER (PARTITION BY c_{name}) AS w) "
+                f"FROM {last})")
+            last = step
+    cells = ", ".join(f"c_{name}" for name in mixing.TARGETS)
+    target = ", ".join(
+        "CASE c_" + name + " " + " ".join(f"WHEN '{c}' THEN {t}" for c, t in shares.items())
+        + f" END::DOUBLE AS t_{name}" for name, shares in mixing.TARGETS.items())
+    nl = ", ".join(steps)
+    return f"""
+WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS body FROM documents),
+docs AS (SELECT doc_id, source, lang,
+  CASE {signs} WHEN regexp_matches(body, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+  len(list_filter(regexp_split_to_array(body, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS n_tokens
+  FROM texts),
+placed AS (SELECT *, {category("source", "source")}, {category("lang", "lang")},
+  {category("topic", "topic")} FROM docs),
+cells AS (SELECT {cells}, sum(n_tokens)::DOUBLE AS tokens FROM placed GROUP BY ALL HAVING sum(n_tokens) > 0),
+start AS (SELECT *, tokens AS w, sum(tokens) OVER () AS whole, {target} FROM cells),
+{nl},
+shares AS (SELECT {cells}, round(w / tokens / max(w / tokens) OVER (), 12) AS p FROM {last})
+SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens,
+  round(CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE p END, 9) AS probability
+FROM placed LEFT JOIN shares USING ({cells})
+WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{mixing.SEED}'), 1, {mixing.DIGITS}))::BIGINT
+  / power(16, {mixing.DIGITS}) < CASE WHEN n_tokens = 0 THEN 1.0 ELSE p END
+"""
+
+
+@QUERIES.add(_mixing_sql())
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn(
+        "probability", F.round("probability", 9))

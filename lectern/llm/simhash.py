@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import small, written
 from lectern.llm.components import components
 
 BITS = 4
@@ -237,3 +237,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id, with all columns.
+
+    Rows that repeat an id are reduced to one row per text. Rows without an id cannot stand for a group:
+    of those with one text one stays.
+    """
+    found = near_duplicates(docs)
+    kept = written(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n")), "kept")
+    again = kept.filter(F.col("n") > 1).select("doc_id")
+    again = small(again, again.count())
+    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    once = stay.join(again, "doc_id", "left_anti").select(*docs.columns)
+    repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nobody = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return once.unionByName(repeated.select(*docs.columns)).unionByName(nobody)

@@ -27,12 +27,12 @@ VOCABULARY = 384
 # A word counts where it is in so many documents of the sample.
 LEAST_DOCUMENTS = 4
 FOLDS = 4
-RIDGE = 1.0
+RIDGE = 0.3
 ROUNDS = 12
 # A toxic document with so many different words of the toxic model is severe.
 SEVERE_WORDS = 4
 CATEGORIES = ("junk", "toxic", "severe")
-THRESHOLD = 0.3
+THRESHOLD = 0.4
 WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 

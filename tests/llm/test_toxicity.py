@@ -1,0 +1,100 @@
+"""The chain on documents it was not fitted on, and its parts on small inputs."""
+
+import duckdb
+import numpy as np
+
+from lectern.llm import toxicity as tox
+from lectern.llm.queries import QUERIES
+
+TABLE = "/root/testdata/sf0.1"
+KINDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def labelled():
+    return duckdb.connect().execute(
+        f"SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM read_parquet('{TABLE}/documents.parquet') d "
+        f"JOIN read_parquet('{TABLE}/labels.parquet') l USING (doc_id)").fetchall()
+
+
+def test_toxic_goes_and_clean_stays_on_held_out_documents(spark):
+    rows = labelled()
+    docs = spark.createDataFrame([r[:5] for r in rows], KINDS)
+    labels = spark.createDataFrame(
+        [(r[0], r[5], r[6]) for r in rows if r[0] % 2], "doc_id bigint, quality int, toxic int")
+    kept = tox.keep_harmless(docs, labels)
+    assert kept.columns == docs.columns
+    kept = {r.doc_id for r in kept.collect()}
+    scores = {r.doc_id: r for r in tox.toxicity(docs, labels).collect()}
+    held_out = [r for r in rows if r[0] % 2 == 0]
+    # bad documents carry toxic labels at random here, whatever their text
+    toxic = [r[0] for r in held_out if r[5:] == (1, 1)]
+    clean = [r[0] for r in held_out if r[6] == 0]
+    assert len(toxic) > 100 and sum(d in kept for d in toxic) <= 0.05 * len(toxic)
+    assert sum(d in kept for d in clean) >= 0.993 * len(clean)
+    assert kept == {d for d, r in scores.items() if not r.rejected}
+    junk = [scores[r[0]].junk > 0.5 for r in held_out if r[5] == 0]
+    assert sum(junk) >= 0.9 * len(junk)
+
+
+def test_query_scores_every_document(spark, data, docs_table):
+    got = QUERIES["op3_toxicity"].run(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in docs_table]
+    assert all(0 <= p <= 1 for r in got for p in (r.junk, r.toxic, r.severe))
+
+
+def test_fitting_is_the_same_in_every_order():
+    rng = np.random.default_rng(3)
+    sample = [(int(rng.random() < 0.8), int(t), sorted(
+        {f"w{rng.integers(0, 60)}" for _ in range(12)} | ({"bad"} if t and rng.random() < 0.9 else set())))
+        for t in rng.random(300) < 0.3]
+    one, other = tox.Chain(sample), tox.Chain(sample[::-1])
+    texts = ["w1 w2 bad", "w3 w4", "", None, "unknown"]
+    assert (one.predict(texts) == other.predict(texts)).all()
+    p = one.predict(texts)
+    assert p[0, 1] > 0.5 > p[1, 1] and (p[2:4] == 0).all()
+
+
+def test_chain_feeds_earlier_categories(spark):
+    """A category that follows from the one before it alone is learnt from its probability."""
+    rng = np.random.default_rng(4)
+    lists = [rng.choice(200, 15, replace=False) for _ in range(600)]
+    first = np.array([float(len(set(x.tolist()) & set(range(10))) >= 1) for x in lists])
+    models = tox.fit_chain(lists, {"a": first, "b": first}, np.arange(600) % tox.FOLDS, 200)
+    assert models[1].weights[-1] > 0 and len(models[1].weights) == len(models[1].vocabulary) + 1
+
+
+def plain_words(text):
+    out, run, kind = set(), "", None
+    for c in (text or "").lower() + " ":
+        k = "letter" if c.isalpha() else None if c.isspace() or c.isalnum() or c == "_" else "sign"
+        if k != kind:
+            if run and kind:
+                out.add(run)
+            run, kind = "", k
+        run += c
+    for w in list(out):
+        out |= {w[:n] + "~" for n in (4, 5) if len(w) > n and w[-1] != "~"}
+    return out
+
+
+def test_words(docs_table):
+    for text in [None, "", "a_b1c É!! ~~~~~~ x", *[r[1] for r in docs_table[:50]]]:
+        assert tox.words(text) == plain_words(text)
+
+
+def test_hard_rows(spark):
+    rows = [(1, "you idiot"), (2, None), (3, ""), (None, "idiot"), (1, "you idiot"), (4, "fine words"),
+            (5, "long " * 60000), (6, "123 456")]
+    docs = spark.createDataFrame(
+        [(*r, 0.5, "x") for r in rows], "doc_id bigint, text string, toxic double, words string")
+    labels = spark.createDataFrame(
+        [(1, 1, 1), (4, 1, 0), (4, 1, None), (None, 1, 1), (5, None, 0), (6, 0, 0), (77, 1, 1)],
+        "doc_id bigint, quality int, toxic int")
+    got = tox.toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(r.toxic == 0 and not r.rejected for r in got if r.doc_id in (2, 3, 6))
+    assert tox.keep_harmless(docs, labels).count() == sum(not r.rejected for r in got)
+    for some in (labels.limit(0), labels.filter("toxic = 0")):
+        assert not any(r.rejected for r in tox.toxicity(docs, some).collect())
+    assert tox.toxicity(docs.limit(0), labels).collect() == []
+    assert tox.keep_harmless(docs.limit(0), labels.limit(0)).collect() == []
