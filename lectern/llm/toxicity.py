@@ -32,7 +32,7 @@ ROUNDS = 12
 # A toxic document with so many different words of the toxic model is severe.
 SEVERE_WORDS = 4
 CATEGORIES = ("junk", "toxic", "severe")
-THRESHOLD = 0.4
+THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
