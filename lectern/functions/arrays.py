@@ -33,8 +33,15 @@ def unit_vector(vec: Column, eps: float = 1e-12) -> Column:
 
 
 def to_int16(vec: Column) -> Column:
-    """Samples in [-1, 1] as 16-bit integers, truncated toward zero."""
-    return F.transform(vec, lambda x: (x * F.lit(32767).cast("float")).cast("smallint"))
+    """Samples in [-1, 1] as 16-bit integers, truncated toward zero.
+
+    Larger samples wrap around as in a cast of arrays; one that is no finite number becomes 0.
+    """
+    def wrapped(x: Column) -> Column:
+        whole = F.coalesce((x * F.lit(32767).cast("float")).try_cast("bigint"), F.lit(0))
+        return (F.pmod(whole + 32768, F.lit(65536)) - 32768).cast("smallint")
+
+    return F.transform(vec, wrapped)
 
 
 def keep_tail(arr: Column, n: int) -> Column:

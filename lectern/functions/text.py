@@ -18,9 +18,6 @@ SENTENCE_ENDS = "。！？!?.…；;"
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 _TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
-# A Unicode noncharacter, reserved for use inside a program, marks the end of a piece.
-_MARK = "\ufdd0"
-
 
 def sentences(text: Column) -> Column:
     """Text cut after every run of sentence ends; joined again the parts give the text."""
@@ -51,22 +48,31 @@ def split_long(pieces: Column) -> Column:
 def merge_short(pieces: Column) -> Column:
     """Join neighbours with a comma while the joined length stays within the limit.
 
-    Joining greedily from the left takes, at each step, a piece above the limit alone or else the
-    longest run of whole pieces that fits. A bounded match ending at a piece end finds that run, so
-    the whole array is one pass over one string.
+    Only lengths are folded from the left: each piece either goes on with the run before it or starts
+    one of its own. The runs are then cut out of the array, so texts may hold any character.
     """
-    joined = F.concat(F.array_join(pieces, _MARK), F.lit(_MARK))
-    runs = F.regexp_extract_all(
-        joined, F.lit(f"(?s)([^{_MARK}]{{{MERGE_UP_TO + 1},}}+|.{{0,{MERGE_UP_TO}}}){_MARK}"),
-        F.lit(1))
-    return F.transform(runs, lambda r: F.when(
-        F.contains(r, F.lit(_MARK)), F.translate(r, _MARK, COMMA)).otherwise(r))
+    def step(acc: Column, piece: Column) -> Column:
+        joined = acc["length"] + 1 + F.length(piece)
+        fits = joined <= MERGE_UP_TO
+        return F.struct(
+            F.when(fits, joined).otherwise(F.length(piece)).alias("length"),
+            F.concat(acc["marks"], F.when(fits, "0").otherwise("1")).alias("marks"))
+
+    start = F.struct(F.lit(MERGE_UP_TO).alias("length"), F.lit("").alias("marks"))
+    marks = F.aggregate(pieces, start, step, lambda acc: F.split(acc["marks"], ""))
+    starts = F.array_compact(F.transform(marks, lambda m, i: F.when(m == "1", i)))
+
+    def run(found: Column) -> Column:
+        return F.transform(found, lambda at, j: F.array_join(F.slice(
+            pieces, at + 1, F.coalesce(F.get(found, j + 1), F.size(pieces)) - at), COMMA))
+
+    return F.flatten(F.transform(F.array(starts), run))
 
 
 def segments(text: Column) -> Column:
     """Speech segments of a text."""
     return F.when(F.length(text) < WHOLE_BELOW, F.array(text)).otherwise(
-        merge_short(split_long(sentences(text))))
+        F.flatten(F.transform(F.array(split_long(sentences(text))), merge_short)))
 
 
 def token_count(text: Column, pattern: str = r"\S+") -> Column:
@@ -124,4 +130,7 @@ def contains_text(col: Column, query: str, ci: bool = True, wildcards: bool = Fa
     """
     if ci:
         col, query = F.translate(col, _UPPER, _LOWER), query.translate(_TO_LOWER)
-    return col.like(f"%{query}%") if wildcards else F.contains(col, F.lit(query))
+    if not wildcards:
+        return F.contains(col, F.lit(query))
+    # a backslash stands for itself
+    return col.like("%" + query.replace("\\", "\\\\") + "%")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.arrays import keep_tail
-from lectern.functions.text import stop_cut, token_count
+from lectern.functions.text import last_position, stop_cut, token_count
 from lectern.model import RESPONSE, WORKER_FRAME
 
 # Fixed values of the prompt format.
@@ -154,14 +154,61 @@ def build_prompts(
         F.lit(ASSISTANT_TAG)).alias("prompt"))
 
 
+def _messages(messages: DataFrame, max_bytes: int | None, chunk: int) -> DataFrame:
+    """(conv_id, items): every message in turn order, or the cut history where a limit is given."""
+    if max_bytes is not None:
+        return _spoken(messages, max_bytes, chunk)
+    chunks = _chunks(messages, "conv_id", "turn", F.struct("turn", "role", "content"), chunk)
+    return chunks.groupBy("conv_id").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("chunk", "items"))), lambda c: c["items"],
+    )).alias("items"))
+
+
+def _unless_zero(name: str, zero: object) -> Column:
+    """The option, NULL and so left out of the document where it is not set."""
+    return F.nullif(F.col(name), F.lit(zero)).alias(name)
+
+
 def build_requests(
-    messages: DataFrame, model: str, max_bytes: int = MAX_HISTORY_BYTES, chunk: int = CHUNK,
+    messages: DataFrame, model: str, options: DataFrame | None = None, max_bytes: int | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """One request document per conversation: the model and the cut history as messages."""
-    return _spoken(messages, max_bytes, chunk).select("conv_id", F.to_json(
-        F.struct(F.lit(model).alias("model"), F.transform("items", lambda m: F.struct(
-            m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
-    ).alias("request"))
+    """One request document per conversation with all its messages and its options.
+
+    ``options`` has one row per conv_id with temperature, top_p, n, stream, stop, max_tokens and user;
+    options that are 0, false, empty or NULL are left out, as are those of conversations without a row.
+    System and empty messages are kept. A document is one value, so it holds its conversation in one
+    row; ``max_bytes`` cuts the history first, as prompts do.
+    """
+    said = _messages(messages, max_bytes, chunk).select("conv_id", F.transform("items", lambda m: F.struct(
+        F.coalesce(m["role"], F.lit("")).alias("role"),
+        F.coalesce(m["content"], F.lit("")).alias("content"))).alias("messages"))
+    fields = [F.lit(model).alias("model"), F.col("messages")]
+    if options is not None:
+        said = said.join(options, "conv_id", "left")
+        fields += [
+            _unless_zero("temperature", 0.0), _unless_zero("top_p", 0.0), _unless_zero("n", 0),
+            _unless_zero("stream", False), F.when(F.size("stop") > 0, F.col("stop")).alias("stop"),
+            _unless_zero("max_tokens", 0), _unless_zero("user", "")]
+    return said.select("conv_id", F.to_json(F.struct(*fields)).alias("request"))
+
+
+def build_worker_requests(
+    messages: DataFrame, model: str, options: DataFrame, max_bytes: int = MAX_HISTORY_BYTES,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """One document per conversation for a model worker: its prompt and all options a worker takes.
+
+    ``options`` is as for ``build_requests``, with its defaults filled in; what is missing is 0 or false.
+    """
+    def given(name: str, default: object) -> Column:
+        return F.coalesce(F.col(name), F.lit(default))
+
+    asked = build_prompts(messages, max_bytes, chunk).join(options, "conv_id", "left")
+    return asked.select("conv_id", F.to_json(F.struct(
+        F.lit(model).alias("model"), "prompt", given("temperature", 0.0).alias("temperature"),
+        given("top_p", 0.0).alias("top_p"), given("max_tokens", 0).alias("max_new_tokens"),
+        given("stream", False).alias("stream"))).alias("request"))
 
 
 def truncate_tokens(df: DataFrame, col: str, context_len: int, max_new: int) -> DataFrame:
@@ -271,10 +318,48 @@ def _data_line(done: Column, body: Column) -> Column:
         F.when(failed, F.lit("malformed frame")))
 
 
+def whole_frames(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (request_id, seq, raw) that hold whole frames, from pieces cut anywhere, in order of seq.
+
+    What follows the last frame end of a row goes to the next row with a frame end, together with the
+    rows between. Frame ends are counted in chunks first, so a long stream spreads over tasks.
+    """
+    pieces = df.select(
+        "request_id", "seq", "raw", F.floor(F.col("seq") / chunk).alias("chunk"),
+        F.contains("raw", F.lit(NUL)).cast("bigint").alias("nuls"),
+        F.contains("raw", F.lit("\n")).cast("bigint").alias("lines"))
+    stream = Window.partitionBy("request_id")
+    earlier = stream.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("request_id", "chunk").agg(F.sum("nuls").alias("n"), F.sum("lines").alias("l"))
+    counts = counts.withColumn("is_nul", F.max("n").over(stream) > 0)
+    counts = counts.select("request_id", "chunk", "is_nul", F.coalesce(F.sum(
+        F.when(F.col("is_nul"), F.col("n")).otherwise(F.col("l"))).over(earlier), F.lit(0)).alias("ends"))
+    inside = Window.partitionBy("request_id", "chunk").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, -1)
+    is_nul = F.col("is_nul")
+    rows = pieces.join(counts, ["request_id", "chunk"]).withColumn(
+        "ending", F.when(is_nul, F.col("nuls")).otherwise(F.col("lines"))).withColumn(
+        "place", F.col("ends") + F.coalesce(F.sum("ending").over(inside), F.lit(0))).withColumn(
+        "cut", F.when(F.col("ending") == 0, F.length("raw")).when(is_nul, last_position(
+            F.col("raw"), NUL) + 1).otherwise(last_position(F.col("raw"), "\n") + 1))
+
+    def part(number: int, text: Column) -> Column:
+        return F.struct((F.col("place") + number).alias("place"), F.col("seq"),
+                        F.lit(number).alias("part"), text.alias("text"))
+
+    parts = F.array(part(0, F.substring("raw", F.lit(1), F.col("cut"))),
+                    part(1, F.substr("raw", F.col("cut") + 1)))
+    return rows.select("request_id", F.inline(F.filter(parts, lambda p: p["text"] != ""))).groupBy(
+        "request_id", "place").agg(
+        F.max(F.col("seq") + F.col("part")).alias("seq"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "part", "text"))),
+                                 lambda p: p["text"]), "").alias("raw")).select("request_id", "seq", "raw")
+
+
 def split_frames(df: DataFrame) -> DataFrame:
     """Every frame of df(request_id, seq, raw), terminal or not, in (seq, pos).
 
-    ``raw`` holds whole frames, either JSON each ended by NUL or lines starting with ``data: ``.
+    ``raw`` holds whole frames (see ``whole_frames``), either JSON each ended by NUL or lines starting with ``data: ``.
     Text after the last NUL, blank lines and other lines are not frames.
     """
     keep = [c for c in df.columns if c != "raw"]

@@ -17,7 +17,7 @@ _COVER = "'img/' || lang || '.png'"
 # identifier values in document order
 BOOK_FILES = f"""books AS (
   SELECT '/library/' || source || '/book.' || doc_id || '.epub' AS path, n_chars AS size,
-         TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS ctime, lang, source, doc_id,
+         TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(doc_id % 1000000 AS INTEGER)) AS ctime, lang, source, doc_id,
          md5(CAST(doc_id AS VARCHAR)) AS digest, {CLEAN_TEXT} AS description,
          md5('urn:uuid:' || md5(CAST(doc_id AS VARCHAR)) || CASE lang WHEN 'en' THEN '978' || doc_id
            WHEN 'de' THEN 'B' || doc_id WHEN 'fr' THEN 'second' ELSE '' END) AS identifier,
@@ -25,10 +25,19 @@ BOOK_FILES = f"""books AS (
   FROM documents)"""
 
 
-@QUERIES.add()
+@QUERIES.add("""
+SELECT source, count(*) AS texts, CAST(sum(strlen(text) + 1) AS BIGINT) AS size
+FROM documents GROUP BY source""")
 def scan_library(spark, d):
-    """The folder of tables itself, listed as a library."""
-    return library.scan_library(spark, d, "*.parquet")
+    """Texts written to a folder per source beside other files, then listed; a text file per document."""
+    folder = shared_folder(spark, "library")
+    docs = v.table(spark, d, "documents")
+    docs.select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 1).text(
+        f"{folder}/shelf/texts")
+    docs.select("source", "doc_id").write.partitionBy("source").json(f"{folder}/shelf/other")
+    found = library.scan_library(spark, folder, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source")).agg(
+        F.count("*").alias("texts"), F.sum("size").alias("size"))
 
 
 _FILES = "files AS (SELECT '/library/' || doc_id || '.epub' AS path, n_chars AS size FROM documents)"
@@ -67,7 +76,7 @@ FROM books"""
 
 @QUERIES.add(query(BOOK_FILES, body=METADATA_SQL))
 def book_metadata(spark, d):
-    found = ingest.book_metadata(v.packages(spark, d, description=True))
+    found = ingest.book_metadata(v.packages(spark, d))
     return found.withColumn("tags", F.array_join("tags", ",")).drop(
         "utime", "rating", "count_visit", "count_download", "cover_key", "bucket")
 
@@ -171,9 +180,16 @@ def list_buckets(spark, d):
     return covers.list_buckets(covers.read_covers(spark, _written_covers(spark, d)))
 
 
-@QUERIES.add("""
-SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title,
-       regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1) AS language,
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)"
+for _entity, _char in ingest.ENTITIES:
+    _TITLE = f"replace({_TITLE}, '{_entity}', chr({ord(_char)}))"
+_LANG = " || ".join(
+    f"regexp_extract(html, '(?i)<html\\s(?:[^>]*?\\s)?lang\\s*=\\s*(?:{_form})', 1)" for _form in (
+        '"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)"))
+
+
+@QUERIES.add(f"""
+SELECT page_id, url, {_TITLE} AS title, {_LANG} AS language,
        CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS links,
        CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\\s>]')) AS BIGINT) AS headings
 FROM pages""")

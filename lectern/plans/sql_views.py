@@ -12,7 +12,7 @@ seen AS (
   FROM items WHERE event_type IN ('view', 'purchase') GROUP BY k),
 books AS (
   SELECT p_partkey AS id, p_name AS title, p_brand AS author, p_type AS category,
-         TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(p_partkey AS INTEGER)) AS ctime,
+         TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(p_partkey % 1000000 AS INTEGER)) AS ctime,
          '/library/' || p_type || '/' || p_partkey || '.epub' AS path,
          coalesce(lang, '') AS language, coalesce(source, '') AS publisher,
          coalesce(n_chars, 0) AS size, coalesce(views, 0) AS count_visit,

@@ -58,21 +58,49 @@ def build_prompts_short(spark, d):
     return chat.build_prompts(v.messages(spark, d), 1500)
 
 
-@QUERIES.add(query(_KEPT.format(limit=8192), body="""
-SELECT c.conv_id, '{"model":"vicuna-13b-v1.5-16k","messages":[' || coalesce(string_agg(
-    '{"role":' || to_json(role) || ',"content":' || to_json(content) || '}', ',' ORDER BY turn), '')
-  || ']}' AS request
-FROM (SELECT DISTINCT conv_id FROM messages) c LEFT JOIN kept k ON k.conv_id = c.conv_id
-GROUP BY c.conv_id"""))
+_MODEL = "vicuna-13b-v1.5-16k"
+
+_OPTIONS = """options AS (
+  SELECT DISTINCT conv_id, (conv_id % 10) / 10.0::DOUBLE AS temperature,
+         CASE WHEN conv_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS top_p, least(conv_id % 4, 1) AS n,
+         conv_id % 2 = 0 AS stream, CASE WHEN conv_id % 5 = 0 THEN ['</s>', 'USER:'] ELSE [] END AS stop,
+         CASE WHEN (conv_id % 4) * 100 = 0 THEN 512 ELSE (conv_id % 4) * 100 END AS max_tokens,
+         CASE WHEN conv_id % 6 > 0 THEN 'user-' || conv_id ELSE '' END AS user_name
+  FROM conversations WHERE conv_id % 7 > 0)"""
+
+
+@QUERIES.add(query(MESSAGES, _OPTIONS, body="""
+SELECT m.conv_id, '{"model":"vicuna-13b-v1.5-16k","messages":[' || string_agg(
+    '{"role":' || to_json(role) || ',"content":' || to_json(content) || '}', ',' ORDER BY turn) || ']'
+  || any_value(coalesce(
+    CASE WHEN temperature > 0 THEN ',"temperature":' || to_json(temperature) ELSE '' END
+    || CASE WHEN top_p > 0 THEN ',"top_p":1.0' ELSE '' END
+    || CASE WHEN n > 0 THEN ',"n":' || n ELSE '' END
+    || CASE WHEN stream THEN ',"stream":true' ELSE '' END
+    || CASE WHEN len(stop) > 0 THEN ',"stop":' || to_json(stop) ELSE '' END
+    || ',"max_tokens":' || max_tokens
+    || CASE WHEN user_name <> '' THEN ',"user":' || to_json(user_name) ELSE '' END, '')) || '}' AS request
+FROM messages m LEFT JOIN options o ON o.conv_id = m.conv_id GROUP BY m.conv_id"""))
 def build_requests(spark, d):
-    return chat.build_requests(v.messages(spark, d), "vicuna-13b-v1.5-16k")
+    return chat.build_requests(v.messages(spark, d), _MODEL, v.request_options(spark, d))
+
+
+@QUERIES.add(query(_KEPT.format(limit=8192), _OPTIONS, body=f"""
+SELECT p.conv_id, '{{"model":"{_MODEL}","prompt":' || to_json(prompt)
+  || ',"temperature":' || to_json(coalesce(temperature, 0.0::DOUBLE))
+  || ',"top_p":' || to_json(coalesce(top_p, 0.0::DOUBLE))
+  || ',"max_new_tokens":' || coalesce(max_tokens, 0)
+  || ',"stream":' || coalesce(stream, false)::VARCHAR || '}}' AS request
+FROM ({_PROMPT}) p LEFT JOIN options o ON o.conv_id = p.conv_id"""))
+def build_worker_requests(spark, d):
+    return chat.build_worker_requests(v.messages(spark, d), _MODEL, v.request_options(spark, d))
 
 
 @QUERIES.add("""
 SELECT doc_id, lang, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS BIGINT) AS tokens
 FROM documents""")
 def count_tokens(spark, d):
-    return chat.count_tokens(v.documents(spark, d), "text", "[^ \\t\\n\\r]+").select(
+    return chat.count_tokens(v.table(spark, d, "documents"), "text", "[^ \\t\\n\\r]+").select(
         "doc_id", "lang", "tokens")
 
 
@@ -80,7 +108,7 @@ def count_tokens(spark, d):
 SELECT lang, source, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'))) AS BIGINT) AS tokens
 FROM documents GROUP BY lang, source""")
 def count_tokens_by_source(spark, d):
-    counted = chat.count_tokens(v.documents(spark, d), "text", "[A-Za-z]+|[0-9]+")
+    counted = chat.count_tokens(v.table(spark, d, "documents"), "text", "[A-Za-z]+|[0-9]+")
     return counted.groupBy("lang", "source").agg(F.sum("tokens").alias("tokens"))
 
 
@@ -151,7 +179,7 @@ def _stop_sql(stops):
 
 @QUERIES.add(_stop_sql(_STOPS))
 def cut_at_stop(spark, d):
-    return chat.cut_at_stop(v.documents(spark, d).select("doc_id", "text"), "text", _STOPS)
+    return chat.cut_at_stop(v.table(spark, d, "documents").select("doc_id", "text"), "text", _STOPS)
 
 
 @QUERIES.add("""
@@ -199,6 +227,12 @@ SELECT request_id, array_to_string(lines, '') AS text,
 FROM replies""")
 
 
+@QUERIES.add(ASSEMBLED)
+def assemble_cut_replies(spark, d):
+    """The same replies from frames that were cut anywhere on their way."""
+    return chat.assemble_replies(chat.whole_frames(v.cut_frames(spark, d)))
+
+
 @QUERIES.add(ASSEMBLED)
 def assemble_replies(spark, d):
     return chat.assemble_replies(v.frames(spark, d))
@@ -256,7 +290,7 @@ def merge_call_options(spark, d):
 def _inputs(spark, d):
     """Documents as embedding inputs: a string, strings, a number, an object, by language."""
     text, lines = F.to_json(F.array("text")), F.to_json(F.split("text", "\n", -1))
-    return v.documents(spark, d).select(
+    return v.table(spark, d, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.when(F.col("lang") == "en", F.substr(text, F.lit(2), F.length(text) - 2))
         .when(F.col("lang") == "fr", lines)
@@ -310,7 +344,7 @@ FROM (SELECT doc_id, length(text) AS chars, len(string_split(text, ' ')) AS word
              length(text) >= 300 AS ok FROM documents)""")
 def complete_batch(spark, d):
     return requests.complete_batch(
-        v.documents(spark, d).withColumnRenamed("text", "prompt"), word_counter, "doc_id")
+        v.table(spark, d, "documents").withColumnRenamed("text", "prompt"), word_counter, "doc_id")
 
 
 def letter_counter(texts: list[str]) -> list[list[float]]:
@@ -325,6 +359,6 @@ FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS no
       FROM (SELECT doc_id, [CAST(length(text) AS DOUBLE), length(text) - length(replace(text, 'e', '')),
                             length(text) - length(replace(text, ' ', '')), 1] AS v FROM documents))""")
 def embed_batch(spark, d):
-    embedded = requests.embed_batch(v.documents(spark, d), letter_counter, "doc_id")
+    embedded = requests.embed_batch(v.table(spark, d, "documents"), letter_counter, "doc_id")
     return vectors.l2_normalize(embedded, "embedding").select(
         "doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))

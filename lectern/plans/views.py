@@ -6,46 +6,27 @@ Spark cannot know that they are one-to-one and would run them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lectern.operators.requests import apply_request_defaults
 from lectern.plans.containers import pack
 from lectern.sources.library import FILES_SCHEMA
 
 EPOCH = "TIMESTAMP_NTZ'2020-01-01 00:00:00'"
 
 
-# Below this size a table of few files is spread over all cores first.
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-_schemas: dict[str, T.StructType] = {}
+# Times made from keys stay within this many steps of the epoch, however large the keys are.
+SPAN = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its footer is read for the schema once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A small input with few files, spread over the cores for work that is heavy per row.
-
-    Larger inputs come in enough splits of their own and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < SPREAD_BELOW_BYTES and len(df.inputFiles()) < cores:
-        return df.repartition(cores, key)
-    return df
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work on their texts."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+def after_epoch(unit: str, key: str) -> Column:
+    """A time as many units after the epoch as the key says, modulo ``SPAN``."""
+    return F.expr(f"timestampadd({unit}, CAST(pmod({key}, {SPAN}) AS INT), {EPOCH})")
 
 
 def event_items(
@@ -62,7 +43,7 @@ def books(spark: SparkSession, sf_dir: str, details: bool = False, counts: bool
     out = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"),
         F.col("p_type").alias("category"),
-        F.expr(f"timestampadd(HOUR, CAST(p_partkey AS INT), {EPOCH})").alias("ctime"),
+        after_epoch("HOUR", "p_partkey").alias("ctime"),
         F.concat(F.lit("/library/"), "p_type", F.lit("/"), "p_partkey", F.lit(".epub")).alias("path"))
     if details:
         text = table(spark, sf_dir, "documents").select(
@@ -135,6 +116,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
 
 
+def request_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of the conversations with the defaults filled in; every seventh has none."""
+    conv = F.col("conv_id")
+    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().filter(conv % 7 > 0).select(
+        "conv_id", ((conv % 10) / 10).alias("temperature"),
+        F.when(conv % 3 > 0, 1.0).otherwise(0.0).alias("top_p"), (conv % 4).alias("n"),
+        (conv % 2 == 0).alias("stream"),
+        F.when(conv % 5 == 0, F.array(F.lit("</s>"), F.lit("USER:"))).alias("stop"),
+        (conv % 4 * 100).alias("max_tokens"),
+        F.when(conv % 6 > 0, F.concat(F.lit("user-"), conv)).otherwise(F.lit("")).alias("user"))
+    return apply_request_defaults(asked)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies as response documents, one choice per line of text."""
     lines = F.split("text", "\n", -1)
@@ -188,14 +182,24 @@ def frames(spark: SparkSession, sf_dir: str, conversations: DataFrame | None = N
         (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), F.posexplode(raws).alias("seq", "raw"))
     return rows.select(
         "request_id", F.col("seq").cast("bigint").alias("seq"),
-        F.expr(f"timestampadd(SECOND, seq, timestampadd(MINUTE, CAST(request_id AS INT), {EPOCH}))").alias("ts"),
+        F.timestamp_add("SECOND", F.col("seq").cast("int"), after_epoch("MINUTE", "request_id")).alias("ts"),
         "raw")
 
 
-def packages(spark: SparkSession, sf_dir: str, description: bool = False) -> DataFrame:
+def cut_frames(spark: SparkSession, sf_dir: str, size: int = 23) -> DataFrame:
+    """The frames of each reply as one stream, cut into pieces of ``size`` characters."""
+    whole = frames(spark, sf_dir).groupBy("request_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "raw"))), lambda f: f["raw"]), "").alias("raw"))
+    starts = F.sequence(F.lit(1), F.length("raw"), F.lit(size))
+    return whole.select("request_id", F.posexplode(F.transform(
+        starts, lambda at: F.substring("raw", at, F.lit(size)))).alias("seq", "raw")).withColumn(
+        "seq", F.col("seq").cast("bigint"))
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as package documents (path, size, ctime, opf_xml, cover_bytes, error).
 
-    The text becomes the description where the query reads it.
+    The text is the description.
     """
     def element(name, value, attributes=""):
         return F.concat(F.lit(f"<dc:{name}{attributes}>"), value, F.lit(f"</dc:{name}>"))
@@ -206,7 +210,7 @@ def packages(spark: SparkSession, sf_dir: str, description: bool = False) -> Dat
     text = F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
-    described = element("description", text) if description else none
+    described = element("description", text)
     opf = F.concat(
         F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="2.0"><metadata '
               'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf">'),
@@ -225,10 +229,10 @@ def packages(spark: SparkSession, sf_dir: str, description: bool = False) -> Dat
         F.lit('"/></metadata><manifest><item id="cover-image" href="old.png"/>'
               '<item id="c" properties="cover-image" href="img/'), lang,
         F.lit('.png"/><item id="text" href="text.xhtml"/></manifest></package>'))
-    return documents(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("/library/"), source, F.lit("/book."), "doc_id", F.lit(".epub")).alias("path"),
         F.col("n_chars").alias("size"),
-        F.expr(f"CAST(timestampadd(HOUR, CAST(doc_id AS INT), {EPOCH}) AS TIMESTAMP)").alias("ctime"),
+        after_epoch("HOUR", "doc_id").cast("timestamp").alias("ctime"),
         opf.alias("opf_xml"), F.encode(digest, "UTF-8").alias("cover_bytes"),
         F.lit(None).cast("string").alias("error"))
 
@@ -238,7 +242,7 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Those of one source are cut off and cannot be opened.
     """
-    return packages(spark, sf_dir, description=True).withColumn(
+    return packages(spark, sf_dir).withColumn(
         "broken", F.contains("path", F.lit("/src7/"))).mapInPandas(
             pack, FILES_SCHEMA)
 
@@ -252,8 +256,11 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as speech requests; English ones leave the language to the default."""
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("id"), "text",
+    """Documents as speech requests; English ones leave the language to the default.
+
+    Their texts hold a noncharacter, which is text like any other.
+    """
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.replace("text", F.lit("th"), F.lit("\ufdd0")).alias("text"),
         F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")).alias("lang"),
         F.concat(F.lit("voice_"), F.col("doc_id") % 200).alias("audio_id"))
