@@ -26,9 +26,6 @@ SUCCESS_CODE, SUCCESS_MESSAGE = 200, "sucesss"
 DEFAULT_LIMIT = 10
 FEED_RANDOM, FEED_RECENT, FEED_BELOW = 10, 12, 30
 
-# Omit lists up to this many ids become a literal predicate; longer ones must come as a DataFrame.
-MAX_LITERAL_IDS = 1000
-
 
 def _matches(q: str, category: str, author: str, ci: bool, wildcards: bool) -> Column:
     condition = F.lit(True)
@@ -45,12 +42,18 @@ def _matches(q: str, category: str, author: str, ci: bool, wildcards: bool) -> C
 
 def search_books(
     books: DataFrame, q: str = "", category: str = "", author: str = "", page_size: int = 20,
-    page_num: int = 0, ci: bool = True, wildcards: bool = False,
+    page_num: int = 0, ci: bool = True, wildcards: bool = False, after_id: int | None = None,
 ) -> DataFrame:
-    """One page of matching books in id order; empty arguments do not filter."""
+    """One page of matching books in id order; empty arguments do not filter.
+
+    A page far back makes one task go through all pages before it. With ``after_id``, the last id of
+    the page before, only books beyond it are read, so every page costs the same.
+    """
     if page_size < 0 or page_num < 0:
         raise ValueError("page_size and page_num must not be negative")
     found = books.filter(_matches(q, category, author, ci, wildcards))
+    if after_id is not None:
+        found = found.filter(F.col("id") > after_id)
     return found.orderBy("id").offset(page_size * page_num).limit(page_size)
 
 
@@ -90,11 +93,9 @@ def book_stats(books: DataFrame, tags: DataFrame | None = None, approx: bool = F
 def _without(books: DataFrame, omit: DataFrame | Sequence[int] | None) -> DataFrame:
     if omit is None:
         return books
-    if isinstance(omit, DataFrame):
-        return books.join(omit.select(F.col(omit.columns[0]).alias("id")), "id", "left_anti")
-    if len(omit) > MAX_LITERAL_IDS:
-        raise ValueError(f"pass more than {MAX_LITERAL_IDS} ids as a DataFrame")
-    return books.filter(~F.col("id").isin(*omit)) if omit else books
+    if not isinstance(omit, DataFrame):
+        omit = books.sparkSession.createDataFrame([(x,) for x in omit], "id bigint")
+    return books.join(omit.select(F.col(omit.columns[0]).alias("id")), "id", "left_anti")
 
 
 def recent_books(

@@ -20,6 +20,11 @@ DEFAULT_PUBLISH_DATE = "1970-01-01"
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
 
 
+# Entities of markup, the ampersand behind those that could come out of it.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\xa0"), ("&amp;", "&"))
+
+
 def new_files(files: DataFrame, seen: DataFrame, refresh: bool = False) -> DataFrame:
     """Files whose path has not been loaded, or all of them on refresh."""
     return files if refresh else files.join(seen.select("path"), "path", "left_anti")
@@ -158,22 +163,39 @@ def new_rows(
     existing: DataFrame, incoming: DataFrame, key: str = "identifier",
     order: Sequence[str] = ("ctime",),
 ) -> DataFrame:
-    """The incoming rows that ``insert_new`` adds."""
+    """The incoming rows that ``insert_new`` adds.
+
+    The least first order of each key is found on two narrow columns; only rows that have it, and whose
+    key is new, are compared whole.
+    """
     columns = [c for c in incoming.columns if c != key]
+    least = incoming.groupBy(F.col(key).alias("_key")).agg(F.min(order[0]).alias("_least"))
+    least = least.join(existing.select(F.col(key).alias("_key")), "_key", "left_anti")
+    incoming = incoming.join(least, F.col(key).eqNullSafe(F.col("_key")) & F.col(order[0]).eqNullSafe(
+        F.col("_least")), "left_semi")
     first = incoming.groupBy(key).agg(
         F.min_by(F.struct(*columns), F.struct(*order)).alias("row")).select(key, "row.*")
-    return first.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    return first.select(*incoming.columns)
+
+
+def unescaped(text: Column) -> Column:
+    """Text with the common named entities replaced, the ampersand last."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def markup_metadata(pages: DataFrame) -> DataFrame:
     """Title, language and counts of links and headings from page markup."""
     html = F.col("html")
 
-    def found(pattern: str) -> Column:
-        return F.coalesce(F.regexp_extract(html, pattern, 1), F.lit(""))
+    def found(pattern: str, group: int = 1) -> Column:
+        return F.coalesce(F.regexp_extract(html, pattern, group), F.lit(""))
 
+    # in double quotes, in single ones, or bare
+    lang = r"""(?i)<html\s(?:[^>]*?\s)?lang\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     return pages.select(
-        "page_id", "url", found("(?is)<title[^>]*>([^<]*)</title>").alias("title"),
-        found("(?i)<html[^>]* lang=\"([^\"]*)\"").alias("language"),
+        "page_id", "url", unescaped(found("(?is)<title[^>]*>([^<]*)</title>")).alias("title"),
+        F.concat(*[found(lang, group) for group in (1, 2, 3)]).alias("language"),
         F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*href=")).cast("bigint").alias("links"),
         F.regexp_count(html, F.lit(r"(?i)<h[1-6][\s>]")).cast("bigint").alias("headings"))

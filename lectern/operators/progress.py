@@ -10,9 +10,6 @@ EXPECTED_DAYS = 15
 SHELF_SIZE = 20
 DEFAULT_LIMIT = 10
 
-# A page of at most this many rows is small enough to broadcast.
-MAX_BROADCAST_ROWS = 10_000
-
 _STATE = ["progress", "progress_index", "para_position"]
 
 
@@ -30,14 +27,16 @@ def valid_progress(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _from_events(events: DataFrame) -> DataFrame:
     """Events reduced to one row per key: first event time and the state of the last event.
 
-    The reduction runs before the shuffle, so a key with very many events moves few rows.
+    The reduction runs before the shuffle, so a key with very many events moves few rows. Time and event
+    id make one number, so that all it keeps is of fixed width and no event is sorted.
     """
-    order = F.struct("ts", "event_id")
-    return events.groupBy(*KEYS).agg(
-        F.min("ts").alias("first_ts"),
-        F.max_by(F.struct("ts", *_STATE), order).alias("last"),
-    ).select(*KEYS, "first_ts", F.col("last.ts").alias("last_ts"), *[
-        F.col(f"last.{c}").alias(c) for c in _STATE])
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(17,0)")
+    order = (micros * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)") + F.col("event_id").cast(
+        "decimal(19,0)")
+    placed = events.withColumn("_order", order.cast("decimal(38,0)"))
+    return placed.groupBy(*KEYS).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *[F.max_by(c, "_order").alias(c) for c in _STATE])
 
 
 def upsert_progress(existing: DataFrame | None, events: DataFrame) -> DataFrame:
@@ -78,10 +77,8 @@ def merge_changes(changes: DataFrame, order: str) -> DataFrame:
     """
     first, last = ["start_date", "expt_end_date", "end_date"], ["updated_at", *_STATE]
     return changes.groupBy(*KEYS).agg(
-        F.min_by(F.struct(*first), order).alias("first"),
-        F.max_by(F.struct(*last), order).alias("last"),
-    ).select(*KEYS, "first.start_date", "last.updated_at", "first.expt_end_date", "first.end_date",
-             *[f"last.{c}" for c in _STATE])
+        *[F.min_by(c, order).alias(c) for c in first], *[F.max_by(c, order).alias(c) for c in last],
+    ).select(*KEYS, "start_date", "updated_at", "expt_end_date", "end_date", *_STATE)
 
 
 def update_progress(existing: DataFrame, events: DataFrame) -> DataFrame:
@@ -117,10 +114,7 @@ def reading_books(
     page shorter.
     """
     mine = progress.filter(F.col("user_id") == user_id).select("book_id", "updated_at", *_STATE)
-    size = limit or DEFAULT_LIMIT
-    page = mine.orderBy(F.desc("updated_at"), "book_id").offset(offset).limit(size)
-    # the page size bounds what is broadcast
-    page = F.broadcast(page) if size <= MAX_BROADCAST_ROWS else page
+    page = mine.orderBy(F.desc("updated_at"), "book_id").offset(offset).limit(limit or DEFAULT_LIMIT)
     return (
         books.join(page, books["id"] == page["book_id"], "inner")
         .drop("book_id").orderBy(F.desc("updated_at"), "id"))
@@ -152,11 +146,14 @@ def all_shelves(
     """The reading and the liked shelf of every user, at most ``k`` books each."""
     shown = books.select(F.col("id").alias("book_id"), "title", "author")
     columns = ["user_id", "shelf", "position", "book_id", "title", "author", "shelved_at", *_STATE]
-    read = progress.select(*KEYS, F.col("updated_at").alias("shelved_at"), *_STATE)
-    reading = _newest(read, "shelved_at", k).join(shown, "book_id", "inner").withColumn(
+    # both shelves need the same rows and columns, so Spark works the progress table out once
+    read = progress.select(*KEYS, "updated_at", *_STATE).filter(
+        F.col("book_id").isNotNull() & F.col("user_id").isNotNull())
+    reading = _newest(read.withColumnRenamed("updated_at", "shelved_at"), "shelved_at", k).join(shown, "book_id", "inner").withColumn(
         "shelf", F.lit("reading"))
     # a favourite without a book takes no place on the shelf
     present = favs.select(*KEYS, F.col("updated_at").alias("shelved_at")).join(shown, "book_id", "inner")
-    liked = _newest(present, "shelved_at", k).join(
-        progress.select(*KEYS, *_STATE), KEYS, "left").withColumn("shelf", F.lit("liked"))
+    liked = _newest(present, "shelved_at", k).join(read, KEYS, "left").withColumn(
+        "shelf", F.lit("liked")).withColumns({
+            c: F.when(F.col("updated_at").isNotNull(), F.col(c)) for c in _STATE})
     return reading.select(*columns).unionByName(liked.select(*columns))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 GAP_SECONDS = 1800
 REFRESH_SECONDS = 60
 _SECOND = 1_000_000
 
-# Steps per chunk when following the refreshes of a long stretch of activity.
-_STEPS_PER_CHUNK = 512
+# Event times that are handled as one block.
+_BLOCK = 1 << 16
 
 
 def session_ids(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,7 +43,7 @@ def _slot(micros: Column, width: int) -> Column:
 
 
 def sessionize(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
-    """Sessions of each user: a new one starts after more than ``gap`` idle seconds.
+    """Sessions of each user: a new one starts after more than ``gap`` whole idle seconds.
 
     Two events in one slot as wide as the gap always share a session, so events are first counted
     per (user, slot) before the shuffle. What remains per user is at most one row per slot of the
@@ -50,7 +53,7 @@ def sessionize(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     by_user = Window.partitionBy("user_id").orderBy("slot")
     idle = _micros("first_ts") - F.lag(_micros("last_ts")).over(by_user)
-    starts = F.coalesce(idle > gap * _SECOND, F.lit(True)).cast("bigint")
+    starts = F.coalesce(idle >= (gap + 1) * _SECOND, F.lit(True)).cast("bigint")
     return (
         slots.withColumn("starts", starts)
         .withColumn("session_no", F.sum("starts").over(by_user))
@@ -59,6 +62,39 @@ def sessionize(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
             F.sum("n").alias("events")))
 
 
+class LazyFollower:
+    """The session of one user, carried over sorted event times in microseconds.
+
+    Only refreshes matter: the next one is the first event at least ``step`` after the last, found by a
+    search, so the events between are counted but never visited. A refresh that comes ``limit`` or more
+    after the last one starts a session.
+    """
+
+    def __init__(self, gap: int, refresh: int) -> None:
+        self.limit = (gap + 1) * _SECOND
+        self.step = min((refresh + 1) * _SECOND, self.limit)
+        self.open: tuple[int, int, int, int] | None = None
+
+    def feed(self, times: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Takes later events and gives the sessions (start, refreshed, last, events) they close."""
+        closed, at = [], 0
+        if self.open is None and len(times):
+            self.open, at = (int(times[0]), int(times[0]), int(times[0]), 1), 1
+        while at < len(times):
+            start, seen, last, n = self.open
+            due = int(np.searchsorted(times, seen + self.step))
+            if due > at:
+                last, n = int(times[due - 1]), n + due - at
+            if due < len(times):
+                now = int(times[due])
+                if now - seen >= self.limit:
+                    closed.append((start, seen, last, n))
+                    start, n = now, 0
+                seen, last, n, due = now, now, n + 1, due + 1
+            self.open, at = (start, seen, last, n), due
+        return closed
+
+
 def sessionize_lazy(
     events: DataFrame, gap: int = GAP_SECONDS, refresh: int = REFRESH_SECONDS,
 ) -> DataFrame:
@@ -67,103 +103,72 @@ def sessionize_lazy(
     With whole seconds since the last refresh: above ``gap`` a new session starts, else above
     ``refresh`` the time is refreshed, else it stays. Expiry therefore counts from the last refresh.
 
-    After a pause longer than ``refresh`` the event refreshes (or starts a session) whatever came
-    before. Such pauses cut a user's events into stretches that do not depend on each other; inside
-    one no session ends, since the gap is more than twice the refresh time. A
-    stretch no longer than the refresh time is refreshed only at its start; only longer ones need
-    their refreshes followed, and that is done chunk by chunk (see ``_last_refresh``).
+    Events are dealt and sorted by ranges of (user, time), so those of a busy user spread over tasks,
+    and packed into blocks of bounded size. Each user's blocks then pass one by one, in order, and only
+    the refreshes in them are looked up.
     """
-    if not 0 < 2 * refresh < gap:
-        raise ValueError("refresh must be positive and less than half of gap")
-    step, limit = (refresh + 1) * _SECOND, (gap + 1) * _SECOND
-    kind = events.schema["ts"].dataType
-
-    def at(micros: Column) -> Column:
+    if gap < 0 or refresh < 0:
+        raise ValueError("gap and refresh must not be negative")
+    user, kind = events.schema["user_id"].dataType.simpleString(), events.schema["ts"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            users, times = batch.column(0), batch.column(1).to_numpy()
+            if not len(times):
+                continue
+            ends = np.append(np.flatnonzero(_changes(users)) + 1, len(times))
+            cuts = sorted({*ends.tolist(), *range(_BLOCK, len(times), _BLOCK)})
+            begins = [0, *cuts[:-1]]
+            yield pa.record_batch([
+                users.take(pa.array(begins)), times[begins], times[np.array(cuts) - 1],
+                pa.array([times[i:j].tobytes() for i, j in zip(begins, cuts)], pa.binary())],
+                names=["user_id", "first_us", "last_us", "times"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, follower, number = None, None, 0
+        names = ["user_id", "session_no", "start", "seen", "last", "events"]
+        for batch in itertools.chain(batches, [None]):
+            rows = []
+
+            def note(closed: list[tuple[int, int, int, int]]) -> None:
+                nonlocal number
+                for session in closed:
+                    number += 1
+                    rows.append((current, number, *session))
+
+            for who, times in zip(*(batch.column(i) for i in range(2))) if batch is not None else ():
+                who = who.as_py()
+                if follower is None or who != current:
+                    if follower is not None:
+                        note([follower.open])
+                    current, follower, number = who, LazyFollower(gap, refresh), 0
+                note(follower.feed(np.frombuffer(times.as_buffer(), np.int64)))
+            if batch is None and follower is not None:
+                note([follower.open])
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema(
+                    [("user_id", users_type), *[(n, pa.int64()) for n in names[1:]]]))
+
+    users_type = to_arrow_type(events.schema["user_id"].dataType)
+    stamps = events.select("user_id", _micros("ts").alias("us")).filter(F.col("us").isNotNull())
+    blocks = stamps.repartitionByRange("user_id", "us").sortWithinPartitions("user_id", "us").mapInArrow(
+        pack, f"user_id {user}, first_us bigint, last_us bigint, times binary")
+    order = ["user_id", "first_us", "last_us"]
+    sessions = blocks.repartition("user_id").sortWithinPartitions(*order).select("user_id", "times").mapInArrow(
+        follow, f"user_id {user}, session_no bigint, start bigint, seen bigint, last bigint, events bigint")
+
+    def at(micros: str) -> Column:
         return F.timestamp_micros(micros).cast(kind)
 
-    stamps = events.select("user_id", _micros("ts").alias("us")).withColumn(
-        "slot", _slot(F.col("us"), step))
-    by_user = Window.partitionBy("user_id").orderBy("slot")
-    slots = stamps.groupBy("user_id", "slot").agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
-    pause = F.col("first_us") - F.lag("last_us").over(by_user)
-    slots = (
-        slots.withColumn("cut", F.coalesce(pause >= step, F.lit(True)).cast("bigint"))
-        .withColumn("stretch", F.sum("cut").over(by_user)))
-    stretches = slots.groupBy("user_id", "stretch").agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-        F.sum("n").alias("n"))
-
-    whole = Window.partitionBy("user_id", "stretch")
-    long_slots = (
-        slots.withColumn("span", F.max("last_us").over(whole) - F.min("first_us").over(whole))
-        .filter(F.col("span") >= step).select("user_id", "slot", "stretch"))
-    followed = _last_refresh(stamps.join(long_slots, ["user_id", "slot"]), step)
-
-    by_start = Window.partitionBy("user_id").orderBy("first_us")
-    known = stretches.join(followed, ["user_id", "stretch"], "left").withColumn(
-        "refreshed", F.coalesce("refreshed", "first_us"))
-    age = F.col("first_us") - F.lag("refreshed").over(by_start)
-    return (
-        known.withColumn("starts", F.coalesce(age >= limit, F.lit(True)).cast("bigint"))
-        .withColumn("session_no", F.sum("starts").over(by_start))
-        .groupBy("user_id", "session_no").agg(
-            at(F.min("first_us")).alias("session_start"),
-            at(F.max("refreshed")).alias("refreshed_at"),
-            at(F.max("last_us")).alias("last_seen"),
-            F.sum("n").alias("events")))
-
+    return sessions.select("user_id", "session_no", at("start").alias("session_start"),
+                           at("seen").alias("refreshed_at"), at("last").alias("last_seen"), "events")
 
-def _chunk_exits(times: np.ndarray, step: int) -> tuple[list[int], list[int]]:
-    """Last refresh inside a chunk for every possible first one.
 
-    ``times`` are sorted and distinct. The first refresh in the chunk is one of the events within
-    one step of its start. Returned is a step function: first refresh up to ``upto[i]`` (and after
-    ``upto[i-1]``) ends in ``exits[i]``.
-    """
-    after = np.searchsorted(times, times + step)
-    place = np.arange(len(times))
-    last = np.where(after < len(times), after, place)
-    # following two steps at once doubles the reach each time, until every chain has arrived
-    while not np.array_equal(further := last[last], last):
-        last = further
-    first = min(int(after[0]) + 1, len(times))
-    exits = times[last[:first]]
-    turn = np.append(exits[1:] != exits[:-1], True)
-    return times[:first][turn].tolist(), exits[turn].tolist()
-
-
-def _last_refresh(stamps: DataFrame, step: int) -> DataFrame:
-    """Last refresh of each long stretch; stamps(user_id, stretch, us).
-
-    A chunk covers a fixed number of steps. Each is reduced, independently and in parallel, to a map
-    from its first refresh to its last; the chain over chunks then reads one map after the other. A
-    map has at most one entry per event in the first step of its chunk, so what meets in one row is
-    a small part of a user's events.
-    """
-    @F.pandas_udf("upto array<bigint>, exits array<bigint>")
-    def maps(times: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_chunk_exits(t, step) for t in times], columns=["upto", "exits"])
-
-    chunks = (
-        stamps.groupBy("user_id", "stretch", _slot(F.col("us"), step * _STEPS_PER_CHUNK).alias("chunk"))
-        .agg(F.array_sort(F.collect_set("us")).alias("times"))
-        .select("user_id", "stretch", F.get("times", F.lit(0)).alias("first_us"),
-                F.element_at("times", -1).alias("last_us"), maps("times").alias("map"))
-        .select("user_id", "stretch", "first_us", "last_us", "map.*"))
-
-    def follow(seen: Column, chunk: Column) -> Column:
-        due = seen + step
-        place = F.size(F.filter(chunk["upto"], lambda t: t < due))
-        return F.when(due > chunk["last_us"], seen).otherwise(F.get(chunk["exits"], place))
-
-    before = F.get(F.col("chunks"), F.lit(0))["first_us"] - step
-    return (
-        chunks.groupBy("user_id", "stretch")
-        .agg(F.sort_array(F.collect_list(F.struct("first_us", "last_us", "upto", "exits")))
-             .alias("chunks"))
-        .select("user_id", "stretch",
-                F.aggregate("chunks", before, follow).alias("refreshed")))
+def _changes(values: pa.Array) -> np.ndarray:
+    """Where neighbours differ; nulls equal each other."""
+    same = pc.equal(values[1:], values[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    none = values.is_null().to_numpy(zero_copy_only=False)
+    return ~(same | (none[1:] & none[:-1]))
 
 
 def expired_sessions(sessions: DataFrame, as_of: Column) -> DataFrame:

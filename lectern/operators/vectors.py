@@ -13,15 +13,18 @@ def mean_pool(
 ) -> DataFrame:
     """Mean vector per key over rows whose mask is not 0, with the number of such rows.
 
-    With ``dim`` each position is an average of its own, so a group of any size is reduced before the
-    shuffle to one row of sums per task and nothing is exploded. Without it, vectors of any length
-    are exploded by position and averaged per (key, position).
+    With ``dim``, the size of every vector, each position is an average of its own, so a group of any
+    size is reduced before the shuffle to one row of sums per task and nothing is exploded; a vector of
+    another size fails the job. Without it, vectors of any length are exploded by position and averaged
+    per (key, position).
     """
     if mask is not None:
         df = df.filter(F.col(mask) != 0)
     if dim is not None:
-        averages = [F.avg(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
-        pooled = df.groupBy(key).agg(F.count("*").alias("token_num"), *averages)
+        checked = F.when(F.size(vec) == dim, F.col(vec)).otherwise(
+            F.raise_error(F.lit(f"a vector is not of size {dim}")))
+        averages = [F.avg(F.get("_vec", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
+        pooled = df.select(key, checked.alias("_vec")).groupBy(key).agg(F.count("*").alias("token_num"), *averages)
         return pooled.select(key, "token_num", F.array(*[f"_{i}" for i in range(dim)]).alias("mean"))
     positions = df.select(key, F.posexplode(vec).alias("pos", "x"))
     means = positions.groupBy(key, "pos").agg(

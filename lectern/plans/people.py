@@ -74,9 +74,11 @@ def authorize_requests(spark, d):
 
 @QUERIES.add(query(USERS, TOKENS, body="""
 SELECT id AS user_id, sha1(id || 'pepper') AS api_key FROM users
-WHERE id NOT IN (SELECT user_id FROM tokens)"""))
+WHERE id NOT IN (SELECT user_id * 2 FROM tokens)"""))
 def missing_tokens(spark, d):
-    return accounts.missing_tokens(v.users(spark, d), v.tokens(spark, d), "pepper")
+    # tokens of a wider range of users, so that some of the known ones lack one
+    tokens = v.tokens(spark, d).withColumn("user_id", F.col("user_id") * 2)
+    return accounts.missing_tokens(v.users(spark, d), tokens, "pepper")
 
 
 @QUERIES.add(query(USERS, """seeds AS (
@@ -104,7 +106,7 @@ def session_ids(spark, d):
 
 SESSIONS_SQL = """steps AS (
   SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
-    <= INTERVAL {gap} SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+    < INTERVAL {gap} SECOND + INTERVAL 1 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (
   SELECT user_id, ts, sum(fresh) OVER (
     PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM steps),

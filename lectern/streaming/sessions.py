@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.operators.sessions import GAP_SECONDS, REFRESH_SECONDS
+from lectern.operators.sessions import GAP_SECONDS, REFRESH_SECONDS, LazyFollower
 from lectern.streaming.runs import keep_state_on_disk
 
 
@@ -18,7 +19,8 @@ def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "
     # sessions are merged inside each task before the shuffle, so a busy user moves few rows
     events.sparkSession.conf.set(
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    window = F.session_window("ts", f"{gap} seconds")
+    # whole seconds count, so a pause of less than gap + 1 seconds keeps a session open
+    window = F.session_window("ts", f"{gap + 1} seconds")
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
         .groupBy("user_id", window)
@@ -34,8 +36,7 @@ class LazySessions(StatefulProcessor):
     """
 
     def __init__(self, gap: int, refresh: int) -> None:
-        self.expires = (gap + 1) * 1_000_000
-        self.step = (refresh + 1) * 1_000_000
+        self.gap, self.refresh = gap, refresh
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -55,33 +56,23 @@ class LazySessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # everything before the watermark has arrived
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(us for us, in self.waiting.get())
-        session = self.open.get()
-        closed = []
-        for us in (t for t in waiting if t < now):
-            if session is None:
-                session = (us, us, us, 1)
-                continue
-            start, seen, last, n = session
-            if us - seen >= self.expires:
-                closed.append(session)
-                session = (us, us, us, 1)
-            else:
-                session = (start, us if us - seen >= self.step else seen, us, n + 1)
-        if waiting and waiting[0] < now:
-            later = [(us,) for us in waiting if us >= now]
-            if later:
-                self.waiting.put(later)
-                self._wake(later[0][0])
-            else:
-                self.waiting.clear()
-        if session is not None:
-            if session[1] + self.expires <= now:
-                closed.append(session)
-                session = None
-            else:
-                self._wake(session[1] + self.expires)
+        waiting = np.sort(np.array([us for us, in self.waiting.get()], np.int64))
+        due = int(np.searchsorted(waiting, now))
+        follower = LazyFollower(self.gap, self.refresh)
+        follower.open = self.open.get()
+        closed = follower.feed(waiting[:due])
+        later = waiting[due:].tolist()
+        if due and later:
+            self.waiting.put([(us,) for us in later])
+            self._wake(later[0])
+        elif due:
+            self.waiting.clear()
+        session = follower.open
+        if session is not None and session[1] + follower.limit <= now:
+            closed.append(session)
+            session = None
         if session is not None:
+            self._wake(session[1] + follower.limit)
             self.open.update(session)
         else:
             self.open.clear()
