@@ -36,19 +36,20 @@ def get_session(app: str = "lectern", master: str | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
-_local_base: list[str] = []
+_local_base: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is absent and the session is local.
+    A machine-local folder, removed at the end of the program, is used only where that setting is absent
+    and the session is local.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         if not _local_base:
-            _local_base.append(tempfile.mkdtemp(prefix="lectern-"))
-        base = _local_base[0]
+            _local_base.append(tempfile.TemporaryDirectory(prefix="lectern-"))
+        base = _local_base[0].name
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

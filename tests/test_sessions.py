@@ -41,7 +41,7 @@ def lazy_rows(spark, events, gap, refresh):
     return found
 
 
-@pytest.mark.parametrize("gap,refresh", [(1800, 60), (10, 3), (5, 2)])
+@pytest.mark.parametrize("gap,refresh", [(1800, 60), (10, 3), (5, 2), (100, 60), (5, 5), (3, 10), (0, 0)])
 def test_lazy_sessions_equal_loop(spark, gap, refresh):
     rng = random.Random(gap)
     events = []
@@ -68,9 +68,26 @@ def test_one_user_without_pauses(spark):
     assert lazy_rows(spark, events, 1800, 60)[1] == lazy_by_loop(times, 1800, 60)
 
 
+def test_a_busy_user_is_never_one_array(spark, monkeypatch):
+    """Three million events of one user within an hour, beside others."""
+    monkeypatch.setattr(sessions, "_BLOCK", 10_000)
+    busy = spark.range(3_000_000).select(
+        F.lit(7).cast("bigint").alias("user_id"),
+        F.timestamp_micros(F.col("id") * 1200).cast("timestamp_ntz").alias("ts"))
+    other = spark.createDataFrame([(None, at(0)), (None, at(5)), (8, at(0))], "user_id bigint, ts timestamp_ntz")
+    rows = {r.user_id: r for r in sessions.sessionize_lazy(busy.unionByName(other), 100, 60).collect()}
+    assert {u: r.events for u, r in rows.items()} == {None: 2, 7: 3_000_000, 8: 1}
+    epoch = datetime.datetime(1970, 1, 1)
+    # the first refresh at 61 s, then one at each first event 61 s later
+    seen = 0
+    while (due := -(-(seen + 61_000_000) // 1200) * 1200) < 3_600_000_000:
+        seen = due
+    assert rows[7].refreshed_at == epoch + datetime.timedelta(microseconds=seen)
+
+
 def test_lazy_edges(spark):
     with pytest.raises(ValueError):
-        lazy_rows(spark, [(1, 0)], 5, 3)
+        lazy_rows(spark, [(1, 0)], -1, 3)
     second = 10**6
     # 60 s does not refresh, so 1800 s later counts from the first event
     assert len(lazy_rows(spark, [(1, 0), (1, 60 * second), (1, 1800 * second)], 1800, 60)[1]) == 1
@@ -80,10 +97,12 @@ def test_lazy_edges(spark):
 
 def test_sessions_keep_an_exact_gap_together(spark):
     second = 10**6
-    events = [(1, 0), (1, 1800 * second), (1, 3600 * second + 1), (2, 7), (2, 7)]
+    # idle for 1800.5 s, then for 1801 s
+    events = [(1, 0), (1, 1800 * second + second // 2), (1, 3601 * second + second // 2), (2, 7), (2, 7)]
     rows = sessions.sessionize(frame(spark, events)).orderBy("user_id", "session_no").collect()
     assert [(r.user_id, r.session_start, r.last_seen, r.events) for r in rows] == [
-        (1, at(0), at(1800 * second), 2), (1, at(3600 * second + 1), at(3600 * second + 1), 1),
+        (1, at(0), at(1800 * second + second // 2), 2),
+        (1, at(3601 * second + second // 2), at(3601 * second + second // 2), 1),
         (2, at(7), at(7), 2)]
 
 
