@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import limited
 
 # Labelled documents that are fitted on: at most so many of each pair of labels.
-PER_LABELS = 4000
+PER_LABELS = 2000
 # Letters that are kept of a longer word.
 STEMS = (4, 5)
 # Words that a model weighs: at most so many.
@@ -48,7 +48,7 @@ def words(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LABELS) -> DataFrame:
-    """(quality, toxic, words): a bounded sample of the labelled documents, the same in every run.
+    """(doc_id, quality, toxic, words): a bounded sample of the labelled documents, always the same.
 
     Of each pair of labels the documents with the smallest hashes of their ids; a document with
     different labels counts as bad, and as toxic. The bound makes the sample small enough to be
@@ -68,22 +68,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LA
         for batch in batches:
             for rows in limited(batch):
                 yield pa.record_batch([
-                    rows.column(0), rows.column(1),
-                    pa.array([sorted(words(x)) for x in rows.column(2).to_pylist()], pa.list_(pa.string()))],
-                    names=["quality", "toxic", "words"])
+                    *rows.columns[:3],
+                    pa.array([sorted(words(x)) for x in rows.column(3).to_pylist()], pa.list_(pa.string()))],
+                    names=["doc_id", "quality", "toxic", "words"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     return texts.join(F.broadcast(taken), "doc_id").select(
-        F.col("quality").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(
-        run, "quality int, toxic int, words array<string>")
+        "doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(
+        run, "doc_id bigint, quality int, toxic int, words array<string>")
 
 
 class Linear:
     """Logistic regression on the presence of the words that tell most, and on given columns."""
 
     def __init__(self, lists: list[np.ndarray], more: np.ndarray, target: np.ndarray, size: int) -> None:
-        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
         n, share = len(target), float(target.mean()) if len(target) else 0.0
         self.vocabulary, self.weights = np.empty(0, np.int64), np.zeros(more.shape[1])
         if share in (0.0, 1.0):
@@ -144,19 +144,31 @@ def fit_chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], folds: np
 class Chain:
     """The fitted chain: a few hundred words with a weight for each category."""
 
-    def __init__(self, sample: list[tuple[int, int, list[str]]]) -> None:
-        sample = sorted(sample, key=lambda row: (row[0], row[1], row[2]))
-        names = sorted({w for *_, found in sample for w in found})
-        number = {w: i for i, w in enumerate(names)}
-        lists = [np.array([number[w] for w in found], np.int64) for *_, found in sample]
-        toxic = np.array([float(t == 1) for _, t, _ in sample])
-        # copies of a text fall into one fold
-        folds = np.array([zlib.crc32("\n".join(found).encode()) % FOLDS for *_, found in sample], np.int64)
+    def __init__(self, sample: pa.Table) -> None:
+        """``sample``: (doc_id, quality, toxic, words). Only words of several documents leave Arrow."""
+        found = sample.column("words").combine_chunks()
+        sizes = found.value_lengths().to_numpy()
+        coded = found.flatten().dictionary_encode()
+        common = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)) >= LEAST_DOCUMENTS
+        names = coded.dictionary.filter(pa.array(common)).to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        names = [names[i] for i in order]
+        number = np.full(len(common), -1, np.int32)
+        number[np.flatnonzero(common)[order]] = np.arange(len(names), dtype=np.int32)
+        numbers = np.split(number[coded.indices.to_numpy()], np.cumsum(sizes)[:-1])
+        lists = [np.sort(x[x >= 0]) for x in numbers[:len(sizes)]]
+        # rows in an order of their own, copies of a text in one fold
+        marks = [zlib.crc32(x.tobytes()) for x in lists]
+        ids = sample.column("doc_id").to_pylist()
+        order = sorted(range(len(lists)), key=lambda i: (ids[i], marks[i]))
+        lists = [lists[i] for i in order]
+        folds = np.array([marks[i] % FOLDS for i in order], np.int64)
+        quality = sample.column("quality").to_numpy()[order]
+        toxic = (sample.column("toxic").to_numpy()[order] == 1).astype(float)
         telling = Linear(lists, np.empty((len(lists), 0)), toxic, len(names))
         heavy = {int(i) for i, w in zip(telling.vocabulary, telling.weights) if w > 1}
         severe = np.array([len(heavy.intersection(x.tolist())) >= SEVERE_WORDS for x in lists], float)
-        targets = {"junk": np.array([float(q == 0) for q, _, _ in sample]), "toxic": toxic,
-                   "severe": severe * toxic}
+        targets = {"junk": (quality == 0).astype(float), "toxic": toxic, "severe": severe * toxic}
         self.weights: dict[str, np.ndarray] = {}
         models = fit_chain(lists, targets, folds, len(names))
         self.bias = [m.bias for m in models]
@@ -182,8 +194,7 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LABELS) -> Chain:
-    sample = labelled_sample(docs, labels, per_labels).toArrow().to_pydict()
-    return Chain(list(zip(sample["quality"], sample["toxic"], sample["words"])))
+    return Chain(labelled_sample(docs, labels, per_labels).toArrow())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import toxicity as tox
 from lectern.llm.queries import QUERIES
@@ -44,10 +45,10 @@ def test_query_scores_every_document(spark, data, docs_table):
 
 def test_fitting_is_the_same_in_every_order():
     rng = np.random.default_rng(3)
-    sample = [(int(rng.random() < 0.8), int(t), sorted(
-        {f"w{rng.integers(0, 60)}" for _ in range(12)} | ({"bad"} if t and rng.random() < 0.9 else set())))
-        for t in rng.random(300) < 0.3]
-    one, other = tox.Chain(sample), tox.Chain(sample[::-1])
+    sample = [{"doc_id": i, "quality": int(rng.random() < 0.8), "toxic": int(t), "words": sorted(
+        {f"w{rng.integers(0, 60)}" for _ in range(12)} | ({"bad"} if t and rng.random() < 0.9 else set()))}
+        for i, t in enumerate(rng.random(300) < 0.3)]
+    one, other = (tox.Chain(pa.Table.from_pylist(rows)) for rows in (sample, sample[::-1]))
     texts = ["w1 w2 bad", "w3 w4", "", None, "unknown"]
     assert (one.predict(texts) == other.predict(texts)).all()
     p = one.predict(texts)
