@@ -8,14 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.ingest import book_metadata, covers_of, new_rows
 from lectern.operators.status import scan_errors
-from lectern.sources.library import FILES_SCHEMA, read_packages
+from lectern.sources.library import FILES_SCHEMA, read_files, read_packages
 
 
 def ingest_batch(files: DataFrame, sink: str, batch: int) -> None:
     """Add one batch of files(path, modificationTime, length, content) to the catalogue at ``sink``.
 
     The opened containers and the rows made from them are written first, so that each file is opened
-    and parsed once and later steps read a table. Every output is a folder of the batch, replaced when the batch is run again.
+    once and later steps read a table. Every output is a folder of the batch, replaced when the batch is
+    run again. Batches below 0 are retries; every other batch knows their books.
     """
     spark = files.sparkSession
 
@@ -27,25 +28,46 @@ def ingest_batch(files: DataFrame, sink: str, batch: int) -> None:
     book_metadata(packages).write.mode("overwrite").parquet(folder("candidates"))
     books = spark.read.parquet(folder("candidates"))
     known = books.select("identifier").limit(0)
-    if batch > 0:
+    if batch != 0:
+        earlier = F.col("batch") < batch if batch > 0 else (F.col("batch") >= 0) | (F.col("batch") > batch)
         # of a large catalogue only the identifiers of this batch take part in the insert
-        known = spark.read.parquet(f"{sink}/books").filter(F.col("batch") < batch).select(
+        known = spark.read.parquet(f"{sink}/books").filter(earlier).select(
             "identifier").join(books.select("identifier"), "identifier", "left_semi")
     new_rows(known, books, order=["ctime", "path"]).write.mode("overwrite").parquet(folder("books"))
     covers_of(packages).write.mode("overwrite").partitionBy("bucket").parquet(folder("covers"))
     scan_errors(packages).write.mode("overwrite").parquet(folder("errors"))
 
 
+def retry_failed(spark: SparkSession, root: str, sink: str, number: int, glob: str = "*.epub") -> bool:
+    """Takes in the files that failed so far and have changed since; False if there are none.
+
+    The stream's checkpoint marks a file whether it could be read or not, so failed files come back
+    through here, as the retry of this ``number``, 1 for the first. Only their paths pass through the
+    driver. Run it while no stream writes to the sink.
+    """
+    tried = spark.read.parquet(f"{sink}/packages").groupBy("path").agg(
+        F.bool_or(F.col("error").isNull()).alias("loaded"), F.max("ctime").alias("tried_at"))
+    listed = read_files(spark, root, glob).select("path", "modificationTime")
+    changed = listed.join(tried.filter(~F.col("loaded")), "path").filter(
+        F.col("modificationTime") > F.col("tried_at"))
+    paths = [r["path"] for r in changed.select("path").toLocalIterator()]
+    if paths:
+        ingest_batch(spark.read.format("binaryFile").load(paths), sink, -number)
+    return bool(paths)
+
+
 def ingest_stream(
     spark: SparkSession, root: str, sink: str, checkpoint: str, glob: str = "*.epub",
+    files_per_batch: int = 100_000,
 ) -> StreamingQuery:
     """Ingest the files that have arrived below ``root``; the checkpoint remembers them.
 
-    One checkpoint belongs to one sink.
+    One checkpoint belongs to one sink. A batch takes at most ``files_per_batch`` files. Files that could
+    not be read are taken up by ``retry_failed``.
     """
     files = (
         spark.readStream.format("binaryFile").schema(FILES_SCHEMA).option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(root))
+        .option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(root))
     return (
         files.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, sink, batch))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

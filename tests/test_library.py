@@ -2,6 +2,8 @@
 
 import datetime
 import hashlib
+import time
+import zipfile
 from xml.etree import ElementTree
 
 import pytest
@@ -11,7 +13,7 @@ from lectern.operators import catalog, ingest, status
 from lectern.plans.containers import container
 from lectern.sources import covers, library
 from lectern.sources.feed import write_feed
-from lectern.streaming.ingest import ingest_stream
+from lectern.streaming.ingest import ingest_stream, retry_failed
 from lectern.streaming.progress import compact_progress, progress_stream, read_progress
 
 
@@ -111,6 +113,17 @@ def test_ingest_stream_skips_known_books(spark, shelf, tmp_path):
     assert spark.read.parquet(f"{sink}/covers/batch=1").count() == 2
     assert {bytes(r.data) for r in stored.collect()} == {b"img1", b"img2"}
     assert spark.read.parquet(f"{sink}/errors").count() == 1
+    # the broken file is replaced: the stream has seen it, the retry takes it
+    assert not retry_failed(spark, str(root), sink, 1)
+    broken = next(p for p in root.rglob("*.epub") if not zipfile.is_zipfile(p))
+    time.sleep(1.1)
+    put(str(broken.relative_to(root)), 9)
+    assert run() == sorted(("T", digest(n)) for n in (1, 2, 4))
+    assert retry_failed(spark, str(root), sink, 1)
+    assert run() == sorted(("T", digest(n)) for n in (1, 2, 4, 9))
+    assert not retry_failed(spark, str(root), sink, 2)
+    put("sub/later.epub", 9)
+    assert run() == sorted(("T", digest(n)) for n in (1, 2, 4, 9))
 
 
 def test_covers(spark, tmp_path):
