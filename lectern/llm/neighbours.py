@@ -35,7 +35,7 @@ MAX_DEPTH = 12
 BLOCK = 4096
 QUERY_BLOCK = 512
 LEAF = 256
-CONFIDENCE = 0.97
+CONFIDENCE = 0.99
 EVERY = 50
 SLACK = 1e-9
 
