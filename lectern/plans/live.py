@@ -13,7 +13,7 @@ from lectern.plans.sql_views import SCANNED, query
 from lectern.plans.talk import ASSEMBLED
 from lectern.session import shared_folder
 from lectern.streaming import ingest, progress, replies, sessions, status
-from lectern.streaming.runs import read_table_stream, run_available
+from lectern.streaming.runs import read_table_stream, run_available, set_stream_settings
 
 QUERIES = QuerySet()
 
@@ -33,8 +33,9 @@ def status_tick_stream(spark, d):
 
 @QUERIES.add(query(people.SESSIONS_SQL.format(gap=1800), body=f"""
 SELECT user_id, session_start, last_seen, events FROM sessions
-WHERE last_seen + INTERVAL 1800 SECOND <= {_CLOCK}"""))
+WHERE last_seen + INTERVAL 1801 SECOND <= {_CLOCK}"""))
 def session_stream(spark, d):
+    set_stream_settings(spark)
     events = read_table_stream(spark, d, "events")
     return run_available(sessions.session_stream(events, 1800, "10 minutes"), "sessions")
 
@@ -43,15 +44,28 @@ def session_stream(spark, d):
 SELECT * EXCLUDE (session_no) FROM ({people.LAZY_BODY})
 WHERE refreshed_at + INTERVAL 1801 SECOND <= {_CLOCK}"""))
 def lazy_session_stream(spark, d):
+    set_stream_settings(spark)
     events = read_table_stream(spark, d, "events")
     return run_available(sessions.lazy_session_stream(events, 1800, 60, "10 minutes"), "lazy")
 
 
-@QUERIES.add(ASSEMBLED)
+# frames come a second apart, the clock stops a minute before the last one
+_REPLY_TIMES = """replied AS (
+  SELECT request_id, (request_id % 1000000) * 60 + len(lines) AS last_s,
+         (request_id % 1000000) * 60 + len(lines) + CASE WHEN broken THEN 1 ELSE 0 END AS any_s
+  FROM replies)"""
+
+
+@QUERIES.add(f"""
+WITH {ASSEMBLED.removeprefix("WITH ").rpartition("SELECT request_id, array_to_string")[0].rstrip()},
+{_REPLY_TIMES}
+SELECT a.* FROM ({ASSEMBLED}) a JOIN replied r ON r.request_id = a.request_id
+WHERE ended OR last_s + 600 < (SELECT max(any_s) - 60 FROM replied)""")
 def reply_stream(spark, d):
-    """All replies; those without an ending frame come at their timeout."""
+    """Replies as they end; those without an ending frame come after ten silent minutes, if those are over."""
+    set_stream_settings(spark)
     frames = v.frames(spark, d, read_table_stream(spark, d, "conversations"))
-    return run_available(replies.reply_stream(frames, 0, "0 seconds"), "replies")
+    return run_available(replies.reply_stream(frames, 600, "1 minute"), "replies")
 
 
 @QUERIES.add(progress_sql())

@@ -18,6 +18,8 @@ SETTINGS = {
     # split a skewed join input even where that costs one more exchange above
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions are merged inside each task before the shuffle, so a busy user moves few rows
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # keyed streaming state that spills to disk instead of the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

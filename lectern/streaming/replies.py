@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.chat import split_frames
-from lectern.streaming.runs import keep_state_on_disk
+from lectern.streaming.runs import check_state_on_disk
 
 FRAME = ("seq bigint, pos int, kind string, text string, finish_reason string, prompt_tokens bigint, "
          "completion_tokens bigint, total_tokens bigint, error string")
@@ -93,7 +93,7 @@ class Replies(StatefulProcessor):
 
 def reply_stream(frames: DataFrame, timeout_seconds: int = 600, watermark: str = "1 minute") -> DataFrame:
     """Replies as they complete; the streaming form of ``assemble_replies``."""
-    keep_state_on_disk(frames.sparkSession)
+    check_state_on_disk(frames.sparkSession)
     timed = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = split_frames(timed).select(
         "request_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "pos", "kind", "text",

@@ -9,9 +9,17 @@ from lectern.session import SETTINGS, shared_folder
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Keyed state of custom operators needs the disk-backed state store."""
-    spark.conf.set(_PROVIDER, SETTINGS[_PROVIDER])
+def check_state_on_disk(spark: SparkSession) -> None:
+    """Keyed state of custom operators needs the disk-backed state store, set when the session starts."""
+    if spark.conf.get(_PROVIDER, None) != SETTINGS[_PROVIDER]:
+        raise ValueError(f"set {_PROVIDER} to {SETTINGS[_PROVIDER]}")
+
+
+def set_stream_settings(spark: SparkSession) -> None:
+    """Gives a session that was started elsewhere the stream settings of this package."""
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.streaming."):
+            spark.conf.set(key, value)
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.sessions import GAP_SECONDS, REFRESH_SECONDS, LazyFollower
-from lectern.streaming.runs import keep_state_on_disk
+from lectern.streaming.runs import check_state_on_disk
 
 
 def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "10 minutes") -> DataFrame:
     """Closed sessions; the streaming form of ``sessionize``."""
-    # sessions are merged inside each task before the shuffle, so a busy user moves few rows
-    events.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     # whole seconds count, so a pause of less than gap + 1 seconds keeps a session open
     window = F.session_window("ts", f"{gap + 1} seconds")
     return (
@@ -89,7 +86,7 @@ def lazy_session_stream(
     watermark: str = "10 minutes",
 ) -> DataFrame:
     """Closed sessions; the streaming form of ``sessionize_lazy``."""
-    keep_state_on_disk(events.sparkSession)
+    check_state_on_disk(events.sparkSession)
     timed = events.select(
         "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     closed = timed.withColumn("us", F.unix_micros("ts")).groupBy("user_id").transformWithStateInPandas(
