@@ -29,9 +29,9 @@ ESCAPE = re.compile(rf"([<\[])(\\*)({TAILS})")
 UNESCAPE = re.compile(rf"([<\[])\\(\\*)({TAILS})")
 TURN = re.compile(
     rf"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(STOP)}", re.DOTALL)
-# A conversation longer than this is rendered in pieces of whole turns.
+# A conversation longer than this is rendered in pieces of whole turns; so much is encoded at once.
 PIECE_CHARS = 1 << 20
-FLUSH_CHARS = 1 << 22
+FLUSH_CHARS = 1 << 19
 LOSS_ROLE = "assistant"
 PIECES = ("conv_id bigint, part bigint, piece bigint, n_turns bigint, formatted string, ids array<int>, "
           "starts array<int>, ends array<int>, loss_mask array<boolean>")
@@ -127,8 +127,9 @@ def format_conversations(turns: DataFrame, tokenizer_path: str | None = None,
         return pa.record_batch([
             pa.array(conv, pa.int64()), pa.array([part] * len(conv), pa.int64()),
             pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string()),
-            *[pa.array([list(x) if x.dtype == bool else x for x in column], field.type)
-              for column, field in zip(columns, list(SCHEMA)[5:])]], schema=SCHEMA)
+            *[pa.ListArray.from_arrays(
+                np.cumsum([0, *map(len, column)]).astype(np.int32), pa.array(np.concatenate(column)))
+              for column in columns]], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, piece, current, held = TaskContext.get().partitionId(), 0, None, []
