@@ -250,7 +250,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")), "kept")
     again = kept.filter(F.col("n") > 1).select("doc_id")
     again = small(again, again.count())
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # one plan at every size: texts meet the kept ids by a shuffle, never by a broadcast
+    stay = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     once = stay.join(again, "doc_id", "left_anti").select(*docs.columns)
     repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     nobody = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
