@@ -63,3 +63,48 @@ def test_hard_rows(spark):
     assert mixing.draw(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         mixing.draw(docs, {"lang": {"en": 1.0}})
+
+
+def margins(found, totals, k):
+    sums = {}
+    for c, p in found.items():
+        sums[c[k]] = sums.get(c[k], 0) + p * totals[c]
+    return sums
+
+
+def test_one_stray_row_among_many_leaves_the_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang")
+    stray = spark.createDataFrame(
+        [(-1, "word " * 300, "src9", None)], "doc_id bigint, text string, source string, lang string")
+    alone = {r.doc_id for r in mixing.mix(docs).collect()}
+    drawn = {r.doc_id: r for r in mixing.mix(docs.unionByName(stray)).collect()}
+    assert drawn.pop(-1).probability == 1
+    assert len(alone) > 2000 and alone == drawn.keys()
+
+
+def test_scarce_categories_are_whole_and_the_rest_meets_its_targets():
+    totals = {("a", "x"): 1e6, ("b", "x"): 4e6, ("a", "y"): 3e5, ("b", "y"): 9e5, ("c", "x"): 30, ("a", "z"): 5}
+    targets = [{"a": 0.3, "b": 0.6, "c": 0.1}, {"x": 0.7, "y": 0.28, "z": 0.02}]
+    assert mixing.scarce(totals, targets) == {("c", "x"), ("a", "z")}
+    found = mixing.probabilities(totals, targets)
+    assert found["c", "x"] == found["a", "z"] == 1 and max(found.values()) == 1
+    whole = sum(p * totals[c] for c, p in found.items())
+    assert whole > 0.4 * sum(totals.values())
+    for k, want in ((0, {"a": 1 / 3, "b": 2 / 3}), (1, {"x": 0.7 / 0.98, "y": 0.28 / 0.98})):
+        got = margins(found, totals, k)
+        assert all(abs(got[x] / whole - v) < 1e-3 for x, v in want.items())
+
+
+def test_a_scarce_cell_does_not_bound_the_mix():
+    """Every category has enough, but one cell has next to nothing and would have a huge weight."""
+    totals = {("a", "x"): 9e5, ("a", "y"): 1e4, ("b", "x"): 2e4, ("b", "y"): 10, ("b", "z"): 1.3e4, ("a", "z"): 5e4}
+    targets = [{"a": 0.7, "b": 0.3}, {"x": 0.6, "y": 0.1, "z": 0.3}]
+    weights = mixing.rake(totals, targets)
+    assert 1 / max(weights.values()) < mixing.LEAST and not mixing.scarce(totals, targets)
+    found = mixing.probabilities(totals, targets)
+    whole = sum(totals.values())
+    assert abs(sum(p * totals[c] for c, p in found.items()) / whole - mixing.LEAST) < 1e-6
+    assert max(found.values()) == 1
+    for k, target in enumerate(targets):
+        got = margins(found, totals, k)
+        assert all(abs(got[x] / (mixing.LEAST * whole) - v) < 1e-3 for x, v in target.items())
