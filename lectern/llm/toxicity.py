@@ -48,52 +48,61 @@ def words(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LABELS) -> DataFrame:
-    """(doc_id, quality, toxic, words): a bounded sample of the labelled documents, always the same.
+    """(doc_id, quality, toxic, weight, words): a bounded sample of the labelled documents, always the same.
 
     Of each pair of labels the documents with the smallest hashes of their ids; a document with
-    different labels counts as bad, and as toxic. The bound makes the sample small enough to be
-    broadcast to the documents and collected.
+    different labels counts as bad, and as toxic. The weight is how many labelled documents of its pair
+    a document stands for. The bound makes the sample small enough to be broadcast to the documents and
+    collected.
     """
     said = labels.filter(F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    sizes = {(r["quality"], r["toxic"]): r["count"] for r in said.filter(
+        F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy("quality", "toxic").count().collect()}
     taken = None
     for quality in (0, 1):
         for toxic in (0, 1):
             some = said.filter((F.col("quality") == quality) & (F.col("toxic") == toxic)).orderBy(
-                F.xxhash64("doc_id"), "doc_id").limit(per_labels)
+                F.xxhash64("doc_id"), "doc_id").limit(per_labels).withColumn(
+                "weight", F.lit(max(1.0, sizes.get((quality, toxic), 0) / per_labels)))
             taken = some if taken is None else taken.unionByName(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in limited(batch):
                 yield pa.record_batch([
-                    *rows.columns[:3],
-                    pa.array([sorted(words(x)) for x in rows.column(3).to_pylist()], pa.list_(pa.string()))],
-                    names=["doc_id", "quality", "toxic", "words"])
+                    *rows.columns[:4],
+                    pa.array([sorted(words(x)) for x in rows.column(4).to_pylist()], pa.list_(pa.string()))],
+                    names=["doc_id", "quality", "toxic", "weight", "words"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     return texts.join(F.broadcast(taken), "doc_id").select(
-        "doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(
-        run, "doc_id bigint, quality int, toxic int, words array<string>")
+        "doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"), "weight", "text").mapInArrow(
+        run, "doc_id bigint, quality int, toxic int, weight double, words array<string>")
 
 
 class Linear:
-    """Logistic regression on the presence of the words that tell most, and on given columns."""
+    """Logistic regression on the presence of the words that tell most, and on given columns.
 
-    def __init__(self, lists: list[np.ndarray], more: np.ndarray, target: np.ndarray, size: int) -> None:
+    ``stands``: how many documents each one stands for.
+    """
+
+    def __init__(self, lists: list[np.ndarray], more: np.ndarray, target: np.ndarray, size: int,
+                 stands: np.ndarray | None = None) -> None:
         rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
         flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-        n, share = len(target), float(target.mean()) if len(target) else 0.0
+        stands = np.ones(len(target)) if stands is None else stands
+        n, share = len(target), float(np.average(target, weights=stands)) if len(target) else 0.0
         self.vocabulary, self.weights = np.empty(0, np.int64), np.zeros(more.shape[1])
         if share in (0.0, 1.0):
             self.bias = -30.0 if share == 0 else 30.0
             return
-        with_word = np.bincount(flat, minlength=size)
-        hits = np.bincount(flat, weights=target[rows], minlength=size)
+        with_word = np.bincount(flat, weights=stands[rows], minlength=size)
+        hits = np.bincount(flat, weights=(target * stands)[rows], minlength=size)
         # how far the share of the category among documents with the word is from the overall share
         score = np.abs(hits - with_word * share) / np.sqrt(np.maximum(with_word, 1) * share * (1 - share))
-        score[with_word < LEAST_DOCUMENTS] = 0
+        score[np.bincount(flat, minlength=size) < LEAST_DOCUMENTS] = 0
         best = np.lexsort((np.arange(size), -score))[:VOCABULARY]
         self.vocabulary = np.sort(best[score[best] > 0])
         place = np.full(size, -1)
@@ -108,10 +117,10 @@ class Linear:
         ridge[-1] = 1e-4
         for _ in range(ROUNDS):  # Newton steps
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            v = np.maximum(p * (1 - p), 1e-5).astype(np.float32)
+            v = (stands * np.maximum(p * (1 - p), 1e-5)).astype(np.float32)
             step = np.linalg.solve(
                 (x.T @ (x * v[:, None])).astype(np.float64) + np.diag(ridge),
-                x.T.astype(np.float64) @ (target - p) - ridge * w)
+                x.T.astype(np.float64) @ (stands * (target - p)) - ridge * w)
             w += step * min(1.0, 8.0 / max(np.abs(step).max(), 1e-9))
             if np.abs(step).max() < 1e-3:
                 break
@@ -125,17 +134,18 @@ class Linear:
 
 
 def fit_chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], folds: np.ndarray, size: int,
-              ) -> list[Linear]:
+              stands: np.ndarray | None = None) -> list[Linear]:
     """One model per category, each trained on the out-of-fold probabilities of those before it."""
     before, models = np.empty((len(lists), 0)), []
+    stands = np.ones(len(lists)) if stands is None else stands
     for target in targets.values():
-        models.append(Linear(lists, before, target, size))
+        models.append(Linear(lists, before, target, size, stands))
         unseen = np.zeros(len(lists))
         for fold in range(FOLDS):
             out = np.flatnonzero(folds == fold)
             rest = np.flatnonzero(folds != fold)
             if len(out):
-                part = Linear([lists[i] for i in rest], before[rest], target[rest], size)
+                part = Linear([lists[i] for i in rest], before[rest], target[rest], size, stands[rest])
                 unseen[out] = part.predict([lists[i] for i in out], before[out])
         before = np.column_stack([before, unseen])
     return models
@@ -145,7 +155,11 @@ class Chain:
     """The fitted chain: a few hundred words with a weight for each category."""
 
     def __init__(self, sample: pa.Table) -> None:
-        """``sample``: (doc_id, quality, toxic, words). Only words of several documents leave Arrow."""
+        """``sample``: (doc_id, quality, toxic, words), and weight where documents do not count alike.
+
+        Only words of several documents leave Arrow. Weights are 1 in the mean, so that the ridge does not
+        depend on the size of the table.
+        """
         found = sample.column("words").combine_chunks()
         sizes = found.value_lengths().to_numpy()
         coded = found.flatten().dictionary_encode()
@@ -165,12 +179,16 @@ class Chain:
         folds = np.array([marks[i] % FOLDS for i in order], np.int64)
         quality = sample.column("quality").to_numpy()[order]
         toxic = (sample.column("toxic").to_numpy()[order] == 1).astype(float)
-        telling = Linear(lists, np.empty((len(lists), 0)), toxic, len(names))
+        stands = np.ones(len(lists))
+        if "weight" in sample.column_names:
+            stands = sample.column("weight").to_numpy()[order]
+        stands = stands / stands.mean() if len(stands) else stands
+        telling = Linear(lists, np.empty((len(lists), 0)), toxic, len(names), stands)
         heavy = {int(i) for i, w in zip(telling.vocabulary, telling.weights) if w > 1}
         severe = np.array([len(heavy.intersection(x.tolist())) >= SEVERE_WORDS for x in lists], float)
         targets = {"junk": (quality == 0).astype(float), "toxic": toxic, "severe": severe * toxic}
         self.weights: dict[str, np.ndarray] = {}
-        models = fit_chain(lists, targets, folds, len(names))
+        models = fit_chain(lists, targets, folds, len(names), stands)
         self.bias = [m.bias for m in models]
         self.earlier = [m.weights[len(m.vocabulary):].tolist() for m in models]
         for k, model in enumerate(models):

@@ -99,3 +99,27 @@ def test_hard_rows(spark):
         assert not any(r.rejected for r in tox.toxicity(docs, some).collect())
     assert tox.toxicity(docs.limit(0), labels).collect() == []
     assert tox.keep_harmless(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_a_sample_that_binds_rejects_no_more_clean_documents(spark):
+    """Of 64 documents a pair of labels half the good ones are toxic, of all good ones a ninth.
+
+    A model of so few documents rejects some more, but not the 0.15 of one that takes their shares.
+    """
+    rows = labelled()
+    docs = spark.createDataFrame([r[:5] for r in rows], KINDS)
+    labels = spark.createDataFrame(
+        [(r[0], r[5], r[6]) for r in rows if r[0] % 2], "doc_id bigint, quality int, toxic int")
+    clean = [r for r in rows if r[0] % 2 == 0 and r[6] == 0]
+    where = tox.CATEGORIES.index("toxic")
+
+    def rejected(quality, per_labels):
+        p = tox.fit(docs, labels, per_labels).predict([r[1] for r in clean if r[5] == quality])
+        return (p[:, where] >= tox.THRESHOLD).mean()
+
+    for quality in (0, 1):
+        assert rejected(quality, 64) <= rejected(quality, tox.PER_LABELS) + 0.03
+    sample = tox.labelled_sample(docs, labels, 64).toPandas().groupby(["quality", "toxic"])["weight"].agg(["sum", "size"])
+    for (quality, toxic), r in sample.iterrows():
+        here = sum(x[0] % 2 and x[5:] == (quality, toxic) for x in rows)
+        assert r["size"] == min(64, here) and abs(r["sum"] - here) < 1e-6
