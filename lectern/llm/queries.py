@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    chat_format, minhash, mixing, neighbours, packing, perplexity, separators, simhash, token_files,
-    toxicity)
+    chat_format, minhash, mixing, neighbours, packing, perplexity, separators, simhash, spelling,
+    token_files, toxicity)
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
 
@@ -82,6 +82,11 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@QUERIES.add()
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def _mixing_sql() -> str:
     """The raking of the mix, one common table expression per step."""
     def category(name: str, column: str) -> str:
