@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    chat_format, minhash, mixing, neighbours, packing, perplexity, separators, simhash, spelling,
+    chat_format, dedup, merkle, minhash, mixing, neighbours, packing, perplexity, separators, simhash, spelling,
     token_files, toxicity)
 from lectern.llm.common import table
 from lectern.plans.query import QuerySet
@@ -87,6 +87,82 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def _merkle_sql(levels: int = 12, source_levels: int = 6) -> str:
+    """The trees level by level: up to 3^12 documents a source and 3^6 sources."""
+    remainders = []
+    for value in range(256):  # the table of the checksum's polynomial
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        remainders.append(value)
+    crc32 = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), "
+             "lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, list_extract(" + str(remainders)
+             + "::BIGINT[], (xor(a, b) & 255) + 1))), 4294967295)")
+
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x} END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(name: str, key: str, count: int) -> list[str]:
+        """From ``<name>0`` (key, i, h, place, path): each node's ancestor, siblings and folded digest."""
+        steps = []
+        for k in range(count):
+            steps += [
+                f"{name}r{k} AS (SELECT {key}, i // 3 AS up, list(h ORDER BY i) AS hs, max(n) > 1 AS several FROM "
+                f"(SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}n{k}) GROUP BY {key}, i // 3)",
+                f"{name}n{k + 1} AS (SELECT {key}, up AS i, CASE WHEN several THEN sha256(array_to_string(hs, '')) "
+                f"ELSE hs[1] END AS h FROM {name}r{k})",
+                f"{name}p{k + 1} AS (SELECT p.* REPLACE (up AS place, CASE WHEN several THEN list_concat(path, "
+                f"[{{'l': array_to_string(hs[1:place % 3], ''), 'r': array_to_string(hs[place % 3 + 2:], '')}}]) "
+                f"ELSE path END AS path) FROM {name}p{k} p JOIN {name}r{k} r "
+                f"ON p.{key} IS NOT DISTINCT FROM r.{key} AND p.place // 3 = r.up)"]
+        return steps
+
+    nl = ",\n".join([
+        *climb("d", "source", levels),
+        "subroots AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM "
+        f"dn{levels})",
+        "sn0 AS (SELECT 0 AS whole, i, h FROM subroots)",
+        "sp0 AS (SELECT 0 AS whole, source, h AS subroot, i AS place, []::STRUCT(l VARCHAR, r VARCHAR)[] AS path "
+        "FROM subroots)",
+        *climb("s", "whole", source_levels)])
+    return f"""
+WITH leaves AS (SELECT doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN {crc32} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+dn0 AS (SELECT source, i, leaf AS h FROM placed),
+dp0 AS (SELECT doc_id, source, leaf, other, i AS place, []::STRUCT(l VARCHAR, r VARCHAR)[] AS path FROM placed),
+{nl},
+met AS (SELECT doc_id, leaf, subroot, s.root, other, list_concat(d.path, s.path) AS path FROM dp{levels} d
+  JOIN (SELECT *, (SELECT h FROM sn{source_levels}) AS root FROM sp{source_levels}) s
+  ON d.source IS NOT DISTINCT FROM s.source),
+folded AS (SELECT *, list_reduce(list_prepend({{'l': other, 'r': ''}}, path),
+  lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM met)
+SELECT doc_id, leaf, subroot, root,
+  sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified FROM folded
+"""
+
+
+@QUERIES.add(_merkle_sql())
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@QUERIES.add("""
+WITH normal AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY t)
+""")
+def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.table_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 def _mixing_sql() -> str:
     """The raking of the mix, one common table expression per step."""
     def category(name: str, column: str) -> str:
