@@ -1,184 +1,458 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-Texts are read as symbols of a small fixed alphabet: the letters a-z, and one class each for capitals,
-other letters, spaces, line ends, digits, stops, shouts, brackets, bars and other signs; the first
-symbol of a word that repeats the word before it is a class of its own. So the model has at most
-38^4 n-grams whatever the corpus, which bounds everything that is sent to tasks.
+Texts are read as sub-words of an open vocabulary: a short word is taken whole, of a longer one its last
+letters count, both with the form of their letters; runs of digits and of signs are sub-words too, and a
+word that repeats the one before it is a sub-word that tells how often it did so far.
+
+The model is a table of n-grams that grows with the trusted text. The logarithm of a probability is
+written as a sum of what each order adds to the one below, so a text is scored by adding up values of
+its n-grams, each found by a count join on its own: the n-grams of many texts are summed up in a task, sent
+as blocks to the shards of the table, and the sums of a block's texts come back. Only the most frequent
+n-grams, a bounded number, are known to all tasks and are not sent.
+
+Limits come from trusted documents scored by models that never saw them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import limited, small, worker_store, written
 
-# The symbol classes.
-EDGE, CAPITAL, LETTER, SPACE, LINE, DIGIT, STOP, SHOUT, BRACKET, BAR, SIGN, REPEAT = 0, *range(27, 38)
-SYMBOLS = 38
-ORDER = 4
+WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+# Words up to this length are taken whole; of longer ones so many last letters.
+WHOLE, ENDING = 4, 3
+REPEATS = 4
+FOLDS = 4
+MODELS = FOLDS + 1
 LEAST_DISCOUNT = 0.1
 # Share of the trusted documents of a language that a threshold accepts.
 QUANTILE = 0.999
-# Perplexities are compared in steps of this size of their logarithm.
+# A language with fewer trusted documents has no limit below that of all together.
+OWN_LIMIT = 1000
+# A text counts as if so many sub-words of mean surprisal came with it.
+PRIOR = 10
+# Surprisals are compared in steps of this size.
 STEP = 1e-4
-
-
-def classes() -> np.ndarray:
-    """The class of each code point below 65536; those beyond count as the last."""
+# Values of n-grams are kept in steps of this size, as 16-bit numbers.
+GRAIN = 1e-3
+# N-grams that all tasks know: at most so many.
+FREQUENT = 1 << 17
+SHARDS, SHARD_KEYS = 64, 1 << 18
+# Sub-words and texts of a block.
+BLOCK_WORDS, BLOCK_TEXTS = 1 << 21, 1 << 14
+PIECE = 1 << 20
+KNOWN_WORDS = 300_000
+
+EDGE = np.uint64(0x9E3779B97F4A7C15)
+# What makes keys of another kind of the same sub-word.
+INNER, LAST = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def subword(word: str) -> str:
+    low = word.lower()
+    if word[0].isalpha():
+        form = "l" if word == low else "A" if len(word) > 1 and word == word.upper() else "C"
+        return form + (low if len(low) <= WHOLE else "~" + low[-ENDING:])
+    return "0" if word[0].isdigit() else word[:ENDING]
+
+
+class Words(dict):
+    """Numbers of words in this worker, with the hash of each one's sub-word, and whether it is of letters."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashed, self.letters = np.zeros(1024, np.uint64), np.zeros(1024, bool)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.hashed):
+            self.hashed, self.letters = np.resize(self.hashed, 2 * at), np.resize(self.letters, 2 * at)
+        self.hashed[at] = xxhash.xxh64_intdigest(subword(word).encode("utf-8", "replace"))
+        self.letters[at] = word[0].isalpha()
+        self[word] = at
+        return at
+
+
+def _words(text: str) -> Iterator[str]:
+    """The words of a text; long texts in pieces that end at white space."""
+    if len(text) <= PIECE:
+        yield from WORD.findall(text)
+        return
+    at, gap = 0, re.compile(r"\s")
+    while at < len(text):
+        found = gap.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        yield from WORD.findall(text, at, end)
+        at = end
+
+
+def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sub-words of the texts one after the other, and how many each text has."""
     store = worker_store()
-    if "classes" not in store:
-        found = np.full(1 << 16, LETTER, np.uint8)
-        for code in range(1 << 16):
-            char = chr(code)
-            if char.isupper():
-                found[code] = CAPITAL
-            elif "a" <= char <= "z":
-                found[code] = code - 96
-            elif char.isspace():
-                found[code] = SPACE if char in " \t\xa0" else LINE
-            elif char.isdigit():
-                found[code] = DIGIT
-            elif not char.isalpha():
-                found[code] = SIGN
-        for group, kind in ((".,;:", STOP), ("!?", SHOUT), ("()[]{}<>\"'`«»“”‘’-–—/", BRACKET), ("|", BAR)):
-            for char in group:
-                found[ord(char)] = kind
-        store["classes"] = found
-    return store["classes"]
-
-
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts one after the other, three edges before each; and where each begins."""
-    pad = "\x00" * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(t or "" for t in texts)).encode("utf-32-le", "surrogatepass"),
-                           "<u4")
-    sizes = np.array([len(t or "") for t in texts], np.int64) + ORDER - 1
+    if len(store.get("subwords", ())) > KNOWN_WORDS:
+        del store["subwords"]
+    known = store.setdefault("subwords", Words())
+    number = known.__getitem__
+    found = [np.fromiter(map(number, _words(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
+    ids = np.concatenate([np.empty(0, np.int32), *found])
+    hashed = known.hashed[ids]
+    places = np.flatnonzero(known.letters[ids])
+    if len(places) > 1:
+        text_of = np.repeat(np.arange(len(sizes)), sizes)[places]
+        same = np.concatenate([[False], (ids[places][1:] == ids[places][:-1]) & (text_of[1:] == text_of[:-1])])
+        # how long the run of repeats is at each word
+        last = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        times = np.minimum(np.arange(len(same)) - last, REPEATS)
+        repeats = np.array([xxhash.xxh64_intdigest(b"=" * k) for k in range(REPEATS + 1)], np.uint64)
+        hashed[places] = np.where(times > 0, repeats[times], hashed[places])
+    return hashed, sizes
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for a pair of hashes."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def befores(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sub-word before each one; an edge before the first of a text."""
+    out = np.concatenate([[EDGE], hashed[:-1]])[:len(hashed)].astype(np.uint64)
     begins = np.cumsum(sizes) - sizes
-    out = classes()[np.minimum(points, 0xFFFF)]
-    for k in range(ORDER - 1):
-        out[begins + k] = EDGE
-    gap = (out == SPACE) | (out == LINE) | (out == EDGE)
-    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-    if len(starts) > 1:
-        # a word's hash: its code points weighted by their places in it
-        ends = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-        places = np.arange(len(out)) - np.repeat(
-            starts, np.diff(np.append(starts, len(out)))) if starts[0] == 0 else np.arange(
-            len(out)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(
-                starts, np.diff(np.append(starts, len(out))))])
-        weights = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64)
-        values = np.where(gap, np.uint64(0), points.astype(np.uint64) * weights[places & 63])
-        hashed = np.add.reduceat(values, starts)
-        same = (hashed[1:] == hashed[:-1]) & ((ends - starts)[1:] == (ends - starts)[:-1])
-        same &= np.searchsorted(begins, starts[1:], "right") == np.searchsorted(begins, starts[:-1], "right")
-        out[starts[1:][same]] = REPEAT
-    return out, begins
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of each symbol of the texts as a number, and the number of symbols of each text."""
-    found, begins = symbols(texts)
-    code = np.zeros(len(found) - ORDER + 1, np.int32)
-    for k in range(ORDER):
-        code = code * SYMBOLS + found[k:len(found) - ORDER + 1 + k]
-    # code[i] ends at symbol i + 3; those that end on an edge belong to no text
-    inside = np.ones(len(code) + ORDER - 1, bool)
-    for k in range(ORDER - 1):
-        inside[begins + k] = False
-    return code[inside[ORDER - 1:]], np.array([len(t or "") for t in texts], np.int64)
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(code, c): how often each n-gram of symbols occurs in the texts, summed in each task first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS ** ORDER, np.int64)
-        for batch in batches:
-            for rows in limited(batch):
-                total += np.bincount(grams(rows.column(0).to_pylist())[0], minlength=len(total))
-        code = np.flatnonzero(total)
-        yield pa.record_batch([code, total[code]], names=["code", "c"])
+    out[begins[sizes > 0]] = EDGE
+    return out
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code bigint, c bigint").groupBy(
-        "code").agg(F.sum("c").alias("c"))
 
+def fold_of(texts: list[str | None]) -> np.ndarray:
+    """Copies of a text are in one fold."""
+    return np.array([xxhash.xxh32_intdigest((t or "").encode("utf-8", "replace")) % FOLDS for t in texts], np.int64)
 
-def discounts(seen: DataFrame) -> list[float]:
+
+COUNTS = [f"n{k}" for k in range(FOLDS)]
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b, n0, ...): how often a sub-word follows another in the texts of each fold."""
+    names = ["a", "b", *COUNTS]
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, fold = (np.concatenate(x) for x in zip(*parts))
+        key = mixed(a, b)
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at * FOLDS + fold, minlength=len(first) * FOLDS).reshape(-1, FOLDS)
+        return pa.record_batch([a[first].view(np.int64), b[first].view(np.int64),
+                                *[np.ascontiguousarray(x) for x in n.T]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for rows in limited(batch):
+                texts = rows.column(0).to_pylist()
+                hashed, sizes = subwords(texts)
+                parts.append((befores(hashed, sizes), hashed, np.repeat(fold_of(texts), sizes)))
+                held += len(hashed)
+                if held > BLOCK_WORDS:
+                    yield summed(parts)
+                    parts, held = [], 0
+        if held:
+            yield summed(parts)
+
+    kinds = "a bigint, b bigint, " + ", ".join(f"{n} bigint" for n in COUNTS)
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, kinds).groupBy("a", "b").agg(
+        *[F.sum(n).alias(n) for n in COUNTS])
+
+
+def discounts(n: list[int]) -> list[float]:
     """The three discounts of an order from how many n-grams were seen 1, 2, 3 and 4 times.
 
-    Where one of these numbers is 0 the estimate is undefined; fixed discounts stand in. With much text
-    the estimate falls to 0 or below, which would leave nothing for n-grams that were never seen; so
-    every discount is at least ``LEAST_DISCOUNT``.
+    Where one of these numbers is 0 the estimate is undefined and fixed discounts stand in; none is
+    less than ``LEAST_DISCOUNT``, so that something is left for n-grams that were never seen.
     """
-    n = seen.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
     if not all(n):
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3)]
 
 
-def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Interpolated probabilities of the seen n-grams (code, p), and context weights (context, gamma).
+def _less(count: Column, cut: list[float]) -> Column:
+    return F.when(count == 0, 0.0).when(count == 1, cut[0]).when(count == 2, cut[1]).otherwise(cut[2])
+
+
+def _seen(rows: DataFrame, counts: list[Column]) -> list[list[float]]:
+    """The discounts of each model from its counts."""
+    found = rows.agg(*[F.count_if(c == k) for c in counts for k in (1, 2, 3, 4)]).first()
+    return [discounts(list(found[4 * m:4 * m + 4])) for m in range(len(counts))]
+
 
-    One table of each for every order from 1. Lower orders count in how many n-grams of the next order
-    a suffix ends. The tables are dealt by n-gram: those of one context meet to be summed up, then each
-    n-gram meets its context and its suffix.
+def values_of(pairs: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(key, n, v0, ...) of all n-grams of the counted pairs, and the surprisal of an unseen sub-word.
+
+    One value for each model, the last of which has seen all folds: what the n-gram adds to the logarithm
+    of the probability. A pair adds its own over what a lower order gives it; a sub-word inside a text adds
+    its probability over that of an unseen one, and the weight it gives to lower orders as a context.
     """
-    seen = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        seen.insert(0, seen[0].groupBy((F.col("code") % SYMBOLS ** order).alias("code")).agg(
-            F.count(F.lit(1)).alias("c")))
-    grams_of, contexts, below = [], [], None
-    for order, table in enumerate(seen, 1):
-        one, two, three = discounts(table)
-        less = F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(three)
-        table = table.withColumn("context", F.floor(F.col("code") / SYMBOLS))
-        weights = table.groupBy("context").agg(F.sum("c").alias("total"), F.sum(less).alias("taken"))
-        weights = weights.select("context", "total", (F.col("taken") / F.col("total")).alias("gamma"))
-        table = table.join(weights, "context").withColumn("own", (F.col("c") - less) / F.col("total"))
-        if below is None:
-            table = table.withColumn("lower", F.lit(1 / SYMBOLS))
-        else:
-            table = table.withColumn("suffix", F.col("code") % SYMBOLS ** (order - 1)).join(
-                below.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        below = written(table.select(
-            "code", (F.col("own") + F.col("gamma") * F.col("lower")).alias("p")), "grams")
-        grams_of.append(below)
-        contexts.append(written(weights.select("context", "gamma"), "contexts"))
-    return grams_of, contexts
-
-
-def surprisals(counts: DataFrame) -> np.ndarray:
-    """Minus the log-probability of every possible n-gram: an array of 38^4 numbers, 8 MB.
-
-    Only tables whose size the alphabet bounds come to the driver.
+    every = sum((F.col(n) for n in COUNTS), F.lit(0))
+    counts = [every - F.col(n) for n in COUNTS] + [every]
+    pairs = written(pairs.select("a", "b", *[c.alias(f"c{m}") for m, c in enumerate(counts)]), "pairs")
+    c = [F.col(f"c{m}") for m in range(MODELS)]
+    cut = _seen(pairs, c)
+    contexts = written(pairs.groupBy("a").agg(
+        *[F.sum(x).alias(f"t{m}") for m, x in enumerate(c)],
+        *[F.try_divide(F.sum(_less(x, cut[m])), F.sum(x)).alias(f"g{m}") for m, x in enumerate(c)]), "contexts")
+    ends = written(pairs.groupBy("b").agg(F.sum(c[-1]).alias("n"), *[
+        F.count_if(x > 0).alias(f"e{m}") for m, x in enumerate(c)]), "endings")
+    e = [F.col(f"e{m}") for m in range(MODELS)]
+    low = _seen(ends, e)
+    totals = ends.agg(*[F.sum(x) for x in e], *[F.sum(_less(x, low[m])) for m, x in enumerate(e)],
+                      *[F.count_if(x > 0) for x in e]).first()
+    unseen, floor = [], []
+    for m in range(MODELS):
+        total, taken, kinds = (totals[m + MODELS * k] or 0 for k in range(3))
+        floor.append(taken / total / (kinds + 1) if total else 1.0)
+        unseen.append(-float(np.log(floor[-1])))
+    chance = [F.when(x > 0, (x - _less(x, low[m])) / F.lit(float(totals[m] or 1))).otherwise(0.0) + floor[m]
+              for m, x in enumerate(e)]
+    weights = contexts.select("a", *[F.coalesce(F.log(f"g{m}"), F.lit(0.0)).alias(f"w{m}") for m in range(MODELS)],
+                              *[f"t{m}" for m in range(MODELS)], *[f"g{m}" for m in range(MODELS)])
+    lower = written(ends.select("b", "n", *[x.alias(f"p{m}") for m, x in enumerate(chance)]), "chances")
+    single = lower.join(weights.withColumnRenamed("a", "b"), "b", "full").select(
+        F.col("b").alias("a"), F.lit(0).cast("bigint").alias("b"), F.coalesce("n", F.lit(1 << 40)).alias("n"),
+        # an edge is a context and never predicted
+        *[F.coalesce(F.log(f"p{m}") + unseen[m], F.lit(0.0)).alias(f"u{m}") for m in range(MODELS)],
+        *[F.coalesce(f"w{m}", F.lit(0.0)).alias(f"w{m}") for m in range(MODELS)])
+    size, sizes = contexts.count(), ends.count()
+    joined = pairs.join(small(weights, size), "a").join(small(lower.drop("n"), sizes), "b")
+    own = [F.when(x > 0, F.log1p((x - _less(x, cut[m])) / F.col(f"t{m}") / (F.col(f"g{m}") * F.col(f"p{m}"))))
+           .otherwise(0.0) for m, x in enumerate(c)]
+    rows = joined.select("a", "b", c[-1].alias("n"), *[x.alias(f"u{m}") for m, x in enumerate(own)],
+                         *[F.lit(0.0).alias(f"w{m}") for m in range(MODELS)], F.lit(True).alias("pair"))
+    rows = rows.unionByName(single.withColumn("pair", F.lit(False)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            n, pair = batch.column(2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            u, w = (np.stack([batch.column(3 + at + m).to_numpy() for m in range(MODELS)]) for at in (0, MODELS))
+            parts = [(mixed(a, b)[pair], n[pair], u[:, pair]),
+                     (mixed(a, INNER)[~pair], n[~pair], (u + w)[:, ~pair]), (mixed(a, LAST)[~pair], n[~pair], u[:, ~pair])]
+            key, n, v = (np.concatenate(x, axis=-1) for x in zip(*parts))
+            v = np.clip(np.rint(v / GRAIN), -32767, 32767).astype(np.int16)
+            yield pa.record_batch([key.view(np.int64), n, *v], names=["key", "n", *[f"v{m}" for m in range(MODELS)]])
+
+    kinds = "key bigint, n bigint, " + ", ".join(f"v{m} smallint" for m in range(MODELS))
+    return written(rows.mapInArrow(keyed, kinds), "gram-values"), unseen
+
+
+class Table:
+    """Sorted keys with the values of each model."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a key is there, its place)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+def frequent(values: DataFrame, most: int = FREQUENT) -> tuple[Table, int]:
+    """The most frequent n-grams, at most ``most``, and the count from which they are taken."""
+    bars = values.groupBy(F.floor(F.log2("n") * 4).alias("bar")).count().collect()
+    least, taken = 1 << 62, 0
+    for bar, n in sorted(((r["bar"], r["count"]) for r in bars), reverse=True):
+        if taken + n > most:
+            break
+        least, taken = bar, taken + n
+    found = values.filter(F.floor(F.log2("n") * 4) >= least).drop("n").toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    return Table(keys, np.stack([found.column(1 + m).to_numpy() for m in range(MODELS)], axis=1)), least
+
+
+BLOCK = "shard bigint, tag int, block bigint, keys binary, places binary"
+HEAD = [("doc_id", pa.int64()), ("mark", pa.int64()), ("lang", pa.string()), ("empty", pa.bool_()),
+        ("n", pa.int64()), ("full", pa.float64()), ("fold", pa.float64()), ("model", pa.int64())]
+
+
+def _packed(columns: list) -> bytes:
+    batch = pa.record_batch([pa.array(c, kind) for c, (_, kind) in zip(columns, HEAD)], names=[n for n, _ in HEAD])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_next_batch()
+
+
+def blocks(docs: DataFrame, table, shards: int) -> DataFrame:
+    """Texts (doc_id, lang, text) of many documents as blocks: their n-grams by shard, and a head.
+
+    What the table of frequent n-grams knows is added up at once; the rest is sent, a key once for a block.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, words, texts = TaskContext.get().partitionId() << 32, 0, [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            name, number = part + number, number + 1
+            ids, marks, langs, empty, sizes, folds, keys, owners = (
+                [x for part in column for x in part] if isinstance(column[0], list) else np.concatenate(column)
+                for column in zip(*held))
+            known, at = table.value.find(keys)
+            values, model = table.value.values[at[known]], folds[owners[known]]
+            local = [np.bincount(owners[known], values[np.arange(len(values)), m], len(sizes)) * GRAIN
+                     for m in (np.full(len(values), FOLDS), model)]
+            keys, owners = keys[~known], owners[~known].astype("<u2")
+            order = np.argsort(keys)
+            keys, owners = keys[order], owners[order]
+            shard = (keys >> np.uint64(40)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            keys, owners, shard = keys[order], owners[order], shard[order]
+            begins = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+            rows = [(name % shards, 1, name, None, _packed([ids, marks, langs, empty, sizes, *local, folds]))]
+            for i, j in zip(begins, [*begins[1:], len(shard)]):
+                first = np.flatnonzero(np.concatenate([[True], keys[i + 1:j] != keys[i:j - 1]]))
+                times = np.diff(np.append(first, j - i)).astype("<u4")
+                rows.append((int(shard[i]), 2, name, keys[i:j][first].tobytes() + times.tobytes(), owners[i:j].tobytes()))
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (
+                pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "tag", "block", "keys", "places"])
+
+        for batch in batches:
+            for rows in limited(batch):
+                some = rows.column(3).to_pylist()
+                hashed, sizes = subwords(some)
+                before = befores(hashed, sizes)
+                owner = np.repeat(np.arange(len(some)), sizes) + texts
+                last = np.zeros(len(hashed), bool)
+                last[np.cumsum(sizes)[sizes > 0] - 1] = True
+                begins = np.flatnonzero(sizes > 0)
+                keys = [mixed(before, hashed), mixed(hashed, np.where(last, LAST, INNER)),
+                        mixed(np.full(len(begins), EDGE), np.full(len(begins), INNER))]
+                held.append((rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(),
+                             [not t for t in some], sizes, fold_of(some), np.concatenate(keys),
+                             np.concatenate([owner, owner, begins + texts])))
+                words, texts = words + len(hashed), texts + len(some)
+                if words > BLOCK_WORDS or texts > BLOCK_TEXTS:
+                    yield block()
+                    held, words, texts = [], 0, 0
+        if held:
+            yield block()
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")),
+                       F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
+
+
+def shard_rows(values: DataFrame, shards: int) -> DataFrame:
+    """The values as blocks of the shards: keys, and the values of all models."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            found = np.stack([batch.column(1 + m).to_numpy() for m in range(MODELS)], axis=1)
+            shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))[:len(keys)]
+            groups = np.split(order, begins[1:])
+            yield pa.record_batch([
+                pa.array([int(shard[g[0]]) for g in groups if len(g)], pa.int64()),
+                pa.array([0 for g in groups if len(g)], pa.int32()), pa.array([0 for g in groups if len(g)], pa.int64()),
+                pa.array([keys[g].tobytes() for g in groups if len(g)], pa.binary()),
+                pa.array([found[g].tobytes() for g in groups if len(g)], pa.binary())],
+                names=["shard", "tag", "block", "keys", "places"])
+
+    return values.drop("n").mapInArrow(run, BLOCK)
+
+
+def scores(docs: DataFrame, values: DataFrame, unseen: list[float]) -> DataFrame:
+    """(doc_id, mark, lang, empty, n, full, fold) of every text: the surprisals of its n sub-words, summed up.
+
+    ``full`` by the model of all folds, ``fold`` by the one that has not seen the text's own.
     """
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order, (table, weights) in enumerate(zip(*probabilities(counts)), 1):
-        gamma = np.ones(SYMBOLS ** (order - 1))
-        found = weights.toPandas()
-        gamma[found["context"].to_numpy(np.int64)] = found["gamma"].to_numpy()
-        if order > 1:
-            p = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if order > 2 else np.tile(p, (SYMBOLS, 1))
-        p = (gamma[:, None] * p.reshape(-1, SYMBOLS)).reshape(-1)
-        found = table.toPandas()
-        p[found["code"].to_numpy(np.int64)] = found["p"].to_numpy()
-    if not p.min() > 0:
-        raise ValueError("an n-gram has no probability")
-    return -np.log(p).astype(np.float32)
-
-
-def mean_surprisal(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """The mean over the symbols of each text; not a number for a text without any."""
-    codes, sizes = grams(texts)
-    sums = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    with np.errstate(invalid="ignore"):
-        return (sums[ends] - sums[ends - sizes]) / sizes
+    table, least = frequent(values)
+    rest = values.filter(F.floor(F.log2("n") * 4) < least)
+    shards = max(SHARDS, -(-rest.count() // SHARD_KEYS))
+    table = docs.sparkSession.sparkContext.broadcast(table)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of one shard after its values, which are held: the sums of each block's texts."""
+        current, parts, shard = None, [], None
+        for batch in batches:
+            out = []
+            for name, tag, block, keys, places in zip(*(batch.column(i) for i in range(5))):
+                if name.as_py() != current:
+                    current, parts, shard = name.as_py(), [], None
+                if tag.as_py() == 0:
+                    parts.append((np.frombuffer(keys.as_buffer(), np.uint64),
+                                  np.frombuffer(places.as_buffer(), np.int16).reshape(-1, MODELS)))
+                elif tag.as_py() == 1:
+                    out.append((block.as_py(), 0, places.as_py()))
+                else:
+                    if shard is None:
+                        none = (np.empty(0, np.uint64), np.empty((0, MODELS), np.int16))
+                        shard, parts = Table(*(np.concatenate(x) for x in zip(none, *parts))), []
+                    data = keys.as_buffer().to_pybytes()
+                    size = len(data) // 12
+                    found, at = shard.find(np.frombuffer(data, np.uint64, size))
+                    times = np.frombuffer(data, "<u4", size, 8 * size)
+                    owners = np.frombuffer(places.as_buffer(), "<u2")[np.repeat(found, times)]
+                    if len(owners):
+                        sums = np.stack([np.bincount(owners, np.repeat(shard.values[at[found], m], times[found]))
+                                         for m in range(MODELS)], axis=1)
+                        texts = np.flatnonzero(np.bincount(owners)).astype("<u2")
+                        out.append((block.as_py(), 1, texts.tobytes() + sums[texts].astype("<i4").tobytes()))
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (
+                    pa.int64(), pa.int32(), pa.binary()))], names=["block", "tag", "data"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The head of a block, then what the shards found for it."""
+        head, current, sums = None, None, None
+
+        def result() -> pa.RecordBatch:
+            sizes, model = head.column(4).to_numpy(), head.column(7).to_numpy()
+            rows = np.arange(len(sizes))
+            off = np.array(unseen)
+            full = sizes * off[FOLDS] - head.column(5).to_numpy() - sums[:, FOLDS] * GRAIN
+            fold = sizes * off[model] - head.column(6).to_numpy() - sums[rows, model] * GRAIN
+            return pa.record_batch([*head.columns[:5], full, fold],
+                                   names=["doc_id", "mark", "lang", "empty", "n", "full", "fold"])
+
+        for batch in batches:
+            for block, tag, data in zip(*(batch.column(i) for i in range(3))):
+                if block.as_py() != current:
+                    if head is not None:
+                        yield result()
+                    current = block.as_py()
+                data = data.as_buffer().to_pybytes()
+                if tag.as_py() == 0:
+                    head = _unpacked(data)
+                    sums = np.zeros((head.num_rows, MODELS))
+                else:
+                    size = len(data) // (2 + 4 * MODELS)
+                    sums[np.frombuffer(data, "<u2", size)] += np.frombuffer(
+                        data, "<i4", size * MODELS, 2 * size).reshape(-1, MODELS)
+        if head is not None:
+            yield result()
+
+    sent = blocks(docs, table, shards).unionByName(shard_rows(rest, shards))
+    found = sent.repartition("shard").sortWithinPartitions("shard", "tag").mapInArrow(
+        look_up, "block bigint, tag int, data binary")
+    return written(found.repartition("block").sortWithinPartitions("block", "tag").mapInArrow(
+        add_up, "doc_id bigint, mark bigint, lang string, empty boolean, n bigint, full double, fold double"), "scores")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -188,100 +462,76 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         F.col("q") == 1).select("doc_id")
 
 
-class Model:
-    """Surprisals of n-grams and the limit of each language, as tasks use them."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> None:
-        """Trains on all trusted texts of ``docs`` and takes the limits from all trusted scores."""
-        spark = docs.sparkSession
-        trusted = written(trusted_ids(labels), "trusted")
-        trusted = small(trusted, trusted.count())
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        table = surprisals(written(
-            count_grams(texts.join(trusted, "doc_id", "left_semi")), "gram-counts"))
-        self.table = spark.sparkContext.broadcast(table)
-        self.scores = written(self._scored(docs), "surprisals")
-        known = self.scores.filter(F.col("step").isNotNull()).join(trusted, "doc_id", "left_semi")
-        self.limits, self.other = _limits(known, quantile)
-
-    def _scored(self, docs: DataFrame) -> DataFrame:
-        table = self.table
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows in limited(batch):
-                    mean = mean_surprisal(rows.column(2).to_pylist(), table.value)
-                    yield pa.record_batch([
-                        rows.column(0), rows.column(1),
-                        pa.array(np.where(np.isnan(mean), 0, mean / STEP).astype(np.int64),
-                                 mask=np.isnan(mean))], names=["doc_id", "lang", "step"])
-
-        return docs.select(
-            F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"),
-        ).mapInArrow(run, "doc_id bigint, lang string, step bigint")
-
-    def limit(self, lang: Column) -> Column:
-        """The limit of a language column; languages without trusted documents have that of all."""
-        pairs = [F.lit(x) for pair in self.limits.items() for x in pair]
-        own = F.element_at(F.create_map(*pairs), lang) if pairs else F.lit(None)
-        return F.coalesce(own.cast("bigint"), F.lit(self.other).cast("bigint"))
-
-
 def _limits(known: DataFrame, quantile: float) -> tuple[dict[str, int], int | None]:
-    """The step at the quantile for each language of (lang, step), and over all languages.
+    """The limit of each language of (lang, step), and that over all languages.
 
-    Exact: a histogram by steps is counted, then summed up within the language.
+    Exact: a histogram by steps is counted, then summed up within the language. Where a language has
+    fewer than ``OWN_LIMIT`` documents its limit is the higher one of its own and that of all.
     """
     bars = known.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
 
     def at_quantile(bars: DataFrame, keys: list[str]) -> DataFrame:
-        up_to = Window.partitionBy(*keys).orderBy("step")
         whole = Window.partitionBy(*keys)
-        return bars.withColumn("before", F.sum("n").over(up_to)).withColumn(
+        return bars.withColumn("before", F.sum("n").over(whole.orderBy("step"))).withColumn(
             "all", F.sum("n").over(whole)).filter(
             F.col("before") >= F.ceil(F.col("all") * quantile)).groupBy(*keys).agg(
-            F.min("step").alias("step"))
+            F.min("step").alias("step"), F.max("all").alias("all"))
 
-    by_lang = {r["lang"]: r["step"] for r in at_quantile(
-        bars.filter(F.col("lang").isNotNull()), ["lang"]).collect()}
     every = bars.groupBy("step").agg(F.sum("n").alias("n")).withColumn("everything", F.lit(1))
     rest = at_quantile(every, ["everything"]).collect()
-    return by_lang, rest[0]["step"] if rest else None
+    other = rest[0]["step"] if rest else None
+    return {r["lang"]: r["step"] if r["all"] >= OWN_LIMIT else max(r["step"], other) for r in at_quantile(
+        bars.filter(F.col("lang").isNotNull()), ["lang"]).collect()}, other
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, mark, lang, step, limit) of every document; ``mark`` is the hash of its text."""
+    trusted = written(trusted_ids(labels), "trusted")
+    trusted = small(trusted, trusted.count())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    values, unseen = values_of(count_pairs(texts.join(trusted, "doc_id", "left_semi")))
+    found = scores(docs, values, unseen).join(
+        trusted.withColumn("is_trusted", F.lit(True)), "doc_id", "left")
+    # trusted documents by the model that has not seen them
+    sums = found.agg(F.sum(F.when(F.col("is_trusted"), F.col("fold"))), F.sum(F.when(F.col("is_trusted"), F.col("n")))).first()
+    mean = sums[0] / sums[1] if sums[1] else 0.0
+    own = F.when(F.col("is_trusted"), F.col("fold")).otherwise(F.col("full"))
+    step = F.when(~F.col("empty"), F.floor((own + PRIOR * mean) / (F.col("n") + PRIOR) / STEP).cast("bigint"))
+    found = written(found.select("doc_id", "mark", "lang", step.alias("step"), "is_trusted"), "judged")
+    limits, other = _limits(found.filter(F.col("is_trusted") & F.col("step").isNotNull()), quantile)
+    pairs = [F.lit(x) for pair in limits.items() for x in pair]
+    limit = F.element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(None)
+    return found.select("doc_id", "mark", "lang", "step", F.coalesce(
+        limit.cast("bigint"), F.lit(other).cast("bigint")).alias("limit"))
+
+
+def _rejected() -> Column:
+    return F.coalesce(F.col("step") > F.col("limit"), F.lit(False))
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, rejected) of every document (doc_id, text, lang).
 
-    Rejected is what is above the limit of its language: the quantile of the perplexities of its
-    trusted documents, those whose labels (doc_id, quality) say 1. A null language, or one without
-    trusted documents, has the limit of all trusted documents; without any nothing is rejected. Null
-    and empty texts have no perplexity and are kept. Repeated rows are scored each; documents with a
-    null id are scored and never trusted; other columns are not read; no documents: no rows.
+    Trusted are the documents whose labels (doc_id, quality) say 1. Perplexities are per sub-word, and
+    those of short texts drawn to the mean of the trusted ones. Rejected is what is above the limit of its
+    language, the quantile of the perplexities of its trusted documents, each by a model of other folds; a
+    language of few trusted documents has at least the limit of all, a null or unknown one has that.
+    Without trusted documents nothing is rejected. Null and empty texts have no perplexity and are kept;
+    texts of any length are read whole; ties have equal perplexities, and one at the limit stays.
+    Repeated rows are scored each; documents with a null id are scored and never trusted; other columns
+    are not read; no documents: no rows.
     """
-    model = Model(docs, labels, quantile)
-    limit = model.limit(F.col("lang"))
-    return model.scores.select(
+    return judged(docs, labels, quantile).select(
         "doc_id", "lang", F.exp(F.col("step") * STEP).alias("perplexity"),
-        F.exp(limit * STEP).alias("threshold"),
-        F.coalesce(F.col("step") > limit, F.lit(False)).alias("rejected"))
+        F.exp(F.col("limit") * STEP).alias("threshold"), _rejected().alias("rejected"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents that ``quality`` does not reject, with all their columns.
 
-    Texts are scored once more where they lie, so that no text is moved to meet its verdict.
+    Those rejected are named by id and hash of the text, and left out where the texts lie.
     """
-    model = Model(docs, labels, quantile)
-    table, limits, other = model.table, model.limits, model.other
-    place, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in limited(batch):
-                mean = mean_surprisal(rows.column(place).cast(pa.string()).to_pylist(), table.value)
-                step = np.where(np.isnan(mean), 0, mean / STEP).astype(np.int64)
-                most = [limits.get(x, other) for x in rows.column(lang).to_pylist()]
-                good = [m is None or np.isnan(v) or s <= m for m, v, s in zip(most, mean, step)]
-                yield rows.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    bad = written(judged(docs, labels, quantile).filter(_rejected()).select(
+        F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct(), "rejected")
+    return docs.join(small(bad, bad.count()), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad_id")) & (
+        F.xxhash64(F.col("text").cast("string")) == F.col("_bad_mark")), "left_anti")
