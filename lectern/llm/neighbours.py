@@ -35,7 +35,7 @@ MAX_DEPTH = 12
 BLOCK = 4096
 QUERY_BLOCK = 512
 LEAF = 256
-CONFIDENCE = 0.99
+CONFIDENCE = 0.95
 EVERY = 50
 SLACK = 1e-9
 
@@ -171,7 +171,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: int, k: int) -> None:
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], DIMENSIONS))
-        self.ids, self.unit, self.k = ids, units(vectors), k
+        self.ids, self.vectors, self.unit, self.k = ids, vectors, units(vectors), k
         depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, rows) / CELL_ROWS))))
         self.cells = Cells(self.unit @ self.directions, depth)
         self.limit = chi_square_limit(CONFIDENCE, DIMENSIONS)
@@ -184,6 +184,22 @@ class Index:
             return np.full(len(ids), -1.0)
         return np.maximum(np.partition(near, -self.k, axis=1)[:, -self.k] - SLACK, -1.0)
 
+    def own_best(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The query's best rows of the sample, scored exactly."""
+        near = self.unit @ (query / math.sqrt((query * query).sum()))
+        others = np.flatnonzero(self.ids != query_id)
+        first = others[np.argsort(-near[others], kind="stable")[:self.k]]
+        if len(first):
+            first = others[near[others] >= near[first[-1]] - SLACK]
+        return best(self.ids[first], cosines(query, self.vectors[first]), self.k)
+
+    def holds(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Which rows are in the sample."""
+        if not len(self.ids):
+            return np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return (self.ids[at] == ids) & (self.vectors[at] == vectors).all(axis=1)
+
 
 def usable(rows: DataFrame, size: int) -> DataFrame:
     """The rows (vec_id, embedding) that take part; embeddings as doubles."""
@@ -285,6 +301,10 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> DataFra
             for ids, vectors, asked, queries, bounds in zip(*(batch.column(i) for i in range(5))):
                 ids = np.frombuffer(ids.as_buffer(), np.int64)
                 vectors = np.frombuffer(vectors.as_buffer()).reshape(-1, size)
+                rest = ~index.value.holds(ids, vectors)
+                if not rest.any():
+                    continue
+                ids, vectors = ids[rest], vectors[rest]
                 unit = units(vectors)
                 points = unit @ index.value.directions
                 tree = Tree(points)
@@ -301,14 +321,25 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> DataFra
                 yield pa.record_batch([np.concatenate(c) for c in zip(*out)],
                                       names=["query_id", "vec_id", "score"])
 
+    def first_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = [(np.full(len(found), query_id), found, scores) for query_id, query in zip(
+                    batch.column(0).to_pylist(), _matrix(batch.column(1), size))
+                    for found, scores in [index.value.own_best(query_id, query)]]
+                yield pa.record_batch([np.concatenate(c) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+
+    asked = good.filter(F.col("vec_id") % every == 0)
     kinds = "cell bigint, vec_id bigint, embedding array<double>, bound double"
     blocks = _packed(good.mapInArrow(place, kinds), BLOCK, size)
-    queries = written(_packed(good.filter(F.col("vec_id") % every == 0).mapInArrow(ask, kinds),
-                              QUERY_BLOCK, size), "query-blocks")
+    queries = written(_packed(asked.mapInArrow(ask, kinds), QUERY_BLOCK, size), "query-blocks")
     pairs = blocks.select("cell", "ids", "vectors").join(queries.select(
         "cell", F.col("ids").alias("asked"), F.col("vectors").alias("queries"), "bounds"), "cell")
     found = pairs.select("ids", "vectors", "asked", "queries", "bounds").mapInArrow(
         meet, "query_id bigint, vec_id bigint, score double")
+    # the sample's rows are looked at for every query, so that each gets its k rows
+    found = found.unionByName(asked.dropDuplicates(["vec_id", "embedding"]).mapInArrow(
+        first_best, "query_id bigint, vec_id bigint, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -37,6 +37,7 @@ def test_table(spark, data):
     want = brute_force(rows, 5, 50)
     got = as_lists(QUERIES["op4_neighbours"].run(spark, data))
     assert set(got) == set(want) and recall(got, want) >= 0.9
+    assert all(len(found) == 5 for found in got.values())
     exact = {i: dict(brute) for i, brute in brute_force(rows, len(rows), 50).items()}
     assert all(exact[i][j] == s for i, found in got.items() for j, s in found)
 
@@ -56,6 +57,7 @@ def test_many_cells_and_blocks(spark, monkeypatch, spread, many_partitions):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got, want = as_lists(neighbours.nearest(df, every=10)), brute_force(rows, 5, 10)
     assert set(got) == set(want) and recall(got, want) >= 0.9
+    assert all(len(found) == 5 for found in got.values())
     # among equal vectors the smaller ids come first
     for i in range(0, 1200, 30):
         assert got[i] == want[i]
@@ -76,6 +78,16 @@ def test_hard_rows(spark):
     assert neighbours.nearest(df.limit(0)).collect() == []
 
 
+def test_every_query_gets_its_rows(spark):
+    """All rows as queries, far fewer cells and a sample that is the table, then one that is not."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 12)))]
+    for size in (300, 7, 4):
+        df = spark.createDataFrame(rows[:size], "vec_id bigint, embedding array<double>")
+        got = as_lists(neighbours.nearest(df, every=1))
+        assert {len(found) for found in got.values()} == {min(5, size - 1)} and len(got) == size
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square(7.344, 8) - 0.5) < 1e-4
     assert abs(neighbours.chi_square_limit(0.95, 8) - 15.507) < 1e-3
