@@ -52,8 +52,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LA
 
     Of each pair of labels the documents with the smallest hashes of their ids; a document with
     different labels counts as bad, and as toxic. The weight is how many labelled documents of its pair
-    a document stands for. The bound makes the sample small enough to be broadcast to the documents and
-    collected.
+    a document stands for. Of rows that repeat an id one counts, that with the smallest hash of its text.
+    So the sample has at most four times ``per_labels`` rows, whatever the documents, and may be broadcast
+    to them and collected.
     """
     said = labels.filter(F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")).agg(
@@ -77,7 +78,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_labels: int = PER_LA
                     names=["doc_id", "quality", "toxic", "weight", "words"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(taken), "doc_id").select(
+    # the first row of each id is found without the texts
+    first = texts.select("doc_id", F.xxhash64("text").alias("mark")).join(
+        F.broadcast(taken.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("mark").alias("first"))
+    taken = taken.join(first, "doc_id")
+    found = texts.withColumn("mark", F.xxhash64("text")).join(F.broadcast(taken), "doc_id").filter(
+        F.col("mark") == F.col("first")).groupBy("doc_id").agg(
+        F.first("quality").alias("quality"), F.first("toxic").alias("toxic"), F.first("weight").alias("weight"),
+        F.first("text").alias("text"))
+    return found.select(
         "doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"), "weight", "text").mapInArrow(
         run, "doc_id bigint, quality int, toxic int, weight double, words array<string>")
 

@@ -123,3 +123,13 @@ def test_a_sample_that_binds_rejects_no_more_clean_documents(spark):
     for (quality, toxic), r in sample.iterrows():
         here = sum(x[0] % 2 and x[5:] == (quality, toxic) for x in rows)
         assert r["size"] == min(64, here) and abs(r["sum"] - here) < 1e-6
+
+
+def test_the_sample_is_bounded_whatever_the_documents(spark):
+    """One labelled id in very many rows, of two texts."""
+    many = spark.range(20_000).selectExpr("7L AS doc_id", "IF(id % 2 = 0, 'one text', 'other text') AS text")
+    docs = many.unionByName(spark.createDataFrame([(1, "good"), (2, None)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(7, 1, 1), (1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rows = tox.labelled_sample(docs, labels, per_labels=10).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 7]
+    assert tox.toxicity(docs, labels).count() == 20_002
