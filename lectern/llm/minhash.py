@@ -23,8 +23,9 @@ LANE_BITS = 8
 LANES = 64 // LANE_BITS
 # Probes that are written out; the rare walks beyond them run through the remaining bins.
 PROBES = 12
-# Documents of a run of neighbouring ids, in the mean.
+# Documents of a run of neighbouring ids, in the mean, and quantiles of the ids that runs are cut from.
 RUN_ROWS = 2000
+BUCKETS = 512
 POSITIVE = (1 << 63) - 1
 LOW_BITS = 0x0101010101010101
 
@@ -121,23 +122,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), ((1 - wrong / BINS) - by_chance) / (1 - by_chance))
 
 
+def run_of(ids: DataFrame) -> Column:
+    """The run of each row (doc_id): neighbouring ids, about ``RUN_ROWS`` rows in each; null ids: -1.
+
+    Quantiles of the ids cut them into buckets of equally many rows, whatever gaps lie between, and each
+    bucket is cut evenly into runs. Both steps only ever rise with the id.
+    """
+    found, rows = ids.agg(F.percentile_approx(
+        "doc_id", [k / BUCKETS for k in range(BUCKETS + 1)], 100 * BUCKETS), F.count("doc_id")).first()
+    bounds = sorted(set(found or []))
+    if len(bounds) < 2:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("bigint")
+    share = rows / (len(bounds) - 1) / RUN_ROWS
+    widths = [max(1.0, (high - low) / max(1.0, share)) for low, high in zip(bounds, bounds[1:])]
+    lows = F.array(*[F.lit(x) for x in bounds[:-1]])
+
+    def place(values: list[int]) -> Column:
+        """How many of the rising values the id reaches: first among every 32nd, then among 32."""
+        coarse = F.size(F.filter(F.array(*[F.lit(x) for x in values[::32]]), lambda x: x <= F.col("doc_id")))
+        return F.when(coarse == 0, 0).otherwise((coarse - 1) * 32 + F.size(F.filter(F.slice(
+            F.array(*[F.lit(x) for x in values]), F.greatest((coarse - 1) * 32 + 1, F.lit(1)), F.lit(32)),
+            lambda x: x <= F.col("doc_id"))))
+
+    # as doubles, since the difference of two longs need not be one
+    bucket = F.greatest(place(bounds[:-1]) - 1, F.lit(0))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(let(bucket, lambda b: b.cast("bigint") * (1 << 40) + F.least(
+        F.greatest(F.floor((F.col("doc_id").cast("double") - F.get(lows, b).cast("double")) / F.get(
+            F.array(*[F.lit(x) for x in widths]), b)), F.lit(0)), F.lit((1 << 40) - 1))))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, packed, next_text, next_packed): each document beside the next smaller doc_id.
 
-    After the smallest comes the largest. Rows are dealt by runs of neighbouring ids, about
-    ``RUN_ROWS`` in each, and follow each other inside; the first of a run finds the last one of the run
-    before it through a small table with one row per run. Rows of one id go by their text. Documents
-    with a null id follow each other in a ring of their own.
+    After the smallest comes the largest. Rows are dealt by runs of neighbouring ids and follow each other
+    inside; the first of a run finds the last one of the run before it through a small table with one row
+    per run. Rows of one id go by their text. Documents with a null id follow each other in a ring of
+    their own.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, rows = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, -(-(high - low + 1) * RUN_ROWS // rows)) if rows else 1
-    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1))
-    placed = ids.withColumn("run", run)
-    tops = placed.filter(F.col("run") >= 0).groupBy("run").agg(F.max("doc_id").alias("top"))
-    before = F.lag("top").over(Window.orderBy("run"))
-    tops = written(tops.select("run", F.coalesce(before, F.lit(high)).alias("doc_id")), "runs")
+    placed = ids.withColumn("run", run_of(ids))
+    tops = written(placed.filter(F.col("run") >= 0).groupBy("run").agg(F.max("doc_id").alias("top")), "tops")
+    high = tops.agg(F.max("top")).first()[0]
+    # the last run before each one: among those of its bucket, else of the buckets before
+    bucket = F.shiftright("run", 40)
+    ends = tops.groupBy(bucket.alias("bucket")).agg(F.max("top").alias("end"))
+    ends = ends.select("bucket", F.lag("end").over(Window.orderBy("bucket")).alias("end"))
+    before = F.lag("top").over(Window.partitionBy("bucket").orderBy("run"))
+    tops = written(tops.withColumn("bucket", bucket).withColumn("before", before).join(F.broadcast(ends), "bucket").select(
+        "run", F.coalesce("before", "end", F.lit(high)).alias("doc_id")), "runs")
     last = ids.join(small(tops, tops.count()), "doc_id").groupBy("run").agg(F.max("text").alias("last"))
     nobody = placed.filter(F.col("run") == -1).groupBy("run").agg(F.max("text").alias("last"))
     last = last.unionByName(nobody).withColumn("last_packed", fingerprint(F.col("last")))
@@ -155,8 +188,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edit replaces the last third of the code points, rounded down, by the first as many of the next
     document. (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next):
     the last two are the likeness to the edited text and to the next document. Null texts are empty;
-    empty ones are alike, and unlike all others; repeated rows are fingerprinted each; other columns are
-    not read; no documents: no rows.
+    empty ones are alike, and unlike all others; texts of any length are read whole; ids may be any longs,
+    clustered or far apart; repeated rows are fingerprinted each; other columns are not read; no
+    documents: no rows.
     """
     size = F.length("text")
     cut = F.floor(size / 3).cast("int")

@@ -83,6 +83,23 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(str, [(r.doc_id, r.edited_sha256) for r in got])) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("run_rows", [2, 50])
+def test_wide_and_clustered_ids(spark, monkeypatch, run_rows):
+    """Ids at both ends of the longs, and most of them in a few dense clusters."""
+    monkeypatch.setattr(minhash, "RUN_ROWS", run_rows)
+    ids = [-7 * 10**18, 5, 7 * 10**18, -(1 << 63), (1 << 63) - 1, *range(10**15, 10**15 + 60), *range(-70, -10)]
+    texts = {i: f"text of {i} " * (1 + i % 3) for i in ids}
+    docs = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id bigint, text string").repartition(5)
+    ring = sorted(ids, reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in minhash.edited_fingerprints(docs).collect()}
+    for i, after in zip(ring, [*ring[1:], ring[0]]):
+        cut = len(texts[i]) // 3
+        assert got[i] == hashlib.sha256(
+            (texts[i][:len(texts[i]) - cut] + texts[after][:cut]).encode()).hexdigest()
+    runs = docs.select(minhash.run_of(docs).alias("run")).groupBy("run").count().collect()
+    assert max(r["count"] for r in runs) <= 4 * run_rows + 4
+
+
 def test_one_document(spark):
     got = minhash.edited_fingerprints(spark.createDataFrame([(5, "abcdef")], "doc_id bigint, text string"))
     assert got.first().edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
