@@ -18,6 +18,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm.common import small, written
 from lectern.llm.components import components
@@ -225,9 +226,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id that links of at most four differing bits reach. Copies
     share a fingerprint, so links are searched among distinct fingerprints. Null and empty texts have
     fingerprint zero and are linked like any other; rows with a null doc_id are kept and never name a
-    component, which is null where no member has an id; repeated rows are kept; other columns are not
-    read; no documents: no rows.
+    component, which is null where no member has an id; repeated rows are kept; texts of any length are
+    read whole; other columns are not read; no documents: no rows.
     """
+    return grouped(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every document (doc_id, text)."""
     marked = written(fingerprints(docs), "fingerprints")
     prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
     roots = components(find_links(prints))
@@ -235,24 +242,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _with_print(docs: DataFrame) -> DataFrame:
+    """The documents with a last column ``_fp``."""
+    place, names = docs.columns.index("text"), [*docs.columns, "_fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            found = [fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in texts]
+            yield pa.record_batch([*batch.columns, np.array(found, np.uint64).view(np.int64)], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all columns.
 
-    Rows that repeat an id are reduced to one row per text. Rows without an id cannot stand for a group:
-    of those with one text one stays.
+    Where rows repeat that id, one of those in the group stays, with the smallest fingerprint. Rows
+    without an id cannot stand for a group: of those with one text one stays.
     """
-    found = near_duplicates(docs)
-    kept = written(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n")), "kept")
-    again = kept.filter(F.col("n") > 1).select("doc_id")
-    again = small(again, again.count())
+    ids = written(grouped(docs).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("component_id") == F.col("doc_id"), F.col("fp"))).alias("print")), "kept")
+    ids = ids.filter(F.col("print").isNotNull())
     # one plan at every size: texts meet the kept ids by a shuffle, never by a broadcast
-    stay = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    once = stay.join(again, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    once = docs.join(ids.filter(F.col("n") == 1).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    several = written(ids.filter(F.col("n") > 1).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")), "several")
+    several = small(several, several.count())
+    again = _with_print(docs.join(several, F.col("doc_id") == F.col("_id"), "left_semi")).join(
+        several, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi")
     nobody = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return once.unionByName(repeated.select(*docs.columns)).unionByName(nobody)
+    return once.select(*docs.columns).unionByName(
+        again.dropDuplicates(["doc_id"]).select(*docs.columns)).unionByName(nobody)

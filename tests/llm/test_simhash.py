@@ -161,3 +161,15 @@ def test_components_of_random_links(spark):
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
     assert got == {v: root(v) for pair in real for v in pair}
+
+
+def test_one_of_each_group_stays(spark):
+    """Ids of several texts, copies under other ids, groups without any id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, b), (5, a), (5, b), (None, a), (None, c), (None, c), (9, d), (9, d), (10, d), (11, None), (12, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, _fp string, root int").drop("_fp")
+    got = simhash.keep_one(docs.repartition(3))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(3, a), (5, b), (None, a), (None, c), (9, d), (11, None)], key=repr)
+    assert simhash.keep_one(docs.limit(0)).collect() == []
