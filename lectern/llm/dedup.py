@@ -71,6 +71,8 @@ def observe(arriving: DataFrame, path: str, key_bytes: int = KEY_BYTES) -> None:
     """
     spark = arriving.sparkSession
     set_stream_settings(spark)
+    # state stores may be many and small: none sets disk aside before it needs it
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     (digests(arriving).writeStream.format("parquet").option("path", f"{path}/rows")
      .option("checkpointLocation", f"{path}/checkpoint-rows").trigger(availableNow=True).start().awaitTermination())
     key = F.substring("sha", 1, key_bytes)
