@@ -45,10 +45,11 @@ STEP = 1e-4
 # Values of n-grams are kept in steps of this size, as 16-bit numbers.
 GRAIN = 1e-3
 # N-grams that all tasks know: at most so many.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 SHARDS, SHARD_KEYS = 64, 1 << 18
 # Sub-words and texts of a block.
-BLOCK_WORDS, BLOCK_TEXTS = 1 << 21, 1 << 14
+BLOCK_WORDS, BLOCK_TEXTS = 1 << 21, (1 << 14) - 256
+FOLD_AT = 14
 PIECE = 1 << 20
 KNOWN_WORDS = 300_000
 
@@ -317,7 +318,8 @@ def blocks(docs: DataFrame, table, shards: int) -> DataFrame:
             values, model = table.value.values[at[known]], folds[owners[known]]
             local = [np.bincount(owners[known], values[np.arange(len(values)), m], len(sizes)) * GRAIN
                      for m in (np.full(len(values), FOLDS), model)]
-            keys, owners = keys[~known], owners[~known].astype("<u2")
+            # a text's place in the block, and its fold above it
+            keys, owners = keys[~known], (owners[~known] | folds[owners[~known]] << FOLD_AT).astype("<u2")
             order = np.argsort(keys)
             keys, owners = keys[order], owners[order]
             shard = (keys >> np.uint64(40)) % np.uint64(shards)
@@ -410,9 +412,10 @@ def scores(docs: DataFrame, values: DataFrame, unseen: list[float]) -> DataFrame
                     times = np.frombuffer(data, "<u4", size, 8 * size)
                     owners = np.frombuffer(places.as_buffer(), "<u2")[np.repeat(found, times)]
                     if len(owners):
-                        sums = np.stack([np.bincount(owners, np.repeat(shard.values[at[found], m], times[found]))
-                                         for m in range(MODELS)], axis=1)
-                        texts = np.flatnonzero(np.bincount(owners)).astype("<u2")
+                        place, model = owners & ((1 << FOLD_AT) - 1), owners >> FOLD_AT
+                        values = np.repeat(at[found], times[found])
+                        sums = np.stack([np.bincount(place, shard.values[values, m]) for m in (FOLDS, model)], axis=1)
+                        texts = np.flatnonzero(np.bincount(place)).astype("<u2")
                         out.append((block.as_py(), 1, texts.tobytes() + sums[texts].astype("<i4").tobytes()))
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (
@@ -424,10 +427,9 @@ def scores(docs: DataFrame, values: DataFrame, unseen: list[float]) -> DataFrame
 
         def result() -> pa.RecordBatch:
             sizes, model = head.column(4).to_numpy(), head.column(7).to_numpy()
-            rows = np.arange(len(sizes))
             off = np.array(unseen)
-            full = sizes * off[FOLDS] - head.column(5).to_numpy() - sums[:, FOLDS] * GRAIN
-            fold = sizes * off[model] - head.column(6).to_numpy() - sums[rows, model] * GRAIN
+            full = sizes * off[FOLDS] - head.column(5).to_numpy() - sums[:, 0] * GRAIN
+            fold = sizes * off[model] - head.column(6).to_numpy() - sums[:, 1] * GRAIN
             return pa.record_batch([*head.columns[:5], full, fold],
                                    names=["doc_id", "mark", "lang", "empty", "n", "full", "fold"])
 
@@ -440,11 +442,11 @@ def scores(docs: DataFrame, values: DataFrame, unseen: list[float]) -> DataFrame
                 data = data.as_buffer().to_pybytes()
                 if tag.as_py() == 0:
                     head = _unpacked(data)
-                    sums = np.zeros((head.num_rows, MODELS))
+                    sums = np.zeros((head.num_rows, 2))
                 else:
-                    size = len(data) // (2 + 4 * MODELS)
+                    size = len(data) // 10
                     sums[np.frombuffer(data, "<u2", size)] += np.frombuffer(
-                        data, "<i4", size * MODELS, 2 * size).reshape(-1, MODELS)
+                        data, "<i4", 2 * size, 2 * size).reshape(-1, 2)
         if head is not None:
             yield result()
 
