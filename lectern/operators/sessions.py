@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lectern.session import shared_folder
+
 GAP_SECONDS = 1800
 REFRESH_SECONDS = 60
 _SECOND = 1_000_000
 
-# Event times that are handled as one block.
+# Event times that are handled as one block, and neighbours that are joined in one round.
 _BLOCK = 1 << 16
+_FAN = 16
 
 
 def session_ids(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,9 +76,9 @@ class LazyFollower:
     def __init__(self, gap: int, refresh: int) -> None:
         self.limit = (gap + 1) * _SECOND
         self.step = min((refresh + 1) * _SECOND, self.limit)
-        self.open: tuple[int, int, int, int] | None = None
+        self.open: tuple[int | None, int, int, int] | None = None
 
-    def feed(self, times: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def feed(self, times: np.ndarray) -> list[tuple[int | None, int, int, int]]:
         """Takes later events and gives the sessions (start, refreshed, last, events) they close."""
         closed, at = [], 0
         if self.open is None and len(times):
@@ -94,24 +97,74 @@ class LazyFollower:
             self.open, at = (start, seen, last, n), due
         return closed
 
+    def pieces(self, times: np.ndarray, due: int | None) -> list[tuple[int | None, int, int, int]]:
+        """What a block of events adds to sessions, if the next refresh is due at ``due``.
 
-def sessionize_lazy(
-    events: DataFrame, gap: int = GAP_SECONDS, refresh: int = REFRESH_SECONDS,
-) -> DataFrame:
-    """Sessions as kept by a store that refreshes its last-seen time only when it is old.
+        The first piece has no start where it goes on with a session of earlier events.
+        """
+        self.open = None if due is None else (None, due - self.step, due - self.step, 0)
+        return [x for x in [*self.feed(times), self.open] if x and x[3]]
 
-    With whole seconds since the last refresh: above ``gap`` a new session starts, else above
-    ``refresh`` the time is refreshed, else it stays. Expiry therefore counts from the last refresh.
 
-    Events are dealt and sorted by ranges of (user, time), so those of a busy user spread over tasks,
-    and packed into blocks of bounded size. Each user's blocks then pass one by one, in order, and only
-    the refreshes in them are looked up.
+class Passage:
+    """How a run of events turns the time a refresh is due before it into the one after it.
+
+    A step function: if the refresh is due at or before ``upto[i]``, and after the one before, the next one
+    is due at ``out[i]`` when all is over. Due after all of them it stays due as it was. ``latest``: the
+    refresh before the events is not later than the first of them, so it is not due after this time.
     """
-    if gap < 0 or refresh < 0:
-        raise ValueError("gap and refresh must not be negative")
-    user, kind = events.schema["user_id"].dataType.simpleString(), events.schema["ts"].dataType
 
+    def __init__(self, upto: np.ndarray, out: np.ndarray, latest: int) -> None:
+        last = np.append(out[1:] != out[:-1], True)[:len(out)]
+        upto, out = upto[last], out[last]
+        reached = int(np.searchsorted(upto, latest)) + 1
+        self.upto, self.out, self.latest = upto[:reached], out[:reached], latest
+
+    @classmethod
+    def of(cls, times: np.ndarray, step: int) -> Passage:
+        """Of sorted events: each points to the refresh after it, and doubling finds the last one."""
+        after = np.searchsorted(times, times + step)
+        last = np.where(after < len(times), after, np.arange(len(times)))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        return cls(times, times[last] + step, int(times[0]) + step)
+
+    def __call__(self, due: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.upto, due)
+        return np.where(at < len(self.upto), np.append(self.out, 0)[at], due)
+
+    def then(self, later: Passage) -> Passage:
+        """This run and the one after it."""
+        beyond = later.upto > self.upto[-1]
+        return Passage(np.append(self.upto, later.upto[beyond]), np.append(later(self.out), later.out[beyond]),
+                       self.latest)
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.latest], self.upto, self.out]).astype("<i8").tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Passage:
+        both = np.frombuffer(data, "<i8")
+        half = len(both) // 2
+        return cls(both[1:half + 1], both[half + 1:], int(both[0]))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _time_blocks(events: DataFrame, kind: str) -> DataFrame:
+    """(user_id, block, first_us, last_us, times): sorted event times of a user in blocks of bounded size.
+
+    Events are dealt and sorted by ranges of (user, time), so those of a busy user spread over tasks.
+    """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             users, times = batch.column(0), batch.column(1).to_numpy()
             if not len(times):
@@ -120,42 +173,132 @@ def sessionize_lazy(
             cuts = sorted({*ends.tolist(), *range(_BLOCK, len(times), _BLOCK)})
             begins = [0, *cuts[:-1]]
             yield pa.record_batch([
-                users.take(pa.array(begins)), times[begins], times[np.array(cuts) - 1],
+                users.take(pa.array(begins)), np.arange(number, number + len(cuts)), times[begins],
+                times[np.array(cuts) - 1],
                 pa.array([times[i:j].tobytes() for i, j in zip(begins, cuts)], pa.binary())],
-                names=["user_id", "first_us", "last_us", "times"])
+                names=["user_id", "block", "first_us", "last_us", "times"])
+            number += len(cuts)
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, follower, number = None, None, 0
-        names = ["user_id", "session_no", "start", "seen", "last", "events"]
-        for batch in itertools.chain(batches, [None]):
-            rows = []
+    stamps = events.select("user_id", _micros("ts").alias("us")).filter(F.col("us").isNotNull())
+    return stamps.repartitionByRange("user_id", "us").sortWithinPartitions("user_id", "us").mapInArrow(
+        pack, f"user_id {kind}, block bigint, first_us bigint, last_us bigint, times binary")
 
-            def note(closed: list[tuple[int, int, int, int]]) -> None:
-                nonlocal number
-                for session in closed:
-                    number += 1
-                    rows.append((current, number, *session))
-
-            for who, times in zip(*(batch.column(i) for i in range(2))) if batch is not None else ():
-                who = who.as_py()
-                if follower is None or who != current:
-                    if follower is not None:
-                        note([follower.open])
-                    current, follower, number = who, LazyFollower(gap, refresh), 0
-                note(follower.feed(np.frombuffer(times.as_buffer(), np.int64)))
-            if batch is None and follower is not None:
-                note([follower.open])
+
+def _entries(nodes: DataFrame, kind: str) -> DataFrame:
+    """(user_id, no, due) of the nodes (user_id, no, passage): when a refresh is due before each one.
+
+    Nodes of a user follow each other by ``no`` from 0; before the first nothing is due. Passages of
+    ``_FAN`` neighbours make one of the next round, until one node is left; then each node hands on to
+    its parts what is due. So a task of either way reads the parts of one node at a time.
+    """
+    if nodes.agg(F.max("no")).first()[0] in (None, 0):
+        return nodes.select("user_id", "no", F.lit(None).cast("bigint").alias("due"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, whole = None, None
+
+        def node() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([current[0]], users), pa.array([current[1]], pa.int64()),
+                                    pa.array([whole.packed()], pa.binary())], names=["user_id", "no", "passage"])
+
+        for batch in batches:
+            for user, no, passage in zip(*(batch.column(i) for i in (0, 1, 3))):
+                key, part = (user.as_py(), no.as_py()), Passage.unpacked(passage.as_py())
+                if current == key:
+                    whole = whole.then(part)
+                    continue
+                if current is not None:
+                    yield node()
+                current, whole = key, part
+        if current is not None:
+            yield node()
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = None
+        for batch in batches:
+            rows = []
+            for user, no, passage, told in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
+                if not passage.is_valid:  # the node itself, before its parts
+                    due = told.as_py()
+                    continue
+                rows.append((user.as_py(), no.as_py(), due))
+                passage = Passage.unpacked(passage.as_py())
+                # before the first events of a user, the first of them is a refresh
+                due = int(passage.out[0] if due is None else passage(np.array([due]))[0])
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema(
-                    [("user_id", users_type), *[(n, pa.int64()) for n in names[1:]]]))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (users, pa.int64(), pa.int64()))],
+                                      names=["user_id", "no", "due"])
+
+    users = to_arrow_type(nodes.schema["user_id"].dataType)
+    group = F.floor(F.col("no") / _FAN).cast("bigint").alias("whole")
+    parts = nodes.select("user_id", group, "no", "passage")
+    above = _written(parts.repartition("user_id", "whole").sortWithinPartitions("user_id", "whole", "no").mapInArrow(
+        join, f"user_id {kind}, no bigint, passage binary"), "session-nodes")
+    told = _entries(above, kind).select(
+        "user_id", F.col("no").alias("whole"), F.lit(-1).cast("bigint").alias("no"),
+        F.lit(None).cast("binary").alias("passage"), "due")
+    both = parts.withColumn("due", F.lit(None).cast("bigint")).unionByName(told)
+    return both.repartition("user_id", "whole").sortWithinPartitions("user_id", "whole", "no").mapInArrow(
+        hand_on, f"user_id {kind}, no bigint, due bigint")
 
-    users_type = to_arrow_type(events.schema["user_id"].dataType)
-    stamps = events.select("user_id", _micros("ts").alias("us")).filter(F.col("us").isNotNull())
-    blocks = stamps.repartitionByRange("user_id", "us").sortWithinPartitions("user_id", "us").mapInArrow(
-        pack, f"user_id {user}, first_us bigint, last_us bigint, times binary")
-    order = ["user_id", "first_us", "last_us"]
-    sessions = blocks.repartition("user_id").sortWithinPartitions(*order).select("user_id", "times").mapInArrow(
-        follow, f"user_id {user}, session_no bigint, start bigint, seen bigint, last bigint, events bigint")
+
+def sessionize_lazy(
+    events: DataFrame, gap: int = GAP_SECONDS, refresh: int = REFRESH_SECONDS,
+) -> DataFrame:
+    """Sessions as kept by a store that refreshes its last-seen time only when it is old.
+
+    With whole seconds since the last refresh: above ``gap`` a new session starts, else above
+    ``refresh`` the time is refreshed, else it stays. Expiry therefore counts from the last refresh.
+
+    Event times are packed into blocks of bounded size, which are written. Where a user has several, each
+    block tells how it turns the time a refresh is due before it into the one after it; these are joined
+    in rounds, and every block then finds its sessions by itself. What a user's blocks add to sessions is
+    put together at the end: at most a row per block and one per session.
+    """
+    if gap < 0 or refresh < 0:
+        raise ValueError("gap and refresh must not be negative")
+    user, kind = events.schema["user_id"].dataType.simpleString(), events.schema["ts"].dataType
+    step = LazyFollower(gap, refresh).step
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Passage.of(np.frombuffer(x.as_buffer(), np.int64), step).packed() for x in batch.column(2)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.binary())],
+                                  names=["user_id", "no", "passage"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follower = LazyFollower(gap, refresh)
+        names = ["user_id", "no", "piece", "start", "seen", "last", "events"]
+        kinds = [users, *[pa.int64()] * 6]
+        for batch in batches:
+            rows = []
+            for who, no, times, due in zip(*(batch.column(i) for i in range(4))):
+                found = follower.pieces(np.frombuffer(times.as_buffer(), np.int64), due.as_py())
+                rows += [(who.as_py(), no.as_py(), at, *piece) for at, piece in enumerate(found)]
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    users = to_arrow_type(events.schema["user_id"].dataType)
+    blocks = _written(_time_blocks(events, user), "session-blocks")
+    mine = Window.partitionBy("user_id")
+    placed = _written(blocks.select(
+        "user_id", "block", (F.row_number().over(mine.orderBy("first_us", "last_us", "block")) - 1).cast(
+            "bigint").alias("no"), F.count(F.lit(1)).over(mine).alias("many")), "session-places")
+    several = placed.filter(F.col("many") > 1)
+    asked = placed.withColumn("due", F.lit(None).cast("bigint"))
+    if not several.isEmpty():
+        nodes = _written(several.join(blocks.select("block", "times"), "block").select(
+            "user_id", "no", "times").mapInArrow(passages, f"user_id {user}, no bigint, passage binary"), "session-nodes")
+        entries = _entries(nodes, user).select(F.col("user_id").alias("_user"), F.col("no").alias("_no"), "due")
+        asked = placed.join(
+            entries, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("no") == F.col("_no")), "left")
+    pieces = blocks.select("block", "times").join(asked.select("user_id", "no", "block", "due"), "block").select(
+        "user_id", "no", "times", "due").mapInArrow(
+        follow, f"user_id {user}, no bigint, piece bigint, start bigint, seen bigint, last bigint, events bigint")
+    begun = F.sum(F.col("start").isNotNull().cast("bigint")).over(mine.orderBy("no", "piece"))
+    sessions = pieces.withColumn("session_no", begun).groupBy("user_id", "session_no").agg(
+        F.min("start").alias("start"), F.max("seen").alias("seen"), F.max("last").alias("last"),
+        F.sum("events").alias("events"))
 
     def at(micros: str) -> Column:
         return F.timestamp_micros(micros).cast(kind)

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,46 @@ def test_a_busy_user_is_never_one_array(spark, monkeypatch):
     assert rows[7].refreshed_at == epoch + datetime.timedelta(microseconds=seen)
 
 
+@pytest.mark.parametrize("pace", [0, 900, 20_000, 3_000_000, 70_000_000])
+def test_a_busy_user_over_many_rounds(spark, monkeypatch, pace):
+    """Blocks of 16 events, joined by threes, from far less than a refresh to far more; equal times too."""
+    monkeypatch.setattr(sessions, "_BLOCK", 16)
+    monkeypatch.setattr(sessions, "_FAN", 3)
+    rng = random.Random(pace)
+    times = [0]
+    for _ in range(1500):
+        times.append(times[-1] + rng.choice([0, pace, rng.randint(0, 2 * pace), rng.choice([0, 0, 0, 65]) * 10**6]))
+    few = [rng.randint(0, 10**9) for _ in range(20)]
+    events = [(1, us) for us in times] + [(2, us) for us in few] + [(None, us) for us in times[:200]]
+    rng.shuffle(events)
+    assert lazy_rows_by_user(spark, events, 100, 60) == {
+        1: lazy_by_loop(times, 100, 60), 2: lazy_by_loop(few, 100, 60), None: lazy_by_loop(times[:200], 100, 60)}
+
+
+def lazy_rows_by_user(spark, events, gap, refresh):
+    found = {}
+    for r in sorted(sessions.sessionize_lazy(frame(spark, events), gap, refresh).collect(), key=lambda r: r.session_no):
+        found.setdefault(r.user_id, []).append((r.session_start, r.refreshed_at, r.last_seen, r.events))
+    return found
+
+
+def test_passages_join_to_the_passage_of_all():
+    rng = random.Random(9)
+    for pace in (1, 7, 40, 200):
+        times = np.cumsum([rng.choice([0, 1, pace, rng.randint(0, 3 * pace)]) for _ in range(300)])
+        cuts = [0, *sorted(rng.sample(range(1, 300), 7)), 300]
+        parts = [sessions.Passage.of(times[i:j], 50) for i, j in zip(cuts, cuts[1:])]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = sessions.Passage.unpacked(whole.then(part).packed())
+        for due in range(int(times[0]) - 3, int(times[0]) + 51):
+            seen = due - 50
+            for t in times.tolist():
+                seen = t if t - seen >= 50 else seen
+            assert int(whole(np.array([due]))[0]) == seen + 50
+        assert len(whole.upto) <= len(times[times <= times[0] + 50]) + 1
+
+
 def test_lazy_edges(spark):
     with pytest.raises(ValueError):
         lazy_rows(spark, [(1, 0)], -1, 3)
