@@ -113,8 +113,12 @@ def book_title(df: DataFrame, legacy: bool = False) -> DataFrame:
 
 def book_metadata(packages: DataFrame, legacy: bool = False) -> DataFrame:
     """Catalogue rows from packages(path, size, ctime, opf_xml, cover_bytes, error)."""
-    df = unpack_packages(packages)
-    df = select_cover(pivot_meta(route_identifiers(content_identifier(df))))
+    return catalogue_rows(unpack_packages(packages), legacy)
+
+
+def catalogue_rows(unpacked: DataFrame, legacy: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Catalogue rows from unpacked packages, with the columns to ``keep``."""
+    df = select_cover(pivot_meta(route_identifiers(content_identifier(unpacked))))
     df = book_title(df, legacy)
     return df.select(
         "path", "size", "ctime", F.col("ctime").alias("utime"), "title",
@@ -125,7 +129,7 @@ def book_metadata(packages: DataFrame, legacy: bool = False) -> DataFrame:
         "series", "series_index",
         F.coalesce(F.get("dates", F.lit(0)), F.lit(DEFAULT_PUBLISH_DATE)).alias("publish_date"),
         F.lit(0.0).cast("float").alias("rating"), F.lit(0).cast("bigint").alias("count_visit"),
-        F.lit(0).cast("bigint").alias("count_download"), "cover_key", "bucket")
+        F.lit(0).cast("bigint").alias("count_download"), "cover_key", "bucket", *keep)
 
 
 def book_tags(books: DataFrame, key: str = "identifier") -> DataFrame:
@@ -135,17 +139,25 @@ def book_tags(books: DataFrame, key: str = "identifier") -> DataFrame:
 def covers_of(packages: DataFrame) -> DataFrame:
     """Covers(bucket, key, size, last_modified, data) of the packages that have one.
 
-    Copies of a book share a key; the newest file counts, and copies are reduced before the shuffle.
+    Copies of a book share a key; the newest file counts.
     """
-    df = select_cover(content_identifier(unpack_packages(packages)))
-    cover = F.struct(
-        F.octet_length("cover_bytes").cast("bigint").alias("size"),
+    return newest_covers(select_cover(content_identifier(unpack_packages(packages))))
+
+
+def newest_covers(books: DataFrame) -> DataFrame:
+    """Covers of books(bucket, cover_key, cover_url, ctime, path, cover_bytes), one per key.
+
+    The newest file of each key is found without the images; only its image moves. Paths are those of a
+    listing, each once.
+    """
+    found = books.filter((F.col("cover_url") != "") & F.col("cover_bytes").isNotNull())
+    newest = found.groupBy(F.col("bucket").alias("_bucket"), F.col("cover_key").alias("_key")).agg(
+        F.max(F.struct("ctime", "path")).alias("_newest"))
+    here = (F.col("bucket") == F.col("_bucket")) & (F.col("cover_key") == F.col("_key")) & F.struct(
+        "ctime", "path").eqNullSafe(F.col("_newest"))
+    return found.join(newest, here, "left_semi").select(
+        "bucket", F.col("cover_key").alias("key"), F.octet_length("cover_bytes").cast("bigint").alias("size"),
         F.col("ctime").alias("last_modified"), F.col("cover_bytes").alias("data"))
-    return (
-        df.filter((F.col("cover_url") != "") & F.col("cover_bytes").isNotNull())
-        .groupBy("bucket", F.col("cover_key").alias("key"))
-        .agg(F.max_by(cover, F.struct("ctime", "path")).alias("cover"))
-        .select("bucket", "key", "cover.*"))
 
 
 def insert_new(

@@ -23,13 +23,22 @@ def image_keys(df: DataFrame) -> DataFrame:
 
 
 def read_covers(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """Stored covers, or those of the given keys; only their buckets are then read."""
-    covers = spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("string"))
+    """Stored covers, or those of the given keys; only their buckets are then read.
+
+    Which row of a key is the newest is found without the images; these are fetched by the place of the
+    row in the files.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    covers = spark.read.parquet(path).select("*", *place).withColumn("bucket", F.col("bucket").cast("string"))
+    narrow = covers.select("bucket", "key", "last_modified", "_file", "_row")
     if keys is not None:
-        covers = covers.join(image_keys(keys).distinct(), ["bucket", "key"], "left_semi")
-    columns = [c for c in covers.columns if c not in ("bucket", "key")]
-    return covers.groupBy("bucket", "key").agg(
-        F.max_by(F.struct(*columns), "last_modified").alias("c")).select("bucket", "key", "c.*")
+        wanted = image_keys(keys).distinct()
+        narrow = narrow.join(wanted, ["bucket", "key"], "left_semi")
+        covers = covers.join(wanted.select("bucket").distinct(), "bucket", "left_semi")
+    newest = narrow.groupBy("bucket", "key").agg(
+        F.max(F.struct("last_modified", "_file", "_row")).alias("at")).select("at._file", "at._row")
+    columns = [c for c in covers.columns if c not in ("bucket", "key", "_file", "_row")]
+    return covers.join(newest, ["_file", "_row"], "left_semi").select("bucket", "key", *columns)
 
 
 def list_buckets(covers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -34,9 +35,9 @@ def scan_library(spark: SparkSession, root: str, glob: str = "*.epub") -> DataFr
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("ctime"))
 
 
-def _open(content: bytes) -> tuple[str, bytes | None]:
-    """Package document and cover bytes of one container."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def open_container(file: IO[bytes], cover: bool = True) -> tuple[str, bytes | None]:
+    """Package document and, if asked for, cover bytes of one container; no other entry is read."""
+    with zipfile.ZipFile(file) as archive:
         container = ElementTree.fromstring(archive.read(CONTAINER))
         roots = [e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile")]
         if not roots:
@@ -45,11 +46,11 @@ def _open(content: bytes) -> tuple[str, bytes | None]:
         marked = [
             e.get("href") for e in ElementTree.fromstring(document).iter()
             if e.tag.rsplit("}", 1)[-1] == "item" and COVER_MARK in (e.get("id"), e.get("properties"))]
-        cover = None
-        if marked:
+        image = None
+        if marked and cover:
             name = posixpath.normpath(posixpath.join(posixpath.dirname(roots[0]), unquote(marked[-1])))
-            cover = archive.read(name)
-        return document.decode("utf-8-sig"), cover
+            image = archive.read(name)
+        return document.decode("utf-8-sig"), image
 
 
 def read_packages(files: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def read_packages(files: DataFrame) -> DataFrame:
             rows = []
             for content in pdf["content"]:
                 try:
-                    rows.append((*_open(content), None))
+                    rows.append((*open_container(io.BytesIO(content)), None))
                 except Exception as problem:  # noqa: BLE001 - any broken file is reported, not raised
                     rows.append((None, None, f"{type(problem).__name__}: {problem}"))
             opened = pd.DataFrame(rows, columns=["opf_xml", "cover_bytes", "error"], index=pdf.index)
