@@ -84,6 +84,34 @@ def test_ticks(spark, tmp_path, events):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
 
 
+def test_a_long_reply_reads_no_more_state_than_a_short_one(spark, tmp_path):
+    """3,000 frames in 30 batches, neighbours exchanged, a hole that stays open for ten of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        order = list(range(3000))
+        for i in range(0, 3000, 2):
+            order[i:i + 2] = order[i + 1], order[i]
+        order.remove(1000)
+        order.insert(2000, 1000)
+        frames = [(1, i, at(i * 0.01), f'{{"text": "piece {i} ", "error_code": 0}}\0') for i in order]
+        frames.append((1, 3000, at(40), '{"text": "", "error_code": 9}\0'))
+        schema = "request_id bigint, seq bigint, ts timestamp, raw string"
+        stream = reply_stream(arrive(spark, tmp_path / "in", batches_of(frames, 30), schema), 600, "1 minute")
+        out = str(tmp_path / "out")
+        query = stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    row = spark.read.parquet(out).first()
+    assert row.text == "".join(f"piece {i} " for i in range(3000)) and row.ended and row.frames == 3001
+    read = [p.stateOperators[0].customMetrics["rocksdbTotalBytesRead"] for p in query.recentProgress if p.numInputRows]
+    assert len(read) >= 30
+    # the store counts on; the batch that ends the reply reads its text, and late ones before it no more than early ones
+    steps = [b - a for a, b in zip(read, read[1:])]
+    assert max(sorted(steps[22:28])[:5]) <= 2 * max(steps[2:8]), read
+
+
 def test_replies(spark, tmp_path):
     """Frames of a reply in several batches and out of order; one reply never ends."""
     frames, rng = [], random.Random(4)
