@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.rank_index import build_rank_index, page
+
 KEYS = ["book_id", "user_id"]
 EXPECTED_DAYS = 15
 SHELF_SIZE = 20
@@ -28,11 +30,12 @@ def _from_events(events: DataFrame) -> DataFrame:
     """Events reduced to one row per key: first event time and the state of the last event.
 
     The reduction runs before the shuffle, so a key with very many events moves few rows. Time and event
-    id make one number, so that all it keeps is of fixed width and no event is sorted.
+    id make one number, so that all it keeps is of fixed width and no event is sorted. At one time a null
+    event id comes before all others; an event without a time never gives the state.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(17,0)")
-    order = (micros * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)") + F.col("event_id").cast(
-        "decimal(19,0)")
+    number = F.coalesce(F.col("event_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    order = (micros * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)") + number
     placed = events.withColumn("_order", order.cast("decimal(38,0)"))
     return placed.groupBy(*KEYS).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
@@ -114,12 +117,43 @@ def reading_books(
     page shorter.
     """
     mine = progress.filter(F.col("user_id") == user_id).select("book_id", "updated_at", *_STATE)
-    page = mine.orderBy(F.desc("updated_at"), "book_id").offset(offset).limit(limit or DEFAULT_LIMIT)
+    shown = mine.orderBy(F.desc("updated_at"), "book_id").offset(offset).limit(limit or DEFAULT_LIMIT)
     return (
-        books.join(page, books["id"] == page["book_id"], "inner")
+        books.join(shown, books["id"] == shown["book_id"], "inner")
         .drop("book_id").orderBy(F.desc("updated_at"), "id"))
 
 
+def write_reading_pages(progress: DataFrame, path: str) -> None:
+    """The rank index behind ``reading_page``: the progress rows of each user, last read first."""
+    build_rank_index(progress.select("user_id", "book_id", "updated_at", *_STATE), path,
+                     [F.desc("updated_at"), "book_id"], ["user_id"])
+
+
+def reading_page(
+    books: DataFrame, path: str, user_id: int, limit: int = DEFAULT_LIMIT, offset: int = 0,
+) -> DataFrame:
+    """``reading_books`` from the index at ``path``; a page far back costs what the first one does."""
+    mine = page(books.sparkSession, path, limit or DEFAULT_LIMIT, offset, user_id=user_id)
+    return books.join(mine.drop("user_id"), books["id"] == mine["book_id"], "inner").drop(
+        "book_id").orderBy(F.desc("updated_at"), "id")
+
+
+def write_liked_pages(books: DataFrame, favs: DataFrame, path: str) -> None:
+    """The rank index behind ``liked_page``: the favourites of each user that have a book, newest first."""
+    liked = favs.select("user_id", F.col("book_id").alias("id"), F.col("updated_at").alias("liked_at"))
+    build_rank_index(liked.join(books.select("id"), "id", "left_semi"), path,
+                     [F.desc("liked_at"), "id"], ["user_id"])
+
+
+def liked_page(
+    books: DataFrame, path: str, progress: DataFrame, user_id: int, limit: int = DEFAULT_LIMIT, offset: int = 0,
+) -> DataFrame:
+    """``liked_books`` from the index at ``path``; a page far back costs what the first one does."""
+    mine = page(books.sparkSession, path, limit or DEFAULT_LIMIT, offset, user_id=user_id).drop("user_id")
+    state = progress.filter(F.col("user_id") == user_id).select(F.col("book_id").alias("id"), *_STATE)
+    return books.join(mine, "id", "inner").join(state, "id", "left").orderBy(F.desc("liked_at"), "id")
+
+
 def liked_books(
     books: DataFrame, favs: DataFrame, progress: DataFrame, user_id: int,
     limit: int = DEFAULT_LIMIT, offset: int = 0,
@@ -129,9 +163,9 @@ def liked_books(
         F.col("book_id").alias("id"), F.col("updated_at").alias("liked_at"))
     order = [F.desc("liked_at"), "id"]
     # only favourites whose book exists count toward the page
-    page = books.join(mine, "id", "inner").orderBy(*order).offset(offset).limit(limit or DEFAULT_LIMIT)
+    shown = books.join(mine, "id", "inner").orderBy(*order).offset(offset).limit(limit or DEFAULT_LIMIT)
     state = progress.filter(F.col("user_id") == user_id).select(F.col("book_id").alias("id"), *_STATE)
-    return page.join(state, "id", "left").orderBy(*order)
+    return shown.join(state, "id", "left").orderBy(*order)
 
 
 def _newest(df: DataFrame, ts: str, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from lectern.operators import progress
 from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import BOOKS, FAVS, PROGRESS, query
+from lectern.session import shared_folder
 
 QUERIES = QuerySet()
 
@@ -102,6 +103,29 @@ def liked_books(spark, d):
     ).select("id", "title", "liked_at", "progress", "progress_index")
 
 
+@QUERIES.add(query(BOOKS, PROGRESS, body="""
+SELECT id, title, updated_at, progress, progress_index, para_position FROM books JOIN (
+  SELECT * FROM progress_table WHERE user_id = 7 ORDER BY updated_at DESC, book_id LIMIT 10 OFFSET 5
+) ON book_id = id"""))
+def reading_page(spark, d):
+    path = shared_folder(spark, "reading-pages")
+    progress.write_reading_pages(_progress(spark, d), path)
+    return progress.reading_page(v.books(spark, d), path, 7, 10, 5).select(
+        "id", "title", "updated_at", "progress", "progress_index", "para_position")
+
+
+@QUERIES.add(query(BOOKS, PROGRESS, FAVS, body="""
+SELECT id, title, f.updated_at AS liked_at, progress, progress_index
+FROM favs f JOIN books ON id = f.book_id
+LEFT JOIN progress_table p ON p.book_id = f.book_id AND p.user_id = 7
+WHERE f.user_id = 7 ORDER BY f.updated_at DESC, id LIMIT 3 OFFSET 2"""))
+def liked_page(spark, d):
+    path, books = shared_folder(spark, "liked-pages"), v.books(spark, d)
+    progress.write_liked_pages(books, progress.upsert_favs(v.fav_events(spark, d)), path)
+    return progress.liked_page(books, path, _progress(spark, d), 7, 3, 2).select(
+        "id", "title", "liked_at", "progress", "progress_index")
+
+
 @QUERIES.add(query(BOOKS, PROGRESS, FAVS, """reading AS (
   SELECT user_id, book_id, updated_at AS shelved_at, row_number() OVER (
     PARTITION BY user_id ORDER BY updated_at DESC, book_id) AS position FROM progress_table),

@@ -86,6 +86,18 @@ def test_progress_rules(spark):
     assert [(r.book_id, r.progress, r.progress_index) for r in changed] == [(1, None, 9)]
 
 
+def test_one_event_gives_the_whole_state(spark):
+    """A null event id comes before all others of its time, and a later one still decides everything."""
+    events = spark.createDataFrame(
+        [(5, day(1), 1, 1, 0.1, 1, 1), (None, day(2), 1, 1, 0.9, 9, 9), (None, day(3), 2, 1, 0.5, 5, 5),
+         (-7, day(3), 2, 1, 0.6, 6, 6), (8, None, 2, 1, 0.7, 7, 7)], EVENTS)
+    rows = {r.book_id: (r.updated_at, r.progress, r.progress_index, r.para_position)
+            for r in progress.upsert_progress(None, events).collect()}
+    assert rows == {1: (day(2), 0.9, 9, 9), 2: (day(3), 0.6, 6, 6)}
+    table = progress.upsert_progress(None, events.filter("event_id = 5"))
+    assert progress.update_progress(table, events).first().progress == 0.9
+
+
 def test_shelves(spark):
     shelf = books(spark, *[(i, f"t{i}", "a", "", 0, 1) for i in (1, 2, 4)])
     events = spark.createDataFrame([(i, day(i), i, 7, 0.1, 1, 1) for i in (1, 2, 3)], EVENTS)
