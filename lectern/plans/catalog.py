@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import catalog
+from lectern.operators import book_index, catalog
+from lectern.operators import live_stats as live_stats_of
 from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import BOOKS, query
@@ -41,6 +42,29 @@ def search_books_wildcards(spark, d):
         v.books(spark, d), q="B_lt", page_size=30, wildcards=True).select("id", "title")
 
 
+@QUERIES.add(query(BOOKS, body="""
+SELECT id, title, author, category FROM books
+WHERE contains(lower(title), 'll ri') OR contains(lower(author), 'll ri')
+ORDER BY id LIMIT 20 OFFSET 20"""))
+def search_indexed(spark, d):
+    books = v.books(spark, d)
+    path = shared_folder(spark, "book-index")
+    book_index.add_books(books, path)
+    return book_index.search_indexed(books, path, q="LL RI", page_size=20, page_num=1).select(
+        "id", "title", "author", "category")
+
+
+@QUERIES.add(query(BOOKS, body="""
+SELECT id, title FROM books WHERE lower(title) LIKE '%all b_lt%' OR lower(author) LIKE '%all b_lt%'
+ORDER BY id LIMIT 30"""))
+def search_indexed_wildcards(spark, d):
+    books = v.books(spark, d)
+    path = shared_folder(spark, "book-index")
+    book_index.add_books(books, path)
+    return book_index.search_indexed(
+        books, path, q="all B_lt", page_size=30, wildcards=True).select("id", "title")
+
+
 @QUERIES.add(query(BOOKS, body="""
 SELECT count(*) AS total FROM books
 WHERE contains(lower(title), 'ring') OR contains(lower(author), 'ring')"""))
@@ -65,6 +89,22 @@ def book_stats(spark, d):
     return catalog.book_stats(v.books(spark, d, details=True), v.book_tags(spark, d))
 
 
+@QUERIES.add(query(BOOKS, body="""
+SELECT count(*) AS total, true AS author_near, true AS publisher_near, true AS tag_near FROM books"""))
+def live_stats(spark, d):
+    """Sketches of two batches united; the estimates lie within three standard errors of the counts."""
+    books, tags = v.books(spark, d, details=True), v.book_tags(spark, d)
+    path = shared_folder(spark, "stats")
+    small_parts = F.col("category") == "SMALL"
+    live_stats_of.add_batch(books.filter(small_parts), tags, path, 0)
+    live_stats_of.add_batch(books.filter(~small_parts), None, path, 1)
+    exact = catalog.book_stats(books, tags)
+    most = 3 * 1.04 / 2 ** (live_stats_of.PRECISION / 2)
+    found = live_stats_of.live_stats(spark, path)
+    return found.select("total", *[(F.abs(F.col(c) - exact.select(c).scalar()) <= F.ceil(
+        exact.select(c).scalar() * most)).alias(f"{c}_near") for c in ("author", "publisher", "tag")])
+
+
 @QUERIES.add(query(BOOKS, body="SELECT count(*) AS total FROM books"))
 def count_books(spark, d):
     return catalog.count_books(v.books(spark, d))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import ingest, status
+from lectern.operators import ingest, known_keys, status
 from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import CLEAN_TEXT, SCANNED, query
@@ -154,6 +154,18 @@ def insert_new_books(spark, d):
     return ingest.insert_new(existing, incoming, order=["id"])
 
 
+@QUERIES.add(QUERIES["insert_new_books"].sql)
+def insert_new_filtered(spark, d):
+    """The same insert with a Bloom filter of the passages beside the catalogue."""
+    existing = v.table(spark, d, "benchmark").groupBy(F.md5("text").alias("identifier")).agg(
+        F.min("item_id").alias("id")).withColumn("source", F.lit("benchmark"))
+    incoming = v.table(spark, d, "documents").select(
+        F.md5("text").alias("identifier"), F.col("doc_id").alias("id"), "source")
+    path = shared_folder(spark, "known-keys")
+    known_keys.add_keys(existing, path, 0)
+    return known_keys.insert_new_filtered(existing, incoming, path, order=["id"])
+
+
 _STORED = BOOK_FILES + """,
 stored AS (
   SELECT left(identifier, 1) AS bucket, identifier || replace(cover_url, '/', '-') AS key,
