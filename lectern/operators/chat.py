@@ -30,9 +30,16 @@ CHUNK = 256
 # --- conversations -------------------------------------------------------------------------------
 
 def _chunks(df: DataFrame, key: str, order: str, item: Column, size: int) -> DataFrame:
-    """One row per (key, chunk) with the chunk's items in order."""
-    return df.groupBy(key, F.floor(F.col(order) / size).alias("chunk")).agg(
-        F.sort_array(F.collect_list(item)).alias("items"))
+    """One row per (key, chunk) with the chunk's items in order, at most ``size`` of them.
+
+    Items are dealt by key and slot of their order; a slot in which the order repeats or is null may hold
+    any number, so its items are numbered and cut once more. ``item`` begins with the order.
+    """
+    inside = F.row_number().over(Window.partitionBy(key, "slot").orderBy("item"))
+    slots = df.select(key, F.floor(F.col(order) / size).alias("slot"), item.alias("item"))
+    return slots.withColumn("part", F.floor((inside - 1) / size)).groupBy(key, "slot", "part").agg(
+        F.sort_array(F.collect_list("item")).alias("items")).select(
+        key, F.struct("slot", "part").alias("chunk"), "items")
 
 
 def _sum(items: Column, field: str) -> Column:

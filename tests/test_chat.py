@@ -206,3 +206,21 @@ def test_responses(spark):
     assert [r.text for r in chat.join_choices(df).orderBy("request_id").collect()] == ["a", "", ""]
     totals = chat.usage_summary(chat.parse_responses(df), ["request_id"]).orderBy("request_id").collect()
     assert [(r.replies, r.total_tokens) for r in totals] == [(2, 6), (1, 0), (1, 0)]
+
+
+def test_a_turn_of_very_many_rows_is_cut_into_chunks(spark):
+    """Turns that repeat or are null: no array holds more than a chunk, and what is kept is the same."""
+    rows = [(1, 5, "user" if i % 2 else "assistant", f"m{i:04d}") for i in range(900)]
+    rows += [(1, None, "user", f"n{i:04d}") for i in range(300)] + [(2, i, "user", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string").repartition(4)
+    from pyspark.sql import functions as F
+
+    item = F.struct("turn", "role", "content")
+    chunks = chat._chunks(df, "conv_id", "turn", item, 64).collect()
+    assert max(len(r["items"]) for r in chunks) <= 64 and sum(len(r["items"]) for r in chunks) == len(rows)
+    in_order = [x for r in sorted((r for r in chunks if r.conv_id == 1), key=lambda r: (
+        r.chunk.slot is not None, r.chunk.slot or 0, r.chunk.part)) for x in r["items"]]
+    assert [tuple(x) for x in in_order] == sorted(
+        (r[1:] for r in rows if r[0] == 1), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    whole = chat.cut_history(df, 400, 100_000).collect()
+    assert sorted(map(str, chat.cut_history(df, 400, 64).collect())) == sorted(map(str, whole)) and whole
