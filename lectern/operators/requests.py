@@ -111,6 +111,89 @@ def assign_endpoint(df: DataFrame, endpoints: Sequence[str], key: str) -> DataFr
     return df.withColumn("endpoint", F.get(F.array(*map(F.lit, usable)), number))
 
 
+def _preferences(weights: dict[str, float], key: Column) -> Column:
+    """The endpoints from the most to the least preferred of a key: highest random weight first."""
+    def rank(name: str, weight: float) -> Column:
+        digest = F.md5(F.concat(key, F.lit(" " + name)))
+        chance = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float(16 ** 13)
+        return F.struct((-F.log(chance) / weight).alias("cost"), F.lit(name).alias("name"))
+
+    ranks = F.array(*[rank(name, weight) for name, weight in sorted(weights.items())])
+    return F.transform(F.sort_array(ranks), lambda r: r["name"])
+
+
+def _usable(weights: dict[str, float]) -> dict[str, float]:
+    found = {u: float(w) for name, w in weights.items() if w > 0 for u in valid_endpoints([name])}
+    if not found:
+        raise ValueError("no usable endpoint")
+    return found
+
+
+def rendezvous_endpoint(df: DataFrame, weights: dict[str, float], key: str) -> DataFrame:
+    """Each row's endpoint by weighted rendezvous hashing of its key.
+
+    An endpoint gets rows in proportion to its weight, and if one goes only its own rows move. A null key
+    counts as an empty one.
+    """
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return df.withColumn("endpoint", F.get(_preferences(_usable(weights), own), F.lit(0)))
+
+
+def balanced_endpoint(df: DataFrame, weights: dict[str, float], key: str, bound: float = 1.25) -> DataFrame:
+    """``rendezvous_endpoint`` with no endpoint above ``bound`` times its share of the rows.
+
+    Rows that ask for an endpoint are counted by endpoint and hash of the key; it takes as many hash
+    ranges as it has room for, and the others ask for their next choice. So a round sends a few thousand
+    counts to the driver, whatever the rows. Rows of a key stay together: one that no endpoint has room
+    for goes to its first choice and breaks the bound there.
+    """
+    if bound < 1:
+        raise ValueError("bound must be at least 1")
+    usable = _usable(weights)
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    asked = F.col("_asked")
+    slot = F.conv(F.substring(F.md5(F.concat(own, F.lit(" slot"))), 1, 4), 16, 10).cast("int").bitwiseAND(
+        F.lit(_SLOTS - 1))
+    ranked = df.select(_preferences(usable, own).alias("_asked"), slot.alias("_slot"))
+    total = df.count()
+    room = {name: bound * total * w / sum(usable.values()) for name, w in usable.items()}
+    rounds: list[dict[str, int]] = []
+
+    def taken(asked: Column, slot: Column) -> Column:
+        """The first choice that has room for the slot, null if none so far has."""
+        out = []
+        for at, below in enumerate(rounds):
+            choice = F.get(asked, F.lit(at))
+            limit = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), choice)
+            out.append(F.when(slot < limit, choice))
+        return F.coalesce(*out) if out else F.lit(None).cast("string")
+
+    for at in range(len(usable)):
+        counts: dict[str, list[tuple[int, int]]] = {name: [] for name in usable}
+        for name, slot_no, n in ranked.filter(taken(asked, F.col("_slot")).isNull()).groupBy(
+                F.get(asked, F.lit(at)), "_slot").count().collect():
+            counts[name].append((slot_no, n))
+        rounds.append({})
+        for name, found in counts.items():
+            limit = 0 if found else _SLOTS
+            for slot_no, n in sorted(found):
+                if n > room[name]:
+                    break
+                room[name] -= n
+                limit = slot_no + 1
+            else:
+                limit = _SLOTS
+            rounds[-1][name] = limit
+        if all(limit == _SLOTS for limit in rounds[-1].values()):
+            break
+    prefs = F.transform(F.array(_preferences(usable, own)), lambda p: F.coalesce(
+        taken(p, slot), F.get(p, F.lit(0))))
+    return df.withColumn("endpoint", F.get(prefs, F.lit(0)))
+
+
+# Hash ranges by which an endpoint's rows are counted.
+_SLOTS = 4096
+
 Generator = Callable[[list[str]], list[dict]]
 Embedder = Callable[[list[str]], list[list[float]]]
 

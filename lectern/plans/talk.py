@@ -326,6 +326,29 @@ def assign_endpoint(spark, d):
         v.table(spark, d, "events").select("event_id"), _ENDPOINTS, "event_id")
 
 
+_WEIGHTS = dict(zip(requests.valid_endpoints(_ENDPOINTS), (1.0, 2.0, 3.0, 1.5, 2.5)))
+_COST = ("-ln((('0x' || substr(md5(event_id::VARCHAR || ' {0}'), 1, 13))::BIGINT + 1)::DOUBLE / power(16, 13)) / {1}")
+
+
+@QUERIES.add("SELECT event_id, CASE " + " ".join(
+    f"WHEN c{i} = least({', '.join(f'c{j}' for j in range(len(_WEIGHTS)))}) THEN '{name}'"
+    for i, name in enumerate(_WEIGHTS)) + " END AS endpoint FROM (SELECT event_id, " + ", ".join(
+    f"{_COST.format(name, weight)} AS c{i}" for i, (name, weight) in enumerate(_WEIGHTS.items())) + " FROM events)")
+def rendezvous_endpoint(spark, d):
+    return requests.rendezvous_endpoint(v.table(spark, d, "events").select("event_id"), _WEIGHTS, "event_id")
+
+
+@QUERIES.add("SELECT endpoint, true AS within FROM (VALUES "
+             + ", ".join(f"('{name}')" for name in _WEIGHTS) + ") AS t(endpoint)")
+def balanced_endpoint(spark, d):
+    """The endpoints, and whether each has at most 1.25 times its share of the events."""
+    events = v.table(spark, d, "events").select("event_id")
+    shares = {n: w / sum(_WEIGHTS.values()) for n, w in _WEIGHTS.items()}
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("endpoint")) * 1.25
+    return requests.balanced_endpoint(events, _WEIGHTS, "event_id").groupBy("endpoint").count().select(
+        "endpoint", (F.col("count") <= most * events.count()).alias("within"))
+
+
 def word_counter(prompts: list[str]) -> list[dict]:
     """A stand-in model that tells how long its prompt is, and refuses short ones."""
     if any(len(p) < 300 for p in prompts):
