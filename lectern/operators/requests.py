@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import token_count
+
 # Model names and their type codes, and the only type that is served.
 UNKNOWN, OPENAI, WORKER, LLAMA_CPP, GPT4ALL = 0, 100, 200, 300, 400
 MODEL_TYPES = {
@@ -193,6 +195,9 @@ def balanced_endpoint(df: DataFrame, weights: dict[str, float], key: str, bound:
 
 # Hash ranges by which an endpoint's rows are counted.
 _SLOTS = 4096
+# Tokens of a batch of prompts, padding included, and parts in which finished batches are kept.
+TOKEN_BUDGET = 16_384
+WAVES = 16
 
 Generator = Callable[[list[str]], list[dict]]
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -229,6 +234,75 @@ def complete_batch(df: DataFrame, generator: Generator, key: str, prompt: str =
         run, f"{key} {kind}, text string, finish_reason string, {USAGE_COLUMNS}, error string")
 
 
+def _answer(generator: Generator, prompts: list[str]) -> list[dict]:
+    """A reply for each prompt; if the batch fails they are tried one by one."""
+    try:
+        replies = generator(prompts)
+        if len(replies) != len(prompts):
+            raise ValueError("one reply per prompt expected")
+        return replies
+    except Exception as problem:  # noqa: BLE001 - a failing model call becomes an error row
+        return [{"error": str(problem)}] if len(prompts) == 1 else [
+            _answer(generator, [p])[0] for p in prompts]
+
+
+def complete_by_budget(
+    df: DataFrame, generator: Generator, key: str, path: str, prompt: str = "prompt", budget: int = TOKEN_BUDGET,
+    waves: int = WAVES,
+) -> DataFrame:
+    """Replies as those of ``complete_batch``, from batches of like length, kept at ``path`` as they are made.
+
+    Prompts are sorted by their tokens, and a batch is closed where its rows, each padded to the longest,
+    would exceed ``budget`` tokens; a longer prompt is a batch of its own. Work goes in waves by hash of the
+    key, each written as a whole. Called again, also after a run that was killed, it leaves out every key
+    that has a reply. ``tokens`` and ``width`` are a prompt's own length and that of its batch. Keys name one
+    row each.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    fields = ["text", "finish_reason", "prompt_tokens", "completion_tokens", "total_tokens", "error"]
+    kinds = (f"{key} {kind.simpleString()}, text string, finish_reason string, {USAGE_COLUMNS}, error string, "
+             "tokens bigint, width bigint")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def replies() -> pd.DataFrame:
+            keys, prompts, tokens = zip(*held)
+            answers = _answer(generator, list(prompts))
+            return pd.DataFrame({
+                key: pd.Series(keys, dtype="object"),
+                **{f: pd.Series([a.get(f) for a in answers], dtype="object") for f in fields},
+                "tokens": tokens, "width": max(tokens)})
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                # rows come with rising length, so the new one is the longest
+                if held and (len(held) + 1) * max(1, row[2]) > budget:
+                    yield replies()
+                    held = []
+                held.append(row)
+        if held:
+            yield replies()
+
+    def done() -> DataFrame:
+        return spark.read.schema(kinds).parquet(path)
+
+    spark.createDataFrame([], kinds).write.mode("append").parquet(path)
+    rows = df.select(key, F.coalesce(F.col(prompt), F.lit("")).alias("_prompt"))
+    rows = rows.withColumn("_tokens", token_count(F.col("_prompt")).cast("bigint")).withColumn(
+        "_wave", F.pmod(F.xxhash64(key), F.lit(waves)))
+    for wave in range(waves):
+        left = rows.filter(F.col("_wave") == wave).join(done().select(key), key, "left_anti")
+        left.repartitionByRange("_tokens", key).sortWithinPartitions("_tokens", key).select(
+            key, "_prompt", "_tokens").mapInPandas(run, kinds).write.mode("append").parquet(path)
+    return done()
+
+
+def padding_share(replies: DataFrame) -> DataFrame:
+    """Share of the tokens given to the model that are padding, of replies by budget."""
+    return replies.agg(F.coalesce(1 - F.try_divide(F.sum("tokens"), F.sum("width")), F.lit(0.0)).alias("padding"))
+
+
 def embed_batch(df: DataFrame, embedder: Embedder, key: str, text: str = "text") -> DataFrame:
     """Vectors of a user's model: ``embedder(texts)`` gives one vector per text.
 

@@ -8,6 +8,7 @@ from lectern.operators import chat, requests, vectors
 from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import MESSAGES, REPLIES, query
+from lectern.session import shared_folder
 
 QUERIES = QuerySet()
 
@@ -370,6 +371,14 @@ def complete_batch(spark, d):
         v.table(spark, d, "documents").withColumnRenamed("text", "prompt"), word_counter, "doc_id")
 
 
+@QUERIES.add(QUERIES["complete_batch"].sql)
+def complete_by_budget(spark, d):
+    replies = requests.complete_by_budget(
+        v.table(spark, d, "documents").withColumnRenamed("text", "prompt"), word_counter, "doc_id",
+        shared_folder(spark, "replies"), waves=2)
+    return replies.drop("tokens", "width")
+
+
 def letter_counter(texts: list[str]) -> list[list[float]]:
     """A stand-in embedder."""
     return [[float(len(t)), float(t.count("e")), float(t.count(" ")), 1.0] for t in texts]
