@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lectern.operators.sessions import GAP_SECONDS, REFRESH_SECONDS, LazyFollower
 from lectern.streaming.runs import check_state_on_disk
 
+# Microseconds of a slot of waiting event times.
+_SLOT = 60_000_000
+
 
 def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "10 minutes") -> DataFrame:
     """Closed sessions; the streaming form of ``sessionize``."""
@@ -29,7 +32,9 @@ def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "
 class LazySessions(StatefulProcessor):
     """One open session per user; events wait until the watermark has passed them.
 
-    State: the waiting event times, and (start, refreshed, last, events) of the open session.
+    State: the open session as (start, refreshed, last, events), the waiting event times in parts by slot of
+    time, and a short index of the slots: their number of parts and first time. A batch adds parts without
+    reading any, and a timer reads the slots that are due, however many events wait behind them.
     """
 
     def __init__(self, gap: int, refresh: int) -> None:
@@ -37,13 +42,33 @@ class LazySessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint, part bigint", "times binary")
+        self.slots = handle.getValueState("slots", "packed binary")
         self.open = handle.getValueState("open", "start bigint, seen bigint, last bigint, n bigint")
 
+    def _index(self) -> dict[int, tuple[int, int]]:
+        """Parts and first time of each slot, in order."""
+        packed = self.slots.get()
+        rows = np.frombuffer(packed[0], np.int64).reshape(-1, 3) if packed else ()
+        return {int(slot): (int(parts), int(first)) for slot, parts, first in rows}
+
+    def _keep(self, index: dict[int, tuple[int, int]]) -> None:
+        if index:
+            rows = np.array([(slot, *index[slot]) for slot in sorted(index)], np.int64)
+            self.slots.update((rows.tobytes(),))
+            self._wake(min(first for _, first in index.values()))
+        else:
+            self.slots.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [(int(us),) for pdf in rows for us in pdf["us"]]
-        self.waiting.appendList(times)
-        self._wake(min(times)[0])
+        times = np.sort(np.concatenate([pdf["us"].to_numpy(np.int64) for pdf in rows]))
+        index = self._index()
+        slots, begins = np.unique(times // _SLOT, return_index=True)
+        for slot, part in zip(slots.tolist(), np.split(times, begins[1:])):
+            number, first = index.get(slot, (0, int(part[0])))
+            self.waiting.updateValue((slot, number), (part.tobytes(),))
+            index[slot] = (number + 1, min(first, int(part[0])))
+        self._keep(index)
         yield pd.DataFrame()
 
     def _wake(self, us: int) -> None:
@@ -53,17 +78,21 @@ class LazySessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # everything before the watermark has arrived
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = np.sort(np.array([us for us, in self.waiting.get()], np.int64))
-        due = int(np.searchsorted(waiting, now))
         follower = LazyFollower(self.gap, self.refresh)
         follower.open = self.open.get()
-        closed = follower.feed(waiting[:due])
-        later = waiting[due:].tolist()
-        if due and later:
-            self.waiting.put([(us,) for us in later])
-            self._wake(later[0])
-        elif due:
-            self.waiting.clear()
+        index, closed = self._index(), []
+        for slot in [s for s, (_, first) in sorted(index.items()) if first < now]:
+            parts = []
+            for number in range(index.pop(slot)[0]):
+                parts.append(np.frombuffer(self.waiting.getValue((slot, number))[0], np.int64))
+                self.waiting.removeKey((slot, number))
+            times = np.sort(np.concatenate(parts))
+            due = int(np.searchsorted(times, now))
+            closed += follower.feed(times[:due])
+            if due < len(times):
+                self.waiting.updateValue((slot, 0), (times[due:].tobytes(),))
+                index[slot] = (1, int(times[due]))
+        self._keep(index)
         session = follower.open
         if session is not None and session[1] + follower.limit <= now:
             closed.append(session)

@@ -57,6 +57,28 @@ def test_lazy_sessions(spark, tmp_path, events):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
 
 
+def test_waiting_times_are_read_when_they_are_due(spark, tmp_path):
+    """A busy user whose events wait for two hours: batches read no more state as more of them wait."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = [(1, at(i * 0.5)) for i in range(12_000)]
+        batches = [*batches_of(rows, 12), [(9, at(50_000))]]
+        stream = lazy_session_stream(arrive(spark, tmp_path / "in", batches, SCHEMA), watermark="2 hours")
+        out = str(tmp_path / "out")
+        query = stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = spark.read.parquet(out).filter("user_id = 1").collect()
+    want = sessions.sessionize_lazy(spark.createDataFrame(rows, SCHEMA)).drop("session_no").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    read = [p.stateOperators[0].customMetrics["rocksdbTotalBytesRead"] for p in query.recentProgress if p.numInputRows][:12]
+    steps = [b - a for a, b in zip(read, read[1:])]
+    # the index of slots grows by 24 bytes a minute, the events, 8 bytes each, are not read
+    assert max(steps[6:]) <= max(steps[:4]) + 6000, read
+
+
 def test_sessions(spark, tmp_path, events):
     rows, _ = events
     stream = session_stream(arrive(spark, tmp_path, batches_of(rows), SCHEMA), watermark="10 minutes")
