@@ -165,7 +165,8 @@ def draw(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, se
 
     A document is drawn if the hash of its id is below its probability. Null and unnamed categories are
     the rest of their margin, which every target must name; null texts have no tokens and are drawn;
-    repeated and null ids are drawn together; no documents: no rows.
+    repeated and null ids are drawn together; texts of any length are counted whole; documents of one cell
+    have equal probabilities; no documents: no rows.
     """
     return docs.filter(uniform(F.col("doc_id"), seed) < share(docs, targets))
 

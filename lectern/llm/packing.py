@@ -78,7 +78,8 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer_path: str | None = Non
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to). Every id lies in
     one piece, every sequence but the last is full. The order is that of the written first pass, which
     is kept, so a repeated task cuts the same pieces. Null texts count as empty and pack their end id;
-    a null doc_id is kept; repeated rows are documents of their own; no documents: no rows; other
+    a null doc_id is kept; repeated rows are documents of their own; a text of any length is encoded whole
+    and lies in as many pieces as it takes; no documents: no rows; other
     columns are not read.
     """
     return cut_windows(written(encode_parts(docs, tokenizer_path, end), "packing"), length)

@@ -32,7 +32,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
 
     The order is that of the rows as Spark reads them, so no text is moved. A part is one task's
     stream. Names are lines in the order of the documents, empty for a null doc_id; only the report
-    uses them, the scan never opens them.
+    uses them, the scan never opens them. Texts of any length are encoded whole; no documents: files
+    without ids or none.
     """
     json = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer_path))
     width = np.dtype(dtype).itemsize

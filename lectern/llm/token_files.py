@@ -126,7 +126,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
     Every document is its ids and the end id; a null or empty text is the end id alone. Rows of one
     doc_id go by the hash of their text, equal rows are all written. A file holds whole documents and
-    is closed at ``file_ids`` ids, so it is larger only by a part of one document.
+    is closed at ``file_ids`` ids, so it is larger only by a part of one document. Texts of any length are
+    encoded whole; no documents: no file with documents.
     """
     json = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer_path))
     last = np.array([end], "<u4").tobytes()

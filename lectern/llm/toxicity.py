@@ -231,7 +231,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     documents that labels (doc_id, quality, toxic) call bad, severe the toxic ones with many of the words
     that tell. Null labels and labels without an id are left out; without any toxic label nothing is
     toxic. Texts that are null or without words have probabilities 0. Repeated rows are scored each;
-    null ids are kept; other columns are not read; no documents: no rows.
+    null ids are kept; texts of any length are read whole; one at the threshold is rejected; other columns
+    are not read; no documents: no rows.
     """
     chain = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
