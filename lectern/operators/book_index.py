@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ GRAM = 3
 FOLDERS = 64
 # Ids of a block at most.
 BLOCK = 4096
+# Full blocks of neighbouring ids that are joined at once.
+JOINED = 16
 # Posting lists that a search intersects: the shortest ones.
 LISTS = 3
 POSTINGS = "gram string, first_id bigint, n bigint, width int, gaps binary"
@@ -47,10 +50,6 @@ def query_grams(q: str, wildcards: bool = False) -> list[str]:
     return sorted({p[i:i + GRAM] for p in low for i in range(len(p) - GRAM + 1)})
 
 
-def _folder(gram: Column) -> Column:
-    return (F.crc32(gram.cast("binary")) % FOLDERS).cast("int")
-
-
 def packed(ids: np.ndarray) -> tuple[int, bytes]:
     """Differences of rising ids in as few bytes each as the largest needs."""
     gaps = np.diff(ids).astype(np.uint64)
@@ -65,34 +64,68 @@ def unpacked(first: int, width: int, gaps: bytes) -> np.ndarray:
     return np.concatenate([[first], steps]).cumsum()
 
 
+def _blocks(folder: object, gram: object, ids: np.ndarray) -> Iterator[tuple]:
+    """Rows of POSTINGS, behind the folder, of the rising ids of one trigram."""
+    for at in range(0, len(ids), BLOCK):
+        part = ids[at:at + BLOCK]
+        yield folder, gram, int(part[0]), len(part), *packed(part)
+
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                           names=["folder", "gram", "first_id", "n", "width", "gaps"])
+
+
 def postings(books: DataFrame) -> DataFrame:
     """(folder, gram, first_id, n, width, gaps) of books (id, title, author): blocks of posting lists.
 
-    Entries are dealt and sorted by ranges of (folder, trigram, id), so the list of a frequent trigram
-    spreads over tasks, and cut into blocks where they lie.
+    The books of a batch are turned into short blocks where they lie, so no entry of a single book is
+    shuffled or held. Blocks are dealt and sorted by ranges of (folder, trigram, first id), so the list of a
+    frequent trigram spreads over tasks, and neighbours are joined. An id that comes several times may be in
+    several blocks of a list.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            grams = pc.list_flatten(batch.column(1)).dictionary_encode()
+            if not len(grams):
                 continue
-            gram, ids = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
-            number = gram.indices.to_numpy()
-            cuts = np.flatnonzero(np.diff(number)) + 1
-            begins = sorted({0, *cuts.tolist(), *[
-                at for i, j in zip([0, *cuts], [*cuts, len(ids)]) for at in range(i, j, BLOCK)]})
-            blocks = [packed(ids[i:j]) for i, j in zip(begins, [*begins[1:], len(ids)])]
-            yield pa.record_batch([
-                batch.column(0).take(pa.array(begins)), batch.column(1).take(pa.array(begins)), ids[begins],
-                np.diff([*begins, len(ids)]), pa.array([w for w, _ in blocks], pa.int32()),
-                pa.array([g for _, g in blocks], pa.binary())],
-                names=["folder", "gram", "first_id", "n", "width", "gaps"])
+            number = grams.indices.to_numpy()
+            ids = batch.column(0).to_numpy()[pc.list_parent_indices(batch.column(1)).to_numpy()]
+            order = np.lexsort((ids, number))
+            number, ids = number[order], ids[order]
+            once = np.append(True, (number[1:] != number[:-1]) | (ids[1:] != ids[:-1]))
+            number, ids = number[once], ids[once]
+            begins = np.append(0, np.flatnonzero(np.diff(number)) + 1)
+            names = grams.dictionary.take(pa.array(number[begins])).to_pylist()
+            yield _block_rows([
+                row for name, part in zip(names, np.split(ids, begins[1:]))
+                for row in _blocks(zlib.crc32(name.encode()) % FOLDERS, name, part)])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, n = None, [], 0
+
+        def joined() -> list[tuple]:
+            return list(_blocks(*of, np.unique(np.concatenate(held)))) if held else []
+
+        for batch in batches:
+            rows = []
+            for folder, gram, first, many, width, gaps in zip(*(c.to_pylist() for c in batch.columns)):
+                if (folder, gram) != of or n >= JOINED * BLOCK:
+                    rows += joined()
+                    of, held, n = (folder, gram), [], 0
+                held.append(unpacked(first, width, gaps))
+                n += many
+            if rows:
+                yield _block_rows(rows)
+        if held:
+            yield _block_rows(joined())
 
     grams = F.array_union(grams_of(F.col("title")), grams_of(F.col("author")))
-    entries = books.filter(F.col("id").isNotNull()).select(
-        F.col("id").cast("bigint").alias("id"), F.explode(grams).alias("gram")).distinct()
-    order = ["folder", "gram", "id"]
-    return entries.select(_folder(F.col("gram")).alias("folder"), "gram", "id").repartitionByRange(
-        *order).sortWithinPartitions(*order).mapInArrow(pack, f"folder int, {POSTINGS}")
+    kinds, order = f"folder int, {POSTINGS}", ["folder", "gram", "first_id"]
+    blocks = books.filter(F.col("id").isNotNull()).select(
+        F.col("id").cast("bigint").alias("id"), grams.alias("grams")).mapInArrow(pack, kinds)
+    return blocks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(join, kinds)
 
 
 def add_books(books: DataFrame, path: str, batch: int = 0) -> None:

@@ -100,3 +100,20 @@ def test_no_books(spark, books, tmp_path):
     bi.add_books(books.limit(0), path)
     bi.add_books(books.limit(3), path, 1)
     assert bi.search_indexed(books.limit(0), path, q="ring").collect() == []
+
+
+def test_entries_are_not_shuffled(spark, tmp_path):
+    """Of 40,000 books with some 30 trigrams each, in no order and with copies, only blocks move."""
+    books = spark.range(40_000, numPartitions=4).selectExpr(
+        "id * 7919 % 40000 - 100 AS id", "concat('a common title of book ', id % 10) AS title", "'Ann Author' AS author")
+    books = books.unionByName(books.limit(100))
+    lists = bi.postings(books)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "HashAggregate" not in plan
+    rows = lists.filter("gram = 'com'").collect()
+    ids = np.concatenate([bi.unpacked(r.first_id, r.width, bytes(r.gaps)) for r in rows])
+    assert sorted(set(ids.tolist())) == list(range(-100, 39_900)) and len(ids) <= 40_100
+    assert max(r.n for r in rows) <= bi.BLOCK and len(rows) < 40 and sum(r.n for r in rows) == len(ids)
+    bi.add_books(books, str(tmp_path / "index"))
+    args = {"q": "ook 7", "page_size": 9000}
+    assert bi.search_indexed(books, str(tmp_path / "index"), **args).collect() == search_books(books, **args).collect()
