@@ -15,6 +15,8 @@ from lectern.streaming.runs import check_state_on_disk
 
 # Microseconds of a slot of waiting event times.
 _SLOT = 60_000_000
+# Waiting event times of a user that are kept with the index, and those of a part beyond that, at most.
+_FEW, _PART = 256, 4096
 
 
 def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "10 minutes") -> DataFrame:
@@ -32,9 +34,11 @@ def session_stream(events: DataFrame, gap: int = GAP_SECONDS, watermark: str = "
 class LazySessions(StatefulProcessor):
     """One open session per user; events wait until the watermark has passed them.
 
-    State: the open session as (start, refreshed, last, events), the waiting event times in parts by slot of
-    time, and a short index of the slots: their number of parts and first time. A batch adds parts without
-    reading any, and a timer reads the slots that are due, however many events wait behind them.
+    State: one value with the open session, an index and the waiting event times while these are few; when they
+    are many, they lie sorted in parts, by the slot of time in which a part begins. The index holds the number
+    of parts and the first time of each slot. So a batch of few events of a user takes one read and one write,
+    one of many adds parts without reading any, and a timer reads the slots that are due, however many events
+    wait behind them.
     """
 
     def __init__(self, gap: int, refresh: int) -> None:
@@ -42,69 +46,77 @@ class LazySessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.kept = handle.getValueState("kept", "packed binary")
         self.waiting = handle.getMapState("waiting", "slot bigint, part bigint", "times binary")
-        self.slots = handle.getValueState("slots", "packed binary")
-        self.open = handle.getValueState("open", "start bigint, seen bigint, last bigint, n bigint")
-
-    def _index(self) -> dict[int, tuple[int, int]]:
-        """Parts and first time of each slot, in order."""
-        packed = self.slots.get()
-        rows = np.frombuffer(packed[0], np.int64).reshape(-1, 3) if packed else ()
-        return {int(slot): (int(parts), int(first)) for slot, parts, first in rows}
-
-    def _keep(self, index: dict[int, tuple[int, int]]) -> None:
-        if index:
-            rows = np.array([(slot, *index[slot]) for slot in sorted(index)], np.int64)
-            self.slots.update((rows.tobytes(),))
-            self._wake(min(first for _, first in index.values()))
-        else:
-            self.slots.clear()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([pdf["us"].to_numpy(np.int64) for pdf in rows]))
-        index = self._index()
-        slots, begins = np.unique(times // _SLOT, return_index=True)
-        for slot, part in zip(slots.tolist(), np.split(times, begins[1:])):
-            number, first = index.get(slot, (0, int(part[0])))
-            self.waiting.updateValue((slot, number), (part.tobytes(),))
-            index[slot] = (number + 1, min(first, int(part[0])))
-        self._keep(index)
-        yield pd.DataFrame()
+    def _load(self) -> tuple[tuple | None, dict[int, tuple[int, int]], np.ndarray]:
+        """The open session, the index, and the few waiting times."""
+        packed = self.kept.get()
+        if not packed:
+            return None, {}, np.empty(0, np.int64)
+        data = np.frombuffer(packed[0], np.int64)
+        ends = 6 + 3 * int(data[5])
+        session = tuple(data[1:5].tolist()) if data[0] else None
+        return session, {slot: (parts, first) for slot, parts, first in data[6:ends].reshape(-1, 3).tolist()}, data[ends:]
+
+    def _save(self, session: tuple | None, index: dict[int, tuple[int, int]], times: np.ndarray) -> None:
+        """Keeps the state, with the sorted times as parts if they are many, and wakes at the first time."""
+        if len(times) > _FEW:
+            for part in np.split(times, range(_PART, len(times), _PART)):
+                slot = int(part[0] // _SLOT)
+                number, first = index.get(slot, (0, int(part[0])))
+                self.waiting.updateValue((slot, number), (part.tobytes(),))
+                index[slot] = (number + 1, min(first, int(part[0])))
+            times = times[:0]
+        if session is None and not index and not len(times):
+            self.kept.clear()
+            return
+        rows = [x for slot in sorted(index) for x in (slot, *index[slot])]
+        head = np.array([session is not None, *(session or (0,) * 4), len(index), *rows], np.int64)
+        self.kept.update((head.tobytes() + times.tobytes(),))
+        firsts = [first for _, first in index.values()] + times[:1].tolist()
+        if firsts:
+            self._wake(min(firsts))
 
     def _wake(self, us: int) -> None:
         """Timer at the first millisecond after the given time."""
         self.handle.registerTimer(us // 1000 + 1)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        session, index, few = self._load()
+        self._save(session, index, np.sort(np.concatenate([few, *[pdf["us"].to_numpy(np.int64) for pdf in rows]])))
+        return iter(())
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # everything before the watermark has arrived
         now = timerValues.getCurrentWatermarkInMs() * 1000
         follower = LazyFollower(self.gap, self.refresh)
-        follower.open = self.open.get()
-        index, closed = self._index(), []
-        for slot in [s for s, (_, first) in sorted(index.items()) if first < now]:
-            parts = []
+        follower.open, index, times = self._load()
+        due = [(first, slot) for slot, (_, first) in sorted(index.items()) if first < now]
+        closed = []
+        # what a slot holds may reach beyond the first time of the next one
+        for (_, slot), (ends, _) in zip(due, [*due[1:], (now, None)]):
+            parts = [times]
             for number in range(index.pop(slot)[0]):
                 parts.append(np.frombuffer(self.waiting.getValue((slot, number))[0], np.int64))
                 self.waiting.removeKey((slot, number))
             times = np.sort(np.concatenate(parts))
-            due = int(np.searchsorted(times, now))
-            closed += follower.feed(times[:due])
-            if due < len(times):
-                self.waiting.updateValue((slot, 0), (times[due:].tobytes(),))
-                index[slot] = (1, int(times[due]))
-        self._keep(index)
+            done = int(np.searchsorted(times, ends))
+            closed += follower.feed(times[:done])
+            times = times[done:]
+        done = int(np.searchsorted(times, now))
+        closed += follower.feed(times[:done])
         session = follower.open
         if session is not None and session[1] + follower.limit <= now:
             closed.append(session)
             session = None
+        self._save(session, index, times[done:])
         if session is not None:
             self._wake(session[1] + follower.limit)
-            self.open.update(session)
-        else:
-            self.open.clear()
-        yield pd.DataFrame({
-            "user_id": [key[0]] * len(closed),
-            **{name: [s[i] for s in closed] for i, name in enumerate(("start", "seen", "last", "events"))}})
+        if closed:
+            yield pd.DataFrame({
+                "user_id": [key[0]] * len(closed),
+                **{name: [s[i] for s in closed] for i, name in enumerate(("start", "seen", "last", "events"))}})
 
     def close(self) -> None:
         pass
