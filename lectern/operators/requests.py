@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.text import token_count
+from lectern.session import bound_batches
 
 # Model names and their type codes, and the only type that is served.
 UNKNOWN, OPENAI, WORKER, LLAMA_CPP, GPT4ALL = 0, 100, 200, 300, 400
@@ -198,6 +201,8 @@ _SLOTS = 4096
 # Tokens of a batch of prompts, padding included, and parts in which finished batches are kept.
 TOKEN_BUDGET = 16_384
 WAVES = 16
+# Prompts that a task takes from a batch of Spark at once.
+TAKEN = 64
 
 Generator = Callable[[list[str]], list[dict]]
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -263,38 +268,39 @@ def complete_by_budget(
     kinds = (f"{key} {kind.simpleString()}, text string, finish_reason string, {USAGE_COLUMNS}, error string, "
              "tokens bigint, width bigint")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def replies() -> pd.DataFrame:
+        def replies() -> pa.RecordBatch:
             keys, prompts, tokens = zip(*held)
             answers = _answer(generator, list(prompts))
-            return pd.DataFrame({
-                key: pd.Series(keys, dtype="object"),
-                **{f: pd.Series([a.get(f) for a in answers], dtype="object") for f in fields},
-                "tokens": tokens, "width": max(tokens)})
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                # rows come with rising length, so the new one is the longest
-                if held and (len(held) + 1) * max(1, row[2]) > budget:
-                    yield replies()
-                    held = []
-                held.append(row)
+            columns = [keys, *[[a.get(f) for a in answers] for f in fields], tokens, [max(tokens)] * len(tokens)]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, TAKEN):
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, TAKEN).columns)):
+                    # rows come with rising length, so the new one is the longest
+                    if held and (len(held) + 1) * max(1, row[2]) > budget:
+                        yield replies()
+                        held = []
+                    held.append(row)
         if held:
             yield replies()
 
     def done() -> DataFrame:
         return spark.read.schema(kinds).parquet(path)
 
+    bound_batches(spark)
     spark.createDataFrame([], kinds).write.mode("append").parquet(path)
+    arrow = to_arrow_schema(done().schema)
     rows = df.select(key, F.coalesce(F.col(prompt), F.lit("")).alias("_prompt"))
     rows = rows.withColumn("_tokens", token_count(F.col("_prompt")).cast("bigint")).withColumn(
         "_wave", F.pmod(F.xxhash64(key), F.lit(waves)))
     for wave in range(waves):
         left = rows.filter(F.col("_wave") == wave).join(done().select(key), key, "left_anti")
         left.repartitionByRange("_tokens", key).sortWithinPartitions("_tokens", key).select(
-            key, "_prompt", "_tokens").mapInPandas(run, kinds).write.mode("append").parquet(path)
+            key, "_prompt", "_tokens").mapInArrow(run, kinds).write.mode("append").parquet(path)
     return done()
 
 

@@ -18,6 +18,8 @@ SETTINGS = {
     # split a skewed join input even where that costs one more exchange above
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows that go to Python at once, however long their texts are
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # sessions are merged inside each task before the shuffle, so a busy user moves few rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # keyed streaming state that spills to disk instead of the heap
@@ -38,6 +40,12 @@ def get_session(app: str = "lectern", master: str | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Gives a session that was started elsewhere the bound on the bytes of a batch sent to Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, SETTINGS[name])
+
+
 _local_base: list[tempfile.TemporaryDirectory] = []
 
 
