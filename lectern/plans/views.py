@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.requests import apply_request_defaults
 from lectern.plans.containers import pack
+from lectern.session import bound_batches
 from lectern.sources.library import FILES_SCHEMA
 
 EPOCH = "TIMESTAMP_NTZ'2020-01-01 00:00:00'"
@@ -24,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as the session shuffles to, for work on a row that costs more than moving it.
+
+    A file is read by as many tasks as it has row groups, and these may be few and large.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def after_epoch(unit: str, key: str) -> Column:
     """A time as many units after the epoch as the key says, modulo ``SPAN``."""
     return F.expr(f"timestampadd({unit}, CAST(pmod({key}, {SPAN}) AS INT), {EPOCH})")
@@ -229,7 +238,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"/></metadata><manifest><item id="cover-image" href="old.png"/>'
               '<item id="c" properties="cover-image" href="img/'), lang,
         F.lit('.png"/><item id="text" href="text.xhtml"/></manifest></package>'))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select(
         F.concat(F.lit("/library/"), source, F.lit("/book."), "doc_id", F.lit(".epub")).alias("path"),
         F.col("n_chars").alias("size"),
         after_epoch("HOUR", "doc_id").cast("timestamp").alias("ctime"),
@@ -242,8 +251,9 @@ def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Those of one source are cut off and cannot be opened.
     """
-    return packages(spark, sf_dir).withColumn(
-        "broken", F.contains("path", F.lit("/src7/"))).mapInPandas(
+    bound_batches(spark)
+    return packages(spark, sf_dir).select(
+        "path", "ctime", "opf_xml", "cover_bytes", F.contains("path", F.lit("/src7/")).alias("broken")).mapInArrow(
             pack, FILES_SCHEMA)
 
 
