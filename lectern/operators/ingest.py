@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.arrays import first_or_empty, last_match
 from lectern.functions.text import file_stem
 from lectern.model import PACKAGE
+from lectern.session import shared_folder
 
 # Fixed values of the package rules.
 BOOK_ID, UUID_PREFIX = "bookid", "urn:uuid:"
@@ -136,12 +137,19 @@ def book_tags(books: DataFrame, key: str = "identifier") -> DataFrame:
     return books.select(key, F.explode("tags").alias("tag"))
 
 
-def covers_of(packages: DataFrame) -> DataFrame:
+def covers_of(packages: DataFrame, path: str | None = None) -> DataFrame:
     """Covers(bucket, key, size, last_modified, data) of the packages that have one.
 
-    Copies of a book share a key; the newest file counts.
+    Copies of a book share a key; the newest file counts. What covers need of the books (path, ctime, bucket,
+    cover_key, cover_url, cover_bytes) is written to ``path``, a folder of its own, so that each document is
+    parsed once, however often these rows are read.
     """
-    return newest_covers(select_cover(content_identifier(unpack_packages(packages))))
+    spark = packages.sparkSession
+    path = path or shared_folder(spark, "cover-books")
+    books = select_cover(content_identifier(unpack_packages(packages))).select(
+        "path", "ctime", "bucket", "cover_key", "cover_url", "cover_bytes")
+    books.write.mode("overwrite").parquet(path)
+    return newest_covers(spark.read.schema(books.schema).parquet(path))
 
 
 def newest_covers(books: DataFrame) -> DataFrame:

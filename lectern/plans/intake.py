@@ -174,7 +174,7 @@ stored AS (
 
 def _written_covers(spark, d):
     folder = shared_folder(spark, "covers")
-    covers.write_covers(ingest.covers_of(v.packages(spark, d)), folder)
+    covers.write_covers(ingest.covers_of(v.packages(spark, d), f"{folder}-books"), folder)
     return folder
 
 
@@ -182,8 +182,7 @@ def _written_covers(spark, d):
 def covers_round_trip(spark, d):
     """Covers written by bucket and read back by key."""
     folder = _written_covers(spark, d)
-    named = ingest.select_cover(ingest.content_identifier(ingest.unpack_packages(v.packages(spark, d))))
-    keys = named.select(F.col("cover_key").alias("key"))
+    keys = spark.read.parquet(f"{folder}-books").select(F.col("cover_key").alias("key"))
     return covers.read_covers(spark, folder, keys).withColumn("data", F.decode("data", "UTF-8"))
 
 
