@@ -82,7 +82,9 @@ def progress_stream(spark, d):
 def ingest_batches(spark, d):
     """The step of the ingest stream, run twice on the same files: the second run adds nothing."""
     sink = shared_folder(spark, "library")
-    files = v.epub_files(spark, d)
+    made = v.epub_files(spark, d)
+    made.write.parquet(f"{sink}/files")
+    files = spark.read.schema(made.schema).parquet(f"{sink}/files")
     ingest.ingest_batch(files, sink, 0)
     ingest.ingest_batch(files, sink, 1)
     found = spark.read.parquet(f"{sink}/books")
