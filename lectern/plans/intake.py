@@ -9,7 +9,7 @@ from lectern.plans import views as v
 from lectern.plans.query import QuerySet
 from lectern.plans.sql_views import CLEAN_TEXT, SCANNED, query
 from lectern.session import shared_folder
-from lectern.sources import covers, library
+from lectern.sources import covers, library, texts
 
 QUERIES = QuerySet()
 
@@ -32,8 +32,7 @@ def scan_library(spark, d):
     """Texts written to a folder per source beside other files, then listed; a text file per document."""
     folder = shared_folder(spark, "library")
     docs = v.table(spark, d, "documents")
-    docs.select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 1).text(
-        f"{folder}/shelf/texts")
+    texts.write_texts(v.spread(docs.select("source", "text")), f"{folder}/shelf/texts", "source")
     docs.select("source", "doc_id").write.partitionBy("source").json(f"{folder}/shelf/other")
     found = library.scan_library(spark, folder, "*.txt")
     return found.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source")).agg(
