@@ -169,20 +169,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of a folder of token files: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it over all files. Files are independent; their
-    totals are read from the trailers and summed up in file order. An empty folder gives no rows.
+    ``start`` counts the ids of all documents before it over all files. Files are independent and read
+    once each; the ids of their documents are summed up in file order. An empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     images = files.filter(F.col("length") > 0).select("content")
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for image in batch.column(0):
-                found = trailer(image.as_buffer().to_pybytes()[:-1])
-                yield pa.record_batch(
-                    [pa.array([x], pa.int64()) for x in (found[4], found[5], found[2])],
-                    names=["task", "place", "n"])
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image in batch.column(0):
@@ -197,13 +189,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     ends - sizes, sizes, pa.array(sums, pa.int64())],
                     names=["task", "place", "doc_id", "base", "n_tokens", "ids_crc32"])
 
-    listed = written(images.mapInArrow(totals, "task bigint, place bigint, n bigint"), "token-files")
     # file numbers without gaps are not needed, only their order
-    numbered = listed.withColumn("file", F.col("task") * (1 << 31) + F.col("place"))
-    starts = written(prefix_sums(numbered.select("file", "n"), "file", ["n"], 1 << 31), "token-starts")
-    rows = images.mapInArrow(
+    rows = written(images.mapInArrow(
         documents, "task bigint, place bigint, doc_id bigint, base bigint, n_tokens bigint, "
-        "ids_crc32 bigint").withColumn("file", F.col("task") * (1 << 31) + F.col("place"))
+        "ids_crc32 bigint").withColumn("file", F.col("task") * (1 << 31) + F.col("place")), "token-rows")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    starts = written(prefix_sums(totals, "file", ["n"], 1 << 31), "token-starts")
     return rows.join(small(starts.select("file", "n_before"), starts.count()), "file").select(
         "doc_id", (F.col("n_before") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -196,3 +196,18 @@ def test_counts_of_any_stream(spark):
         if start < size:
             expected.append((start, size - start, False))
         assert sorted((r.start, r.n_tokens, r.closed) for r in got) == expected
+
+
+def test_token_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Their totals come from the rows of their documents; the images are opened by one job."""
+    from lectern.llm import token_files as tf
+
+    opened = []
+    monkeypatch.setattr(tf, "written", lambda df, name, _w=tf.written: opened.append(
+        df._jdf.queryExecution().executedPlan().toString().count("binaryFile")) or _w(df, name))
+    docs = spark.createDataFrame([(i, "a few words " * (i % 7)) for i in range(50)], "doc_id bigint, text string")
+    tf.write_token_files(docs, str(tmp_path / "files"), file_ids=40)
+    got = tf.read_token_files(spark, str(tmp_path / "files"))
+    assert sum(map(bool, opened)) == 1 and "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, got.select("doc_id", "start", "n_tokens").collect()))
+    assert len(rows) == 50 and all(s + n == t for (_, s, n), (_, t, _) in zip(rows, rows[1:])) and rows[0][1] == 0
