@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import limited, small, worker_store, written
+from lectern.session import bound_batches
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 # Words up to this length are taken whole; of longer ones so many last letters.
@@ -148,6 +149,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 
     def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         a, b, fold = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         key = mixed(a, b)
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
         n = np.bincount(at * FOLDS + fold, minlength=len(first) * FOLDS).reshape(-1, FOLDS)
@@ -160,7 +162,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
             for rows in limited(batch):
                 texts = rows.column(0).to_pylist()
                 hashed, sizes = subwords(texts)
-                parts.append((befores(hashed, sizes), hashed, np.repeat(fold_of(texts), sizes)))
+                parts.append((befores(hashed, sizes), hashed, np.repeat(fold_of(texts).astype(np.int8), sizes)))
                 held += len(hashed)
                 if held > BLOCK_WORDS:
                     yield summed(parts)
@@ -287,6 +289,14 @@ HEAD = [("doc_id", pa.int64()), ("mark", pa.int64()), ("lang", pa.string()), ("e
         ("n", pa.int64()), ("full", pa.float64()), ("fold", pa.float64()), ("model", pa.int64())]
 
 
+def _known(table: Table, keys: np.ndarray, owners: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which n-grams the table knows, and their sums for each text, by the model of all folds and by that of its own."""
+    known, at = table.find(keys)
+    values, owners = table.values[at[known]], owners[known]
+    return known, [np.bincount(owners, values[np.arange(len(values)), m], len(folds)) * GRAIN
+                   for m in (np.full(len(values), FOLDS), folds[owners])]
+
+
 def _packed(columns: list) -> bytes:
     batch = pa.record_batch([pa.array(c, kind) for c, (_, kind) in zip(columns, HEAD)], names=[n for n, _ in HEAD])
     sink = pa.BufferOutputStream()
@@ -303,7 +313,8 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
 def blocks(docs: DataFrame, table, shards: int) -> DataFrame:
     """Texts (doc_id, lang, text) of many documents as blocks: their n-grams by shard, and a head.
 
-    What the table of frequent n-grams knows is added up at once; the rest is sent, a key once for a block.
+    What the table of frequent n-grams knows is added up where a few texts were read and not held; the rest
+    is sent, a key once for a block.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, words, texts = TaskContext.get().partitionId() << 32, 0, [], 0, 0
@@ -311,22 +322,17 @@ def blocks(docs: DataFrame, table, shards: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal number
             name, number = part + number, number + 1
-            ids, marks, langs, empty, sizes, folds, keys, owners = (
+            ids, marks, langs, empty, sizes, full, fold, folds, keys, owners = (
                 [x for part in column for x in part] if isinstance(column[0], list) else np.concatenate(column)
                 for column in zip(*held))
-            known, at = table.value.find(keys)
-            values, model = table.value.values[at[known]], folds[owners[known]]
-            local = [np.bincount(owners[known], values[np.arange(len(values)), m], len(sizes)) * GRAIN
-                     for m in (np.full(len(values), FOLDS), model)]
-            # a text's place in the block, and its fold above it
-            keys, owners = keys[~known], (owners[~known] | folds[owners[~known]] << FOLD_AT).astype("<u2")
+            held.clear()
             order = np.argsort(keys)
             keys, owners = keys[order], owners[order]
             shard = (keys >> np.uint64(40)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             keys, owners, shard = keys[order], owners[order], shard[order]
             begins = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
-            rows = [(name % shards, 1, name, None, _packed([ids, marks, langs, empty, sizes, *local, folds]))]
+            rows = [(name % shards, 1, name, None, _packed([ids, marks, langs, empty, sizes, full, fold, folds]))]
             for i, j in zip(begins, [*begins[1:], len(shard)]):
                 first = np.flatnonzero(np.concatenate([[True], keys[i + 1:j] != keys[i:j - 1]]))
                 times = np.diff(np.append(first, j - i)).astype("<u4")
@@ -339,19 +345,24 @@ def blocks(docs: DataFrame, table, shards: int) -> DataFrame:
                 some = rows.column(3).to_pylist()
                 hashed, sizes = subwords(some)
                 before = befores(hashed, sizes)
-                owner = np.repeat(np.arange(len(some)), sizes) + texts
+                owner = np.repeat(np.arange(len(some)), sizes)
                 last = np.zeros(len(hashed), bool)
                 last[np.cumsum(sizes)[sizes > 0] - 1] = True
                 begins = np.flatnonzero(sizes > 0)
-                keys = [mixed(before, hashed), mixed(hashed, np.where(last, LAST, INNER)),
-                        mixed(np.full(len(begins), EDGE), np.full(len(begins), INNER))]
+                keys = np.concatenate([
+                    mixed(before, hashed), mixed(hashed, np.where(last, LAST, INNER)),
+                    mixed(np.full(len(begins), EDGE), np.full(len(begins), INNER))])
+                owners, folds = np.concatenate([owner, owner, begins]), fold_of(some)
+                known, local = _known(table.value, keys, owners, folds)
+                keys, owners = keys[~known], owners[~known]
+                # a text's place in the block, and its fold above it
                 held.append((rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(),
-                             [not t for t in some], sizes, fold_of(some), np.concatenate(keys),
-                             np.concatenate([owner, owner, begins + texts])))
+                             [not t for t in some], sizes, *local, folds, keys,
+                             (owners + texts | folds[owners] << FOLD_AT).astype("<u2")))
                 words, texts = words + len(hashed), texts + len(some)
                 if words > BLOCK_WORDS or texts > BLOCK_TEXTS:
                     yield block()
-                    held, words, texts = [], 0, 0
+                    words, texts = 0, 0
         if held:
             yield block()
 
@@ -488,6 +499,7 @@ def _limits(known: DataFrame, quantile: float) -> tuple[dict[str, int], int | No
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, mark, lang, step, limit) of every document; ``mark`` is the hash of its text."""
+    bound_batches(docs.sparkSession)
     trusted = written(trusted_ids(labels), "trusted")
     trusted = small(trusted, trusted.count())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -2,8 +2,12 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -116,6 +120,45 @@ def test_every_discount_leaves_something():
     assert all(px.LEAST_DISCOUNT <= x <= k for k, x in enumerate(px.discounts([90, 40, 20, 10]), 1))
 
 
+def test_blocks_do_not_hold_what_all_tasks_know(spark, docs_table, monkeypatch):
+    """A block takes few bytes for each sub-word where the table knows all n-grams."""
+    texts = [r[1] or "" for r in docs_table[:400]] * 5
+    rows = pa.record_batch([
+        pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()),
+        pa.array(["en"] * len(texts)), pa.array(texts)], names=["doc_id", "mark", "lang", "text"])
+    hashed, sizes = px.subwords(texts)
+    last = np.zeros(len(hashed), bool)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    keys = np.unique(np.concatenate([
+        px.mixed(px.befores(hashed, sizes), hashed), px.mixed(hashed, np.where(last, px.LAST, px.INNER)),
+        px.mixed(np.full(1, px.EDGE), np.full(1, px.INNER))]))
+    table = px.Table(keys, np.ones((len(keys), px.MODELS), np.int16))
+    monkeypatch.setattr(px, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    docs = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    run = px.blocks(docs, SimpleNamespace(value=table), 8)
+    tracemalloc.start()
+    out = list(run(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.num_rows for x in out] == [1] and out[0].column("tag").to_pylist() == [1]
+    head = px._unpacked(out[0].column("places")[0].as_py())
+    assert head.column("n").to_pylist() == sizes.tolist()
+    # two n-grams for each sub-word, and that of the edge
+    assert np.allclose(head.column("full").to_numpy(), (2 * sizes + (sizes > 0)) * px.GRAIN)
+    assert peak < 100 * len(hashed)
+
+
+@pytest.mark.parametrize("call", [px.quality, px.keep_good])
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, call):
+    docs = spark.createDataFrame([(i, "a b", "en") for i in range(4)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str((1 << 31) - 1))
+    call(docs, labels).collect()
+    assert int(spark.conf.get(name)) <= 8 << 20
+
+
 def plain_quality(rows, labels, quantile):
     """(surprisal, limit) of each (doc_id, text, lang)."""
     said = defaultdict(list)
