@@ -50,6 +50,8 @@ FREQUENT = 1 << 18
 SHARDS, SHARD_KEYS = 64, 1 << 18
 # Sub-words and texts of a block.
 BLOCK_WORDS, BLOCK_TEXTS = 1 << 21, (1 << 14) - 256
+# Pairs that are counted, and so sorted, at once.
+COUNTED = 1 << 20
 FOLD_AT = 14
 PIECE = 1 << 20
 KNOWN_WORDS = 300_000
@@ -164,7 +166,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
                 hashed, sizes = subwords(texts)
                 parts.append((befores(hashed, sizes), hashed, np.repeat(fold_of(texts).astype(np.int8), sizes)))
                 held += len(hashed)
-                if held > BLOCK_WORDS:
+                if held > COUNTED:
                     yield summed(parts)
                     parts, held = [], 0
         if held:
