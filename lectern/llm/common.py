@@ -36,6 +36,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the texts: met by a shuffle, never sent to the driver.
+
+    Spark takes a written table to be as large as its compressed files, and a function to give a row for
+    a row, so it would broadcast what is many times as large as it expects.
+    """
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]

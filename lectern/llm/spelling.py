@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import limited, written
+from lectern.llm.common import limited, shuffled, written
 
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
@@ -150,7 +150,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b) of the words (word, n) that differ by one edit, a before b, each pair once.
 
     Pivots and prefixes meet by a hash of what they share, in an inner join that adaptive execution can
-    split; the edit distance decides in the join.
+    split; the edit distance decides in the join. A word has some thirty entries, which Spark takes for one.
     """
     ranks = words.sparkSession.sparkContext.broadcast(gram_ranks(words))
 
@@ -179,7 +179,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     asked = words.select("word", "n").mapInArrow(entries(False), kinds)
     listed = words.select(F.col("word"), "n").mapInArrow(entries(True), kinds).select(
         "key", F.col("word").alias("other"), F.col("n").alias("n_other"))
-    pairs = asked.join(listed, (asked["key"] == listed["key"]) & (
+    pairs = asked.join(shuffled(listed), (asked["key"] == listed["key"]) & (
         F.levenshtein("word", "other", EDITS) == EDITS))
     first = F.col("word") < F.col("other")
     return pairs.select(
@@ -196,7 +196,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         beyond = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = written(found.join(beyond, "root", "left").select(
+        step = written(found.join(shuffled(beyond), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
             "spelling-roots")
         found = step.select("word", "root")
@@ -223,10 +223,10 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     best = links.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_near")).alias("less"), "near")).alias("first"))
     takes = -F.col("first.less") >= F.col("n") * times
-    formed = written(words.join(best, "word", "left").select(
+    formed = written(words.join(shuffled(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(takes, F.col("first.near")).alias("form"), F.when(takes, -F.col("first.less")).alias("form_n")),
         "spelling-forms")
     ends = roots(formed.filter(F.col("form").isNotNull()))
-    return formed.join(ends, "word", "left").select(
+    return formed.join(shuffled(ends), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

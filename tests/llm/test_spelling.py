@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from lectern.llm import spelling as sp
+from lectern.llm.common import written
 from lectern.llm.queries import QUERIES
 
 
@@ -109,6 +110,20 @@ def test_chains_of_forms(spark):
     assert found["tiewords"][1] == "tieworda"
 
 
+def test_no_table_of_words_goes_to_the_driver(spark, monkeypatch):
+    """Spark takes entries to be as few as words and files to be as small as they are compressed."""
+    plans = []
+    monkeypatch.setattr(sp, "written", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    text = " ".join(["abcdefgh"] * 8 + ["abcdefgx"] * 40 + ["abcdefyx"] * 200)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = sp.variants(docs)
+    assert as_rows(got) == plain_variants([(1, text)])
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in x for x in plans) >= 4
+    assert not any("Broadcast" in x for x in plans)
+
+
 def test_empty_and_long(spark):
     docs = spark.createDataFrame([(1, ("x" * 5000 + " ") * 5 + ("x" * 5001 + " ") * 30)], "doc_id bigint, text string")
     assert as_rows(sp.variants(docs)) == plain_variants([(1, docs.first().text)])
